@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read
-from . import nearest_time, script_form, speaker_turns
+from . import language, mojibake, nearest_time, script_form, speaker_turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,6 +29,12 @@ def ms(column: str) -> str:
     return f"CAST(floor({column} * 1000 + 0.5) AS BIGINT)"
 
 
+@query("p1_found")
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = language.wrong_labels(read(spark, folder, "documents"), read(spark, folder, "segments"), read(spark, folder, "post_configs"))
+    return found.select("src", "row_id", "lang")
+
+
 @query("p2_found")
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     turns = speaker_turns.clean_turns(read(spark, folder, "segments"))
@@ -57,3 +63,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     words = read(spark, folder, "words", ["word_id", "piece_id", "pos", "text"])
     return script_form.variants_found(words, read(spark, folder, "segments", ["seg_id", "text"]))
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mojibake.restored(read(spark, folder, "documents")).where("found").select("doc_id")
+
+
+@query("p10_restored")
+def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Every garbled document with its spans and its restored text."""
+    return mojibake.restored(read(spark, folder, "documents")).where("found").select("doc_id", "restored", F.to_json("spans").alias("spans"))
