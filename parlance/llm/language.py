@@ -9,6 +9,7 @@ Rows have no web address here, so an address suffix gives no evidence.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import written
 from . import mojibake
 from .script_form import normalize_text
-from .speech import spoken
+from .speech import HESITATIONS, LABEL_WORDS, ROUND_NOTES
 
 LANGS = ("de", "el", "en", "es", "fr", "it", "nl", "pl", "pt")
 # Codes and names of the languages.
@@ -48,13 +49,21 @@ SEEDS = {
     "pt": "o os as da do das dos não com uma para em mais ainda já está sem",
 }
 #: Size of the hashed model; rows it is fitted on, at most (by the order of a hash of their id).
-BUCKETS, SAMPLE_ROWS = 1 << 15, 40_000
+BUCKETS, SAMPLE_ROWS = 1 << 15, 8_000
 #: Weight of the text's log likelihood, of a label, and of a parent in the smoothing of host priors.
 TEMPER, LABEL_WEIGHT, SMOOTH, TEXT_SMOOTH = 0.5, 0.5, 8.0, 2.0
+#: Copies of a host's prior.
+SALTS = 16
 MIN_WORDS, MIN_SHARE = 6, 0.1
 
 _WORD = re.compile(r"[^\W\d_]+")
-_STOP = re.compile(r"[.!?…;\n]+|\s-\s|\s–\s")
+_STOP = re.compile(r"[.!?…;\n–]+")
+_NOTE = re.compile(rf"\[[^\]\d]{{0,60}}\]|\*[^*\d]{{1,60}}\*|<[^<>\d]{{1,60}}>|\((?:{'|'.join(ROUND_NOTES)})\)", re.I)
+_NUMBER = re.compile(r"(?<![\d:.,])\d{1,6}\s?(?:>>|[:\])>]|-(?=\s))")
+_LABEL_HEAD = re.compile(r"(?:\W|^)(?:<v )?(" + "|".join(LABEL_WORDS) + r")[\s_]*(?:n[°ºo.]|nr\.?|no\.?|#)?[\s_]*$", re.I)
+_HESITATION = re.compile("|".join(HESITATIONS))
+#: Characters that need another look: look-alikes, variants and invisible ones lie outside these ranges.
+_UNUSUAL = re.compile(r"[^\x00-\x7F¡-§©«-¬®-±¶-·»¿-ıĴ-ľŁ-ňŊ-žΆΈ-ΊΌΎ-ΡΣ-ώ‐-―‘-‟…€£�]")
 _NAME_OF = {n: lang for lang, names in NAMES.items() for n in names}
 _SEED_OF = {w: lang for lang in LANGS for w in SEEDS[lang].split()}
 for _w in {w for w in _SEED_OF if sum(w in SEEDS[x].split() for x in LANGS) > 1}:
@@ -78,13 +87,29 @@ def label_language(label: Column) -> Column:
     return out
 
 
+def without_labels(text: str) -> str:
+    """Text without sound notes, and without the words of speaker labels, which stand before their numbers."""
+    if not ("[" in text or "(" in text or "*" in text or "<" in text or ":" in text or " - " in text or ">>" in text):
+        return text
+    text = _NOTE.sub(" ", text)
+    out, at = [], 0
+    for m in _NUMBER.finditer(text):
+        h = _LABEL_HEAD.search(text, max(at, m.start() - 24), m.start())
+        if h:
+            out.append(text[at : h.start(1)])
+            at = m.end()
+    return "".join(out) + text[at:] if out else text
+
+
 def sentences(text: str) -> list[list[str]]:
-    """The words of each stretch between sentence ends, lower-cased, for text that may be garbled or dressed up."""
+    """The words of each stretch between sentence ends, lower-cased, for text that may be garbled or dressed up.
+    Hesitations are still among them."""
     if not text.isascii():
-        if mojibake._any_valid().search(text):
+        if mojibake.suspicious(text):
             text = mojibake.undress(text)
-        text = normalize_text(text)[0]
-    return [w for s in _STOP.split(text.lower()) if (w := _WORD.findall(s))]
+        if _UNUSUAL.search(text):
+            text = normalize_text(text)[0]
+    return [w for s in _STOP.split(without_labels(text).lower()) if (w := _WORD.findall(s))]
 
 
 def features(word: str) -> list[int]:
@@ -96,27 +121,30 @@ def features(word: str) -> list[int]:
 
 def _fit_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Feature counts by language, of sentences whose frequent words speak for the declared language."""
-    n = np.zeros((len(LANGS), BUCKETS))
+    words: list[Counter] = [Counter() for _ in LANGS]
     for b in batches:
-        for text, lang in zip(b["said"], b["declared"]):
+        for text, lang in zip(b["text"], b["declared"]):
             stretches = sentences(text or "")
             votes = [[_SEED_OF[w] for w in s if w in _SEED_OF] for s in stretches]
             mine, every = sum(v.count(lang) for v in votes), sum(map(len, votes))
             for s, v in zip(stretches, votes):
                 # A stretch that says nothing itself follows its text, where that is of one language.
                 if v.count(lang) * 2 > len(v) if v else mine >= 2 and mine >= 0.9 * every:
-                    for w in s:
-                        np.add.at(n[LANGS.index(lang)], features(w), 1)
+                    words[LANGS.index(lang)].update(s)
+    n = np.zeros((len(LANGS), BUCKETS))
+    for k, c in enumerate(words):
+        for w, m in c.items():
+            np.add.at(n[k], features(w), m)
     k, f = np.nonzero(n)
     yield pd.DataFrame({"lang": k.astype("int32"), "feature": f.astype("int32"), "n": n[k, f]})
 
 
 def fit(rows: DataFrame) -> np.ndarray:
-    """Log probabilities (language, feature) from rows of said, declared and _id. Its size is fixed."""
-    sample = rows.where(F.col("declared").isNotNull()).select("said", "declared").orderBy(F.xxhash64("_src", "_id")).limit(SAMPLE_ROWS)
+    """Log probabilities (language, feature) from labelled rows. Its size is fixed."""
+    sample = rows.where(F.col("declared").isNotNull()).select("text", "declared").orderBy(F.xxhash64("_src", "_id")).limit(SAMPLE_ROWS)
     counts = np.zeros((len(LANGS), BUCKETS))
     # After the limit all is in one partition; spread it again for the counting.
-    for r in sample.repartition(16).mapInPandas(_fit_batches, "lang int, feature int, n double").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect():
+    for r in sample.repartition(8).mapInPandas(_fit_batches, "lang int, feature int, n double").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect():
         counts[r["lang"], r["feature"]] = r["n"]
     for k, lang in enumerate(LANGS):
         for w in SEEDS[lang].split():
@@ -125,65 +153,133 @@ def fit(rows: DataFrame) -> np.ndarray:
     return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-_SCORED = "_src string, _id bigint, _host1 string, _host2 string, declared string, n_distinct int, n_words array<int>, scores array<array<float>>"
+_VECTOR = [f"v{k}" for k in range(len(LANGS))]
+_SCORED = "_src string, _id bigint, _host1 string, _host2 string, declared string, n_distinct int, n_words binary, scores binary, " + ", ".join(f"{v} float" for v in _VECTOR)
+
+
+class Scorer:
+    """Text log likelihoods of stretches under a fitted model; words it has met are kept."""
+
+    def __init__(self, model: np.ndarray):
+        self.model, self.ids = model, {}
+        self.table = np.zeros((1024, len(LANGS)), dtype=np.float32)
+
+    def word(self, w: str) -> int:
+        if len(self.ids) >= 500_000:  # rare words of a long partition need not be kept
+            self.ids.clear()
+        if len(w) < 8 and _HESITATION.fullmatch(w):
+            i = -1
+        else:
+            i = 1 + len(self.ids)
+            if i >= len(self.table):
+                self.table = np.vstack([self.table, np.zeros_like(self.table)])
+            v = self.model[:, features(w)].mean(axis=1) * 2.0
+            self.table[i] = v - v.max()
+        self.ids[w] = i
+        return i
+
+    def score(self, texts: list[str | None]) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
+        """Per text its different words and its stretches; per stretch its words and its scores by language."""
+        distinct, per_text, n_words, flat, ends = [], [], [], [], []
+        get, word = self.ids.get, self.word
+        sums: list[np.ndarray] = []
+
+        def flush() -> None:
+            if ends:
+                starts = np.concatenate([[0], ends[:-1]]).astype(int)
+                sums.append(np.add.reduceat(self.table[np.asarray(flat)], starts, axis=0))
+                flat.clear()
+                ends.clear()
+
+        for t in texts:
+            if len(flat) > 2_000_000 or len(self.ids) > 499_000:
+                flush()
+            seen: set[int] = set()
+            count = 0
+            for s in sentences(t) if t else ():
+                ids = [i if (i := get(w)) is not None else word(w) for w in s]
+                ids = [i for i in ids if i > 0]
+                if not ids:
+                    continue
+                own = set(ids)  # "no, no, no" tells as much as "no"
+                seen |= own
+                flat.extend(own)
+                ends.append(len(flat))
+                n_words.append(len(ids))
+                count += 1
+            distinct.append(len(seen))
+            per_text.append(count)
+        flush()
+        x = np.vstack(sums) if sums else np.zeros((0, len(LANGS)), dtype=np.float32)
+        return distinct, per_text, np.asarray(n_words, dtype=np.int32), x - x.max(axis=1, keepdims=True) if len(x) else x
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
 
 def evidence(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """Text log likelihoods of each row's stretches, per language."""
+    """Text log likelihoods of each row's stretches, packed, and the words of each row by their likely language."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        cache: dict[str, np.ndarray] = {}
+        scorer = Scorer(shared.value)
         for b in batches:
-            out = []
-            for said in b["said"]:
-                stretches = sentences(said or "")
-                ns, vs = [], []
-                for s in stretches:
-                    total = np.zeros(len(LANGS), dtype=np.float32)
-                    for w in set(s):  # "no, no, no" tells as much as "no"
-                        v = cache.get(w)
-                        if v is None:
-                            v = m[:, features(w)].mean(axis=1) * 2.0
-                            v = v - v.max()
-                            if len(cache) < 200_000:
-                                cache[w] = v
-                        total += v
-                    ns.append(len(s))
-                    vs.append((total - total.max()).tolist())
-                out.append((len({w for s in stretches for w in s}), ns, vs))
+            distinct, per_text, n_words, x = scorer.score(b["text"].tolist())
+            at = np.concatenate([[0], np.cumsum(per_text)]).astype(int)
+            soft = _softmax(TEMPER * x) * n_words[:, None] if len(x) else x
             d = b[["_src", "_id", "_host1", "_host2", "declared"]].copy()
-            d["n_distinct"], d["n_words"], d["scores"] = zip(*out) if out else ([], [], [])
+            d["n_distinct"] = distinct
+            packed = x.astype(np.float16)
+            d["n_words"] = [n_words[i:j].tobytes() for i, j in zip(at, at[1:])]
+            d["scores"] = [packed[i:j].tobytes() for i, j in zip(at, at[1:])]
+            sums = np.concatenate([np.zeros((1, len(LANGS))), np.cumsum(soft, axis=0, dtype=float)]) if len(x) else np.zeros((1, len(LANGS)))
+            own = sums[at[1:]] - sums[at[:-1]]
+            for k, v in enumerate(_VECTOR):
+                d[v] = own[:, k].astype("float32")
             yield d
 
     return rows.mapInPandas(run, _SCORED)
 
 
-def _posteriors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for scores, ns, prior, lab in zip(b["scores"], b["n_words"], b["prior"], b["label_lik"]):
+def _posteriors(stretches: bool):
+    """Fuse the evidence; a row a stretch, or a row a language of each text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            counts = [len(x) // 4 for x in b["n_words"]]
+            n = np.frombuffer(b"".join(b["n_words"]), dtype=np.int32)
+            if not len(n):
+                continue
+            x = np.frombuffer(b"".join(b["scores"]), dtype=np.float16).reshape(-1, len(LANGS)).astype(float)
+            row = np.repeat(np.arange(len(b)), counts)
+            prior = np.vstack(b["prior"].to_numpy())[row]
+            label = np.vstack(b["label_lik"].to_numpy())[row]
             # The lowest level of the hierarchy is the text itself: its other stretches.
-            soft = []
-            for s, n in zip(scores, ns):
-                e = np.exp(TEMPER * (np.asarray(s, dtype=float) - max(s)))
-                soft.append(n * e / e.sum())
-            own = np.sum(soft, axis=0) if soft else np.zeros(len(LANGS))
-            prior, lab = np.asarray(prior, dtype=float), LABEL_WEIGHT * np.log(np.asarray(lab, dtype=float))
-            langs, conf = [], []
-            for s, mine in zip(scores, soft):
-                others = np.maximum(own - mine, 0.0)
-                near = (others + TEXT_SMOOTH * prior) / (others.sum() + TEXT_SMOOTH)
-                x = TEMPER * np.asarray(s, dtype=float) + np.log(near) + lab
-                e = np.exp(x - x.max())
-                k = int(e.argmax())
-                langs.append(LANGS[k])
-                conf.append(float(e[k] / e.sum()))
-            out.append((langs, conf))
-        d = b[["_src", "_id", "declared", "n_distinct", "n_words"]].copy()
-        d["langs"], d["conf"] = zip(*out) if out else ([], [])
-        yield d
+            soft = _softmax(TEMPER * x) * n[:, None]
+            own = np.zeros((len(b), len(LANGS)))
+            np.add.at(own, row, soft)
+            others = np.maximum(own[row] - soft, 0.0)
+            near = (others + TEXT_SMOOTH * prior) / (others.sum(axis=1, keepdims=True) + TEXT_SMOOTH)
+            p = _softmax(TEMPER * x + np.log(near) + LABEL_WEIGHT * np.log(label))
+            k = p.argmax(axis=1)
+            conf = p[np.arange(len(k)), k]
+            d = pd.DataFrame({"row": row, "k": k, "words": n, "confidence": conf * n})
+            if stretches:
+                d["stretch"] = np.arange(len(d)) - np.concatenate([[0], np.cumsum(counts)[:-1]])[row]
+            else:
+                d = d.groupby(["row", "k"], as_index=False).sum()
+                d["stretch"] = 0
+            at = d["row"].to_numpy()
+            total = np.bincount(row, weights=n, minlength=len(b))
+            yield pd.DataFrame({
+                "src": b["_src"].to_numpy()[at], "row_id": b["_id"].to_numpy()[at], "declared": b["declared"].to_numpy()[at], "n_distinct": b["n_distinct"].to_numpy()[at],
+                "stretch": d["stretch"].astype("int32"), "lang": np.asarray(LANGS, dtype=object)[d["k"].to_numpy()], "words": d["words"].astype("int32"),
+                "share": d["words"].to_numpy() / total[at], "confidence": d["confidence"].to_numpy() / d["words"].to_numpy(),
+            })
+
+    return run
 
 
 def _prior(counts: Column, parent: Column) -> Column:
@@ -191,39 +287,42 @@ def _prior(counts: Column, parent: Column) -> Column:
     return F.zip_with(counts, parent, lambda n, p: (n + F.lit(SMOOTH) * p) / (total + F.lit(SMOOTH)))
 
 
-def languages(rows: DataFrame) -> DataFrame:
-    """_src, _id, declared, n_distinct, n_words, langs, conf: per row the stretches' word counts, languages, confidences.
+def languages(rows: DataFrame, stretches: bool = False) -> DataFrame:
+    """src, row_id, declared, n_distinct, stretch, lang, words, share, confidence: a row for each language of a text
+    (stretch 0), or with ``stretches`` for each stretch between sentence ends, in order. Wordless texts have none.
 
     rows: _src, _id (one row each), _label, _host1 (recording), _host2 (source), text.
     """
-    rows = rows.select("_src", "_id", "_host1", "_host2", label_language(F.col("_label")).alias("declared"), spoken(F.col("text")).alias("said"))
+    rows = rows.select("_src", "_id", "_host1", "_host2", label_language(F.col("_label")).alias("declared"), "text")
     ev = written(evidence(rows, fit(rows)), "language-evidence")
-    # Provisional language of each stretch by its text alone, counted by host and by label.
-    each = ev.select("_src", "_host1", "_host2", "declared", F.posexplode("scores").alias("_p", "_s"), "n_words")
-    best = F.array_position(F.col("_s"), F.array_max("_s")) - 1
-    each = each.select("_src", "_host1", "_host2", "declared", best.alias("k"), F.element_at("n_words", F.col("_p") + 1).cast("double").alias("w")).where("w >= 3")
-    counts = each.groupBy("_src", "_host1", "_host2", "declared", "k").agg(F.sum("w").alias("w"))
-    vector = lambda: F.array(*[F.coalesce(F.sum(F.when(F.col("k") == i, F.col("w"))), F.lit(0.0)) for i in range(len(LANGS))])
+    # What texts alone say, counted by host and by label.
+    sums = [F.sum(v).cast("double").alias(v) for v in _VECTOR]
+    counts = ev.groupBy("_src", "_host1", "_host2", "declared").agg(*sums)
+    vector = lambda: F.array(*[F.sum(v) for v in _VECTOR])
     by_label = counts.groupBy("declared").agg(vector().alias("v")).collect()  # at most one row a language
     flat = F.array(*[F.lit(1.0 / len(LANGS))] * len(LANGS))
+    zeros = F.array(*[F.lit(0.0)] * len(LANGS))
     whole = counts.groupBy("_src").agg(_prior(vector(), flat).alias("p0"))
     by_source = counts.groupBy(F.col("_src").alias("_s2"), F.col("_host2").alias("_h2")).agg(vector().alias("v2"))
-    # A row without a recording has its source for a host: null keys must not all meet in one task.
-    by_rec = counts.where(F.col("_host1").isNotNull()).groupBy(F.col("_src").alias("_s1"), F.col("_host1").alias("_h1")).agg(vector().alias("v1"))
-    got = ev.join(F.broadcast(whole), "_src", "left")  # two rows
-    got = got.join(by_source, (F.col("_src") == F.col("_s2")) & F.col("_host2").eqNullSafe(F.col("_h2")), "left")
-    got = got.join(by_rec, (F.col("_src") == F.col("_s1")) & (F.col("_host1") == F.col("_h1")), "left")
-    zeros = F.array(*[F.lit(0.0)] * len(LANGS))
-    p2 = _prior(F.coalesce("v2", zeros), F.coalesce("p0", flat))
-    p1 = F.when(F.col("_host1").isNotNull(), _prior(F.coalesce("v1", zeros), p2)).otherwise(p2)
+    by_source = by_source.join(F.broadcast(whole), F.col("_s2") == F.col("_src")).select("_s2", "_h2", _prior(F.col("v2"), F.col("p0")).alias("p2"))
+    by_rec = counts.groupBy(F.col("_src").alias("_s1"), F.col("_host1").alias("_h1")).agg(vector().alias("v1"))
+    hosts = counts.select("_src", "_host1", "_host2").distinct()
+    hosts = hosts.join(by_source, (F.col("_src") == F.col("_s2")) & F.col("_host2").eqNullSafe(F.col("_h2")), "left")
+    hosts = hosts.join(by_rec, (F.col("_src") == F.col("_s1")) & (F.col("_host1") == F.col("_h1")), "left")
+    prior = _prior(F.coalesce("v1", zeros), F.coalesce("p2", flat))
+    # A host may have a third of all rows: each prior stands in several copies, and each row takes one of them.
+    hosts = hosts.select(F.col("_src").alias("_s"), F.col("_host1").alias("_r"), F.col("_host2").alias("_h"), prior.alias("prior"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
+    got = ev.drop(*_VECTOR).withColumn("_k", salt)
+    got = got.join(hosts, (F.col("_src") == F.col("_s")) & F.col("_host1").eqNullSafe(F.col("_r")) & F.col("_host2").eqNullSafe(F.col("_h")) & (F.col("_k") == F.col("_salt")), "left")
     lik = {r["declared"]: np.asarray(r["v"]) for r in by_label if r["declared"]}
     totals = np.sum([np.asarray(r["v"]) for r in by_label], axis=0) if by_label else np.zeros(len(LANGS))
     arr = lambda v: F.array(*[F.lit(float(x)) for x in v])
     label_lik = arr(np.ones(len(LANGS)))
     for lang, v in lik.items():
         label_lik = F.when(F.col("declared") == lang, arr((v + 1.0) / (totals + len(LANGS)))).otherwise(label_lik)
-    got = got.select("_src", "_id", "declared", "n_distinct", "n_words", "scores", p1.alias("prior"), label_lik.alias("label_lik"))
-    return got.mapInPandas(_posteriors, "_src string, _id bigint, declared string, n_distinct int, n_words array<int>, langs array<string>, conf array<double>")
+    got = got.select("_src", "_id", "declared", "n_distinct", "n_words", "scores", F.coalesce("prior", flat).alias("prior"), label_lik.alias("label_lik"))
+    return got.mapInPandas(_posteriors(stretches), "src string, row_id bigint, declared string, n_distinct int, stretch int, lang string, words int, share double, confidence double")
 
 
 def text_rows(documents: DataFrame, segments: DataFrame, configs: DataFrame) -> DataFrame:
@@ -235,17 +334,6 @@ def text_rows(documents: DataFrame, segments: DataFrame, configs: DataFrame) ->
     return d.unionByName(s)
 
 
-def by_text(found: DataFrame) -> DataFrame:
-    """src, row_id, declared, n_distinct, lang, share, confidence: one row a language of each text."""
-    each = found.select("_src", "_id", "declared", "n_distinct", F.explode(F.arrays_zip("n_words", "langs", "conf")).alias("s"))
-    each = each.groupBy("_src", "_id", "declared", "n_distinct", F.col("s.langs").alias("lang")).agg(
-        F.sum("s.n_words").alias("words"), (F.sum(F.col("s.conf") * F.col("s.n_words")) / F.sum("s.n_words")).alias("confidence")
-    )
-    total = each.groupBy("_src", "_id").agg(F.sum("words").alias("all_words"), F.count("*").alias("n_langs"))
-    each = each.join(total, ["_src", "_id"])
-    return each.select(F.col("_src").alias("src"), F.col("_id").alias("row_id"), "declared", "n_distinct", "lang", (F.col("words") / F.col("all_words")).alias("share"), "confidence")
-
-
 def wrong_labels(documents: DataFrame, segments: DataFrame, configs: DataFrame) -> DataFrame:
     """src, row_id, lang, confidence: a row for each language of a tenth and more of the words of a text whose label is
     missing, is not its language, or that holds several languages. Only texts of six different words and more.
@@ -254,7 +342,7 @@ def wrong_labels(documents: DataFrame, segments: DataFrame, configs: DataFrame)
     recording or source leaves the prior to the next level; equal rows of a re-delivered segment count once; other
     columns are not read; without labelled rows the models know the frequent words alone.
     """
-    each = by_text(languages(text_rows(documents, segments, configs))).where((F.col("n_distinct") >= MIN_WORDS) & (F.col("share") >= MIN_SHARE))
+    each = languages(text_rows(documents, segments, configs)).where((F.col("n_distinct") >= MIN_WORDS) & (F.col("share") >= MIN_SHARE))
     langs = each.groupBy("src", "row_id").agg(F.collect_list(F.struct("lang", "confidence")).alias("l"), F.first("declared").alias("declared"))
     case = F.col("declared").isNull() | (F.size("l") > 1) | (F.col("l")[0]["lang"] != F.col("declared"))
     return langs.where(case).select("src", "row_id", F.explode("l").alias("x")).select("src", "row_id", "x.lang", "x.confidence")

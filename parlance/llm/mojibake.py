@@ -62,7 +62,8 @@ def _sequences(codec: str) -> str:
     t = _table(codec)
     cls = lambda lo, hi: "[" + "".join(re.escape(c) for c, b in t.items() if lo <= b <= hi) + "]"
     cont = cls(0x80, 0xBF)
-    return f"{cls(0xC2, 0xDF)}{cont}|{cls(0xE1, 0xEF)}{cont}{{2}}|{cls(0xF0, 0xF4)}{cont}{{3}}"
+    # Latin, Greek and Cyrillic letters; punctuation and signs; marks of order and loss; pictures.
+    return f"{cls(0xC2, 0xD1)}{cont}|{cls(0xE2, 0xE2)}{cont}{{2}}|{cls(0xEF, 0xEF)}{cont}{{2}}|{cls(0xF0, 0xF0)}{cont}{{3}}"
 
 
 @lru_cache(None)
@@ -78,12 +79,26 @@ def _any_valid() -> re.Pattern:
     return re.compile("|".join(_sequences(c) for c in _CODECS))
 
 
+def _marks(low: int, high: int) -> str:
+    return "[" + "".join(sorted({re.escape(c) for k in _CODECS for c, b in _table(k).items() if low <= b <= high})) + "]"
+
+
+@lru_cache(None)
+def _maybe() -> re.Pattern:
+    return re.compile(_marks(0xC2, 0xD1) + _marks(0x80, 0xBF) + "|" + _marks(0xE2, 0xF0) + _marks(0x80, 0xBF) + "{2}")
+
+
+def suspicious(text: str) -> bool:
+    """True where a valid misread sequence may be: a quick test first, then the exact one."""
+    return bool(_maybe().search(text)) and bool(_any_valid().search(text))
+
+
 #: A capital letter beyond ASCII right after a small one, or characters that only drawings and controls use.
 _ODD = re.compile(r"[a-zß-öø-ÿ][À-ÖØ-ÞΑ-ΩА-Я]|[\x80-\x9f─-▟∀-⋿ⁿ�¬¤¦¨¯´¸¹²³¼½¾]")
 
 
 def looks_sound(text: str) -> bool:
-    return not _any_valid().search(text) and not _ODD.search(text)
+    return text.isascii() or (not suspicious(text) and not _ODD.search(text))
 
 
 def pair_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,7 +153,7 @@ def label(text: str, model: Characters) -> list[tuple[int, int, int, str]]:
         return []
     places = [i for i, c in enumerate(text) if c > "\x7f"]
     clean = [model.logp(text[i - 1] if i else " ", text[i]) for i in places]
-    if min(clean) > -7.5 and not _any_valid().search(text) and LOST not in text:
+    if min(clean) > -7.5 and LOST not in text and not suspicious(text):
         return []
     # What each state makes of each place: (log probability, first of its sequence, its character); absent: it can't.
     made: list[dict[int, tuple[float, bool, str]]] = [{} for _ in places]

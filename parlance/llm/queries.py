@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read
-from . import language, mojibake, nearest_time, script_form, speaker_turns
+from . import glossary_match, language, mixing, mojibake, nearest_time, packing, repetition, script_form, speaker_turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,3 +74,68 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
     """Every garbled document with its spans and its restored text."""
     return mojibake.restored(read(spark, folder, "documents")).where("found").select("doc_id", "restored", F.to_json("spans").alias("spans"))
+
+
+@query("p1_stretches")
+def p1_stretches(spark: SparkSession, folder: str) -> DataFrame:
+    """Each stretch of each text with its language and confidence."""
+    rows = language.text_rows(read(spark, folder, "documents"), read(spark, folder, "segments"), read(spark, folder, "post_configs"))
+    got = language.languages(rows, stretches=True)
+    return got.select("src", "row_id", "stretch", "lang", "words", F.round("confidence", 4).alias("confidence"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    got = glossary_match.mapped(read(spark, folder, "segments"), read(spark, folder, "post_configs"), read(spark, folder, "glossary"))
+    return got.select("src", "row_id", "entry_pos", "term_id")
+
+
+@query("p4_unmatched")
+def p4_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed entries that mean no term."""
+    configs = read(spark, folder, "post_configs")
+    got = glossary_match.mapped(read(spark, folder, "segments"), configs, read(spark, folder, "glossary")).where("term_id = 0")
+    typed = configs.select(F.col("config_id").cast("bigint").alias("row_id"), F.posexplode("glossary").alias("entry_pos", "entry"))
+    return got.join(typed, ["row_id", "entry_pos"]).select(F.col("row_id").alias("config_id"), "entry_pos", "entry").distinct()
+
+
+@query("p5_forms")
+def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The one form of every word."""
+    return script_form.normalized_words(read(spark, folder, "words")).select("word_id", "form", "kinds").distinct()
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repetition.repeating(read(spark, folder, "pieces"), read(spark, folder, "segments"))
+
+
+@query("p6_shares")
+def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of repeated content of every text."""
+    got = repetition.measured(read(spark, folder, "pieces"), read(spark, folder, "segments"))
+    return got.select("src", "row_id", "n_words", "n_repeated", F.round("share", 6).alias("share"), "outlier")
+
+
+@query("p8_packed")
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(read(spark, folder, "documents"), read(spark, folder, "containers"))
+
+
+@query("p8_report")
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How well each container kind is filled."""
+    containers = read(spark, folder, "containers")
+    return packing.report(packing.packed(read(spark, folder, "documents"), containers), containers)
+
+
+@query("p9_mixed")
+def p9_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(read(spark, folder, "documents"), read(spark, folder, "mix_targets"))
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share each source really has in each mix."""
+    targets = read(spark, folder, "mix_targets")
+    return mixing.shares(mixing.mixed(read(spark, folder, "documents"), targets), targets)
