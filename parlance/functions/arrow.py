@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import functions as F
@@ -15,7 +16,9 @@ def arrow(ddl: str) -> Callable:
         fn.__annotations__ = {}
 
         def call(*cols):
-            return F.pandas_udf(fn, ddl, F.PandasUDFType.SCALAR)(*cols)
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")  # it would have type hints, which say nothing of any number of series
+                return F.pandas_udf(fn, ddl, F.PandasUDFType.SCALAR)(*cols)
 
         call.__name__ = fn.__name__
         call.__doc__ = fn.__doc__
