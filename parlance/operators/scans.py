@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 BUCKET = "_bucket"
 
 
@@ -26,19 +28,14 @@ def local(keys: Sequence[str], *order: Column | str):
     return Window.partitionBy(*keys, BUCKET).orderBy(*order)
 
 
-def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]):
-    on = [a[k].eqNullSafe(b[k]) for k in keys]
-    out = on[0]
-    for x in on[1:]:
-        out = out & x
-    return out
-
-
-def carry(df: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[Column, str]]) -> DataFrame:
+def carry(df: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[Column, str]], cut: bool = False) -> DataFrame:
     """Add, for each ``name: (aggregate of a bucket, how)``, its value over all earlier buckets of the entity.
 
     how: 'max', 'sum' or 'last' (the last that is not null). ``df`` has a bucket column; null keys are a group.
+    ``df`` is read twice: where it is the work of further scans, ``cut`` writes it once, so that plans don't double.
     """
+    if cut:
+        df = written(df, "scan")
     summary = df.groupBy(*keys, BUCKET).agg(*[a.alias(n) for n, (a, _) in aggs.items()])
     w = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     over = {
