@@ -53,14 +53,15 @@ BUCKETS, SAMPLE_ROWS = 1 << 15, 8_000
 #: Weight of the text's log likelihood, of a label, and of a parent in the smoothing of host priors.
 TEMPER, LABEL_WEIGHT, SMOOTH, TEXT_SMOOTH = 0.5, 0.5, 8.0, 2.0
 #: Copies of a host's prior.
-SALTS = 16
+SALTS = 4
 MIN_WORDS, MIN_SHARE = 6, 0.1
 
 _WORD = re.compile(r"[^\W\d_]+")
 _STOP = re.compile(r"[.!?…;\n–]+")
 _NOTE = re.compile(rf"\[[^\]\d]{{0,60}}\]|\*[^*\d]{{1,60}}\*|<[^<>\d]{{1,60}}>|\((?:{'|'.join(ROUND_NOTES)})\)", re.I)
 _NUMBER = re.compile(r"(?<![\d:.,])\d{1,6}\s?(?:>>|[:\])>]|-(?=\s))")
-_LABEL_HEAD = re.compile(r"(?:\W|^)(?:<v )?(" + "|".join(LABEL_WORDS) + r")[\s_]*(?:n[°ºo.]|nr\.?|no\.?|#)?[\s_]*$", re.I)
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_LABELS = frozenset(LABEL_WORDS)
 _HESITATION = re.compile("|".join(HESITATIONS))
 #: Characters that need another look: look-alikes, variants and invisible ones lie outside these ranges.
 _UNUSUAL = re.compile(r"[^\x00-\x7F¡-§©«-¬®-±¶-·»¿-ıĴ-ľŁ-ňŊ-žΆΈ-ΊΌΎ-ΡΣ-ώ‐-―‘-‟…€£�]")
@@ -94,9 +95,13 @@ def without_labels(text: str) -> str:
     text = _NOTE.sub(" ", text)
     out, at = [], 0
     for m in _NUMBER.finditer(text):
-        h = _LABEL_HEAD.search(text, max(at, m.start() - 24), m.start())
-        if h:
-            out.append(text[at : h.start(1)])
+        begin = max(at, m.start() - 24)
+        words = _NOT_LETTERS.split(text[begin : m.start()].lower())
+        w = words[-1] or (words[-2] if len(words) > 1 else "")
+        if w in ("n", "no", "nr"):  # "Locuteur n°2"
+            w = words[-3] if not words[-1] and len(words) > 2 else words[-2] if words[-1] and len(words) > 1 else ""
+        if w in _LABELS:
+            out.append(text[at : begin + text[begin : m.start()].lower().rfind(w)])
             at = m.end()
     return "".join(out) + text[at:] if out else text
 
