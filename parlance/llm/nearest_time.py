@@ -36,6 +36,8 @@ _LEFT = "word_id bigint, recording string, start_s double, end_s double, speaker
 _RIGHT = "turn_id bigint, recording string, start_s double, end_s double, speaker int, received_at timestamp"
 _STATE = "left_rows binary, right_rows binary"
 _OUT = "word_id bigint, turn_id bigint, distance_ms double"
+#: The arrival of a row whose arrival is not known: the day after the epoch, at which no first batch takes it for late.
+_UNKNOWN_MS = 86_400_000
 _END, _END_KEY = datetime(2200, 1, 1), "\x00end"
 
 
@@ -122,16 +124,16 @@ def nearest_time_stream(left: DataFrame, right: DataFrame, tolerance_ms: int = T
     mid2 = time("start_s") + time("end_s")
     known = F.col("speaker").isNotNull() & F.col("recording").isNotNull()
     seen = F.unix_millis(F.col("received_at").cast("timestamp"))
-    arrival = F.coalesce(F.col("received_at").cast("timestamp"), F.timestamp_millis(F.lit(0)))
+    arrival = F.coalesce(F.col("received_at").cast("timestamp"), F.timestamp_millis(F.lit(_UNKNOWN_MS)))
     lhs = left.where(known & mid2.isNotNull()).select(
         "recording", "speaker", F.floor(mid2 / (2 * stretch_ms)).alias("stretch"), F.lit(0).alias("side"),
-        F.col("word_id").alias("id"), mid2.alias("lo2"), mid2.alias("hi2"), F.coalesce(seen, F.lit(0)).alias("seen"), arrival.alias("arrival"),
+        F.col("word_id").alias("id"), mid2.alias("lo2"), mid2.alias("hi2"), F.coalesce(seen, F.lit(_UNKNOWN_MS)).alias("seen"), arrival.alias("arrival"),
     )
     a, b = time("start_s"), time("end_s")
     rhs = right.where(known & a.isNotNull() & (b > a)).select(
         "recording", "speaker",
         F.explode(F.sequence(F.floor((a - tolerance_ms) / stretch_ms), F.floor((b + tolerance_ms) / stretch_ms))).alias("stretch"),
-        F.lit(1).alias("side"), F.col("turn_id").alias("id"), (a * 2).alias("lo2"), (b * 2).alias("hi2"), F.coalesce(seen, F.lit(0)).alias("seen"), arrival.alias("arrival"),
+        F.lit(1).alias("side"), F.col("turn_id").alias("id"), (a * 2).alias("lo2"), (b * 2).alias("hi2"), F.coalesce(seen, F.lit(_UNKNOWN_MS)).alias("seen"), arrival.alias("arrival"),
     )
     both = lhs.unionByName(rhs).withWatermark("arrival", lateness)
     return both.groupBy("recording", "speaker", "stretch").applyInPandasWithState(_join(tolerance_ms), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
@@ -147,22 +149,22 @@ def _with_end(spark: SparkSession, stream: DataFrame, ident: str) -> DataFrame:
     return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
 
 
-def _stream(spark: SparkSession, path: str, ddl: str, max_files: int | None) -> DataFrame:
+def _stream(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     want = T.StructType.fromDDL(ddl) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(ddl)
     schema = spark.read.parquet(path).schema  # the file's own types: a timestamp may come without a zone
     reader = spark.readStream.schema(T.StructType([f for f in schema.fields if f.name in want.names]))
-    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(f"{path[:-1]}[{path[-1]}]")  # a stream takes a single file only by a pattern
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")  # a stream takes a single file only by a pattern
 
 
-def nearest_time(spark: SparkSession, words_path: str, turns_path: str, tolerance_ms: int = TOLERANCE_MS, lateness: str = LATENESS, max_files: int | None = None) -> DataFrame:
+def nearest_time(spark: SparkSession, words_path: str, turns_path: str, tolerance_ms: int = TOLERANCE_MS, lateness: str = LATENESS) -> DataFrame:
     """Bounded replay of two stored tables through the streaming join: word_id, turn_id, distance_ms.
 
     Defined cases: rows with a null in time, speaker or recording, and empty or reversed intervals, take no part;
     re-delivered rows count once; ties give the smallest turn_id; empty tables give no rows; a word without any turn
-    of its speaker is reported with null; other columns are not read. A null arrival counts as the epoch.
+    of its speaker is reported with null; other columns are not read. All is read in one batch, so nothing is late, whatever its arrival (null too).
     """
-    left = _with_end(spark, _stream(spark, words_path, _LEFT, max_files), "word_id")
-    right = _with_end(spark, _stream(spark, turns_path, _RIGHT, max_files), "turn_id")
+    left = _with_end(spark, _stream(spark, words_path, _LEFT), "word_id")
+    right = _with_end(spark, _stream(spark, turns_path, _RIGHT), "turn_id")
     out, checkpoint = scratch(spark, "nearest"), scratch(spark, "nearest-state")
     conf = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(conf, None)

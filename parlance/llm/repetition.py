@@ -32,6 +32,8 @@ CELLS, SUBSET, LEAST_SD, CUTOFF = 32, 0.75, 0.08, 9.488
 #: A stratum below this many rows borrows the estimate of its source.
 MIN_ROWS = 200
 MIN_WORDS, MIN_SHARE = 8, 0.5
+#: A text without repetition, and the rows for which it stands beside those of a source.
+IDLE, IDLE_ROWS = (0.0, 0.0, 0.0, 0.5), 50
 
 
 def words_of(text: str) -> list[str]:
@@ -134,7 +136,10 @@ def mcd(x: np.ndarray, w: np.ndarray, subset: float = SUBSET, steps: int = 30) -
 
 def _fit(group: pd.DataFrame) -> pd.DataFrame:
     x = np.vstack(group["cell"].to_numpy()).astype(float) / CELLS
-    m, c = mcd(x, group["n"].to_numpy(float))
+    n = group["n"].to_numpy(float)
+    if group["stratum"].iloc[0] == "*":  # a handful of rows must not be what is usual
+        x, n = np.vstack([x, IDLE]), np.append(n, IDLE_ROWS)
+    m, c = mcd(x, n)
     return pd.DataFrame({"src": [group["src"].iloc[0]], "stratum": [group["stratum"].iloc[0]], "rows": [int(group["n"].sum())], "centre": [m.tolist()], "inverse": [np.linalg.inv(c).ravel().tolist()]})
 
 

@@ -33,7 +33,8 @@ COMPAT, COMPOSED, INVISIBLE, SPACE, SCRIPT = 1, 2, 4, 8, 16
 _SCRIPTS = ("Latin", "Greek", "Cyrillic")
 _LOOKS: dict[tuple[str, str], dict[str, str]] = {("Cyrillic", "Latin"): CYRILLIC_LATIN, ("Greek", "Latin"): GREEK_LATIN}
 _LOOKS["Latin", "Cyrillic"] = {v: k for k, v in CYRILLIC_LATIN.items()}
-_LOOKS["Latin", "Greek"] = {v: k for k, v in GREEK_LATIN.items()}
+#: Letters that are variants of others themselves (a lunate sigma) are never written.
+_LOOKS["Latin", "Greek"] = {v: k for k, v in GREEK_LATIN.items() if unicodedata.normalize("NFKC", k) == k}
 _LOOKS["Cyrillic", "Greek"] = {c: _LOOKS["Latin", "Greek"][x] for c, x in CYRILLIC_LATIN.items() if x in _LOOKS["Latin", "Greek"]}
 _LOOKS["Greek", "Cyrillic"] = {g: _LOOKS["Latin", "Cyrillic"][x] for g, x in GREEK_LATIN.items() if x in _LOOKS["Latin", "Cyrillic"]}
 
