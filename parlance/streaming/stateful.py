@@ -56,7 +56,7 @@ def chunked_turns(chunks: DataFrame, model: Callable[[list[float], bytes | None]
         for b in batches:
             for r in b.itertuples():
                 if r.ix >= next_ix:
-                    waiting[int(r.ix)] = (float(r.from_s), list(r.samples))
+                    waiting[int(r.ix)] = (float(r.from_s), [float(x) for x in r.samples])
         out = []
         while next_ix in waiting:
             at, samples = waiting.pop(next_ix)
