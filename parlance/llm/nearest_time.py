@@ -1,6 +1,6 @@
 """Pairing each left row with the right interval nearest in time: a stateful streaming join.
 
-Both sides are streams. A key of state is an entity's stretch of its time line; right rows go to every stretch they
+Both sides are streams. A key of state is a recording's stretch of its time line, with all its speakers; right rows go to every stretch they
 come near to, so a hot entity is spread over many keys. The state buffers the right intervals and those left rows
 that no interval covers so far (a covered row is settled at once: its distance is zero). A left row is emitted once
 the watermark passes its tolerance horizon; right rows are evicted once the watermark passes theirs.
@@ -30,6 +30,7 @@ TOLERANCE_MS = 1_200
 STRETCH_MS = 900_000
 #: A time beyond this is no time within a recording, and counts as null. It bounds the stretches of an interval.
 MAX_MS = 2**31
+APART = 2**35  # half milliseconds
 LATENESS = "14 days"
 
 _LEFT = "word_id bigint, recording string, start_s double, end_s double, speaker int, received_at timestamp"
@@ -63,10 +64,9 @@ def nearest(mid2: np.ndarray, lo2: np.ndarray, hi2: np.ndarray, ids: np.ndarray)
     left = np.where(has_l, np.maximum(mid2 - reach[np.maximum(at - 1, 0)], 0), far)
     nxt = np.minimum(at, len(lo) - 1)
     right = np.where(has_r, lo[nxt] - mid2, far)
-    first = np.searchsorted(lo, lo[nxt], side="left")
-    least = np.minimum.reduceat(own, np.unique(lo, return_index=True)[1])
-    by_start = dict(zip(np.unique(lo).tolist(), least.tolist()))
-    right_id = np.array([by_start[x] for x in lo[np.minimum(first, len(lo) - 1)].tolist()], dtype=np.int64) if len(mid2) else np.zeros(0, dtype=np.int64)
+    starts, first = np.unique(lo, return_index=True)
+    least = np.minimum.reduceat(own, first)
+    right_id = least[np.searchsorted(starts, lo[nxt])]
     left_id = who[np.maximum(at - 1, 0)]
     dist = np.minimum(left, right)
     ids_out = np.where(left < right, left_id, np.where(right < left, right_id, np.minimum(left_id, right_id)))
@@ -75,23 +75,23 @@ def nearest(mid2: np.ndarray, lo2: np.ndarray, hi2: np.ndarray, ids: np.ndarray)
 
 def _join(tolerance_ms: int):
     from_bytes = lambda b, n: np.frombuffer(b, dtype=np.int64).reshape(-1, n)
+    rows = lambda q, *c: np.column_stack([q[x].to_numpy(dtype=np.int64) for x in c])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        left, right = np.zeros((0, 3), dtype=np.int64), np.zeros((0, 4), dtype=np.int64)
+        left, right = np.zeros((0, 4), dtype=np.int64), np.zeros((0, 5), dtype=np.int64)
         if state.exists:
             a, b = state.get
-            left, right = from_bytes(a, 3), from_bytes(b, 4)
+            left, right = from_bytes(a, 4), from_bytes(b, 5)
         if not state.hasTimedOut:
             for p in batches:
                 side = p["side"].to_numpy()
-                if (is_l := side == 0).any():
-                    q = p[is_l]
-                    left = np.vstack([left, np.column_stack([q["id"], q["lo2"], q["seen"]]).astype(np.int64)])
-                if (is_r := side == 1).any():
-                    q = p[is_r]
-                    right = np.vstack([right, np.column_stack([q["id"], q["lo2"], q["hi2"], q["seen"]]).astype(np.int64)])
+                left = np.vstack([left, rows(p[side == 0], "id", "lo2", "seen", "speaker")])
+                right = np.vstack([right, rows(p[side == 1], "id", "lo2", "hi2", "seen", "speaker")])
         mark = state.getCurrentWatermarkMs()
-        dist, who = nearest(left[:, 1], right[:, 1], right[:, 2], right[:, 0])
+        # Speakers stand so far apart on one line that none is near another.
+        codes = np.unique(np.concatenate([left[:, 3], right[:, 4]]), return_inverse=True)[1].reshape(-1) * APART
+        own = codes[len(left) :]
+        dist, who = nearest(left[:, 1] + codes[: len(left)], right[:, 1] + own, right[:, 2] + own, right[:, 0])
         ripe = left[:, 2] + tolerance_ms <= mark
         out = ripe & (dist != 0)
         keep = ~ripe & (dist != 0)  # a covered row is settled
@@ -136,7 +136,7 @@ def nearest_time_stream(left: DataFrame, right: DataFrame, tolerance_ms: int = T
         F.lit(1).alias("side"), F.col("turn_id").alias("id"), (a * 2).alias("lo2"), (b * 2).alias("hi2"), F.coalesce(seen, F.lit(_UNKNOWN_MS)).alias("seen"), arrival.alias("arrival"),
     )
     both = lhs.unionByName(rhs).withWatermark("arrival", lateness)
-    return both.groupBy("recording", "speaker", "stretch").applyInPandasWithState(_join(tolerance_ms), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return both.groupBy("recording", "stretch").applyInPandasWithState(_join(tolerance_ms), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _with_end(spark: SparkSession, stream: DataFrame, ident: str) -> DataFrame:
