@@ -199,13 +199,13 @@ def bisected(spans: DataFrame, cut: Column, depth: int = 0, max_depth: int = 2,
 
 # --- who speaks ---------------------------------------------------------------------------------------------------
 
-#: Milliseconds of a bucket of the overlap join.
-JOIN_MS = 30_000
+#: Milliseconds of a bucket of the overlap join; a time beyond the limit is no time within a recording.
+JOIN_MS, LIMIT_MS = 30_000, 2**31
 
 
 def speaker_at(words: DataFrame, turns: DataFrame) -> DataFrame:
     """word_id, speaker, overlap_ms, distance_ms: who speaks most during each timed word; the nearest turn's speaker
-    where nobody does. In whole milliseconds; on ties the turn that comes first (start, end, ord).
+    where nobody does. In whole milliseconds (times beyond 2^31 are left out); on ties the turn that comes first (start, end, ord).
 
     Words and turns meet by buckets of time, a pair in the bucket in which it begins to overlap. Words without overlap
     take the nearer of the furthest end before them and the next start, which scans over the time line carry.
@@ -213,6 +213,8 @@ def speaker_at(words: DataFrame, turns: DataFrame) -> DataFrame:
     order = ["a", "b", "ord"]
     t = valid(turns).select("recording", "ord", "speaker", millis("start_s").alias("a"), millis("end_s").alias("b")).distinct()
     w = words.where(F.col("start_s").isNotNull() & F.col("end_s").isNotNull()).select("recording", "word_id", millis("start_s").alias("s"), millis("end_s").alias("e")).distinct()
+    near = lambda x: F.abs(F.col(x)) < LIMIT_MS
+    t, w = t.where(near("a") & near("b")), w.where(near("s") & near("e"))
     spread = lambda lo, hi: F.explode(F.sequence(F.floor(lo / JOIN_MS), F.floor(F.greatest(lo, hi) / JOIN_MS)))
     tb = t.withColumn("k", spread(F.col("a"), F.col("b")))
     wb = w.withColumn("k", spread(F.col("s"), F.col("e")))
@@ -236,8 +238,7 @@ def speaker_at(words: DataFrame, turns: DataFrame) -> DataFrame:
     dr = F.col("_next") - F.col("x")
     left = F.when(F.col("_left").isNotNull(), F.struct(dl.alias("d"), (-F.col("_left.na")).alias("a"), (-F.col("_left.nb")).alias("b"), (-F.col("_left.no")).alias("ord"), F.col("_left.speaker").alias("speaker")))
     right = F.when(F.col("r").isNotNull(), F.struct(dr.alias("d"), F.col("r.a").alias("a"), F.col("r.b").alias("b"), F.col("r.ord").alias("ord"), F.col("r.speaker").alias("speaker")))
-    near = F.array_min(F.array_compact(F.array(left, right)))
-    far = lone.withColumn("n", near).where("n IS NOT NULL").select("word_id", F.col("n.speaker").alias("speaker"), F.lit(0).cast("bigint").alias("overlap_ms"), (F.col("n.d") / 2.0).alias("distance_ms"))
+    far = lone.withColumn("n", F.array_min(F.array_compact(F.array(left, right)))).where("n IS NOT NULL").select("word_id", F.col("n.speaker").alias("speaker"), F.lit(0).cast("bigint").alias("overlap_ms"), (F.col("n.d") / 2.0).alias("distance_ms"))
     return over.unionByName(far)
 
 

@@ -718,3 +718,94 @@ def s5_chunked_turns(spark: SparkSession, folder: str) -> DataFrame:
     chunks = written(chunks.withColumn("from_s", F.col("ix").cast("double")), "chunks")
     path = chunks.inputFiles()[0].rsplit("/", 1)[0]
     return _run(spark, stateful.chunked_turns(spark.readStream.schema(chunks.schema).parquet(path), model), "turns")
+
+
+# --- smaller operators --------------------------------------------------------------------------------------------
+
+
+@query("j10_zipf", f"""
+WITH {PIECES}, w AS (SELECT unnest({turns_text()}) AS word FROM p WHERE text IS NOT NULL), n AS (SELECT word, count(*) AS n FROM w GROUP BY word), t AS (SELECT count(*) AS total FROM w)
+SELECT word, round(log10(1e9 * n / total), 6) AS zipf FROM n, t
+""")
+def j10_zipf(spark: SparkSession, folder: str) -> DataFrame:
+    """How frequent each word of the pieces is."""
+    w = pieces_once(spark, folder).where("text IS NOT NULL").select(F.lit("fr").alias("lang"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
+    return post.zipf(w).select("word", F.round("zipf", 6).alias("zipf"))
+
+
+@query("o4_word_cap", f"""
+WITH {PIECES}, t AS (SELECT piece_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w, CAST(floor(greatest((end_s - start_s) / 10, 1.0) * 6.0) AS INT) + 5 AS n FROM p WHERE text IS NOT NULL)
+SELECT piece_id, array_to_string(w[1:n], ' ') AS text FROM t
+""")
+def o4_word_cap(spark: SparkSession, folder: str) -> DataFrame:
+    """As many words of a piece as a tenth of its time can hold."""
+    return pieces_once(spark, folder).where("text IS NOT NULL").select("piece_id", retry.capped(F.col("text"), (F.col("end_s") - F.col("start_s")) / 10).alias("text"))
+
+
+@query("m8_halves", f"""
+WITH {PIECES}, c AS (SELECT piece_id, start_s, end_s, (start_s + end_s) / 2 AS cut FROM p)
+SELECT piece_id, start_s, cut AS end_s, TRUE AS split FROM c WHERE end_s - start_s >= 4.0 UNION ALL SELECT piece_id, cut, end_s, TRUE FROM c WHERE end_s - start_s >= 4.0
+UNION ALL SELECT piece_id, start_s, end_s, FALSE FROM c WHERE NOT end_s - start_s >= 4.0
+""")
+def m8_halves(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces long enough to be split, halved in the middle, and the others."""
+    p = pieces_once(spark, folder).select("piece_id", "start_s", "end_s")
+    halves, rest = intervals.bisected(p, (F.col("start_s") + F.col("end_s")) / 2)
+    return halves.withColumn("split", F.lit(True)).unionByName(rest.withColumn("split", F.lit(False)))
+
+
+#: SQL: what the JVM takes for a character of a word.
+WORD_CHARS = "\\p{L}\\p{M}\\p{N}\\p{Pc}\\x{24B6}-\\x{24E9}\\x{200C}\\x{200D}"
+
+
+@query("t6_bare", f"""
+WITH w AS (SELECT DISTINCT word_id, text FROM words)
+SELECT word_id, lower(regexp_replace(regexp_replace(text, '^[^{WORD_CHARS}]+', ''), '[^{WORD_CHARS}]+$', '')) AS bare FROM w
+""")
+def t6_bare(spark: SparkSession, folder: str) -> DataFrame:
+    """Words without the marks around them."""
+    return words_once(spark, folder).select("word_id", text.bare_column(F.col("text")).alias("bare"))
+
+
+@query("l10_budget", f"""
+WITH {PIECES} SELECT recording, CAST(floor(24 + max(end_s - start_s) * 12.0) AS INT) AS budget FROM p GROUP BY recording
+""")
+def l10_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """New tokens that a recording's pieces may have if they are one batch."""
+    p = pieces_once(spark, folder).groupBy("recording").agg(F.max(F.col("end_s") - F.col("start_s")).alias("longest"))
+    return p.select("recording", retry.token_budget(F.col("longest"), 24, 12.0).alias("budget"))
+
+
+@query("c6_align_words")
+def c6_align_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of pieces timed by the frames that stand for their sound."""
+    from ..functions.arrow import by_row
+
+    def one(logp, start, end, said):
+        rows = alignment.align_words(alignment._frames(logp), (end - start) / max(1, len(logp)), start, end, said, VOCAB, VOCAB["|"])
+        return [{"start_s": round(a, 6), "end_s": round(b, 6), "text": w} for a, b, w in rows]
+
+    udf = by_row("array<struct<start_s: double, end_s: double, text: string>>")(one)
+    p = pieces_once(spark, folder).where("text IS NOT NULL").withColumn("_k", F.col("piece_id") % 10)
+    x = p.join(spans_of_frames(spark, folder).select(F.col("span_id").alias("_k"), "logp"), "_k")
+    return x.select("piece_id", F.posexplode(udf("logp", "start_s", "end_s", "text")).alias("pos", "w")).select("piece_id", "pos", "w.start_s", "w.end_s", "w.text")
+
+
+@query("o6_top_language", """
+SELECT config_id, arg_max(lang, (n, lang)) AS lang FROM (SELECT config_id, coalesce(lang, '') AS lang, len(glossary) AS n FROM post_configs) GROUP BY config_id
+""")
+def o6_top_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The top entry of a group, ties told."""
+    c = read(spark, folder, "post_configs").select("config_id", F.coalesce("lang", F.lit("")).alias("lang"), F.size("glossary").alias("n"))
+    return c.groupBy("config_id").agg(F.max_by("lang", F.struct("n", "lang")).alias("lang"))
+
+
+@query("t15_glossary_entries", """
+WITH e AS (SELECT config_id, unnest(glossary) AS e FROM post_configs)
+SELECT config_id, trim(split_part(e, '=', 1)) AS term, count(*) AS n FROM e WHERE trim(split_part(e, '=', 1)) <> '' GROUP BY config_id, term
+""")
+def t15_glossary_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """The terms typed into each configuration."""
+    e = read(spark, folder, "post_configs").select("config_id", F.explode("glossary").alias("e"))
+    t = F.trim(F.element_at(F.split("e", "="), 1))
+    return e.select("config_id", t.alias("term")).where("term <> ''").groupBy("config_id", "term").agg(F.count("*").alias("n"))
