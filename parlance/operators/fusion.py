@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import by_row
 from ..functions.text import french_numbers
+from ..session import spread
 from .alignment import path_score, tokens_of
 
 MARGIN, BONUS = 10.0, 6.0
@@ -85,5 +86,5 @@ def fused(pairs: DataFrame, vocab: dict[str, int], separator: int | None, blank:
     count = F.size(F.filter(F.split(F.coalesce("text_a", F.lit("")), r"(?U)\s+"), lambda t: t != ""))
     keep = ["recording", "span_id", "flags"]
     easy = x.where(same).select(*keep, F.coalesce("text_a", F.lit("")).alias("text"), F.lit(1).alias("windows"), count.alias("words"), *[F.lit(0).alias(n) for n in names[2:]])
-    hard = x.where(~same).withColumn("_f", udf("text_a", "text_b", "logp")).select(*keep, "_f.text", *[F.col(f"_f.{n}") for n in names])
+    hard = spread(x.where(~same), "recording", "span_id").withColumn("_f", udf("text_a", "text_b", "logp")).select(*keep, "_f.text", *[F.col(f"_f.{n}") for n in names])
     return easy.unionByName(hard).where(F.col("text") != "")

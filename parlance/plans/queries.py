@@ -11,7 +11,7 @@ from ..functions import loops, text
 from ..functions.text import INVENTED, INVENTED_SHORT
 from ..operators import alignment, fusion, intervals, retry, speakers
 from ..operators.periods import periods_and_gaps
-from ..session import scratch, written
+from ..session import scratch, spread, written
 from ..sources import audio, sinks
 from ..sources.tables import deliveries_once, millis, read
 from ..streaming import stateful
@@ -334,7 +334,7 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
         F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_ix", "text"))), lambda r: r["text"]), " ").alias("text"))
     t = F.col("text")
     each = F.array(F.struct(F.lit(0).alias("rung"), t.alias("text")), F.struct(F.lit(1).alias("rung"), F.substring(t, F.lit(1), F.floor(F.length(t) / 2).cast("int")).alias("text")), F.struct(F.lit(2).alias("rung"), F.concat(t, F.lit(" "), t).alias("text")))
-    x = p.withColumn("a", F.explode(each)).select("recording", "span_id", "start_s", "end_s", "a.rung", "a.text")
+    x = spread(p, "recording", "span_id").withColumn("a", F.explode(each)).select("recording", "span_id", "start_s", "end_s", "a.rung", "a.text")
     return x.withColumns({"hit_limit": (F.col("rung") == 0) & (F.length("text") > 600), "stop_reason": F.when((F.col("rung") == 1) & (F.col("span_id") % 7 == 0), "token loop")})
 
 

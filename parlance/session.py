@@ -43,6 +43,12 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/parlance/{what}-{uuid.uuid4().hex}"
 
 
+def spread(df, *keys: str):
+    """Partition by keys into as many parts as shuffles have. Rows that are small in bytes but dear in work stay apart,
+    where adaptive execution would join them into a few tasks; grouping by the keys needs no further shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def written(df, what: str):
     """Cut lineage: write ``df`` below the shared folder and read it back. Survives the loss of executors."""
     spark = df.sparkSession

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def read(spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     """One table of ``folder``; only ``columns`` reach the scan."""
@@ -24,4 +26,4 @@ def millis(seconds: Column | str) -> Column:
 def deliveries_once(df: DataFrame, *keys: str) -> DataFrame:
     """Re-delivered rows equal their first delivery but for ``received_at``: keep one row a key."""
     rest = [c for c in df.columns if c not in keys and c != "received_at"]
-    return df.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest])
+    return spread(df, *keys).groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest])
