@@ -13,7 +13,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import spread, written
 from .script_form import normalized
 from .speech import spoken
 
@@ -78,11 +78,11 @@ def _sets(strings: DataFrame) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, rarity: DataFrame) -> DataFrame:
-    """folded, kind, n, at, pair: the prefix of each set in the order of rarity. Sets that share all but LOST pairs
+    """folded, kind, key, n, at, pair: the prefix of each set in the order of rarity. Sets that share all but LOST pairs
     of theirs share one of their LOST + 1 rarest."""
-    each = sets.select("folded", "kind", F.size("pairs").alias("n"), F.explode("pairs").alias("pair")).join(rarity, ["kind", "pair"], "left")
-    ordered = each.groupBy("folded", "kind", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "pair"))).alias("o"))
-    return ordered.select("folded", "kind", "n", F.posexplode(F.slice("o", 1, LOST + 1)).alias("at", "p")).select("folded", "kind", "n", "at", F.col("p.pair").alias("pair"))
+    each = sets.select("folded", "kind", "key", F.size("pairs").alias("n"), F.explode("pairs").alias("pair")).join(rarity, ["kind", "pair"], "left")
+    ordered = each.groupBy("folded", "kind", "key", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "pair"))).alias("o"))
+    return ordered.select("folded", "kind", "key", "n", F.posexplode(F.slice("o", 1, LOST + 1)).alias("at", "p")).select("folded", "kind", "key", "n", "at", F.col("p.pair").alias("pair"))
 
 
 def similar(queries: DataFrame, ref: DataFrame) -> DataFrame:
@@ -92,15 +92,15 @@ def similar(queries: DataFrame, ref: DataFrame) -> DataFrame:
     qs, rs = _sets(queries.select("folded").where(long).distinct()), _sets(ref.select("folded").where(long).distinct())
     # Rarity over both sides; there are no more pairs than the alphabet squared.
     rarity = qs.unionByName(rs).select("kind", F.explode("pairs").alias("pair")).groupBy("kind", "pair").agg(F.count("*").alias("seen"))
-    qp = _prefixes(qs, rarity).select(F.col("folded").alias("q"), "kind", F.col("n").alias("qn"), F.col("at").alias("qat"), "pair")
-    rp = _prefixes(rs, rarity).select(F.col("folded").alias("r"), "kind", F.col("n").alias("rn"), F.col("at").alias("rat"), "pair")
+    qp = _prefixes(qs, rarity).select(F.col("folded").alias("q"), "kind", F.col("key").alias("qk"), F.col("n").alias("qn"), F.col("at").alias("qat"), "pair")
+    rp = _prefixes(rs, rarity).select(F.col("folded").alias("r"), "kind", F.col("key").alias("rk"), F.col("n").alias("rn"), F.col("at").alias("rat"), "pair")
     need = F.greatest("qn", "rn") - LOST
     room = 1 + F.least(F.col("qn") - F.col("qat") - 1, F.col("rn") - F.col("rat") - 1)
-    near = qp.join(rp, ["kind", "pair"]).where((F.abs(F.col("qn") - F.col("rn")) <= LOST) & (F.least("qat", "rat") + room >= need)).select("kind", "q", "r").distinct()
-    a, b = letter_pairs(F.when(F.col("kind") == "f", F.col("q")).otherwise(sound(F.col("q")))), letter_pairs(F.when(F.col("kind") == "f", F.col("r")).otherwise(sound(F.col("r"))))
-    near = near.withColumn("both", F.size(F.array_intersect(a, b))).withColumn("any", F.size(F.array_union(a, b)))
-    near = near.where(F.col("both") >= F.greatest(F.size(a), F.size(b)) - LOST)
-    return near.groupBy("q", "r").agg(F.max(F.col("both") / F.col("any")).alias("jaccard"))
+    length = (F.abs(F.length("qk") - F.length("rk")) <= 1) & (F.abs(F.col("qn") - F.col("rn")) <= LOST)  # one edit changes no more
+    near = qp.join(rp, ["kind", "pair"]).where(length & (F.least("qat", "rat") + room >= need)).select("q", "r", "qk", "rk").distinct()
+    near = near.withColumns({"a": letter_pairs(F.col("qk")), "b": letter_pairs(F.col("rk"))}).withColumn("both", F.size(F.array_intersect("a", "b")))
+    near = near.where(F.col("both") >= F.greatest(F.size("a"), F.size("b")) - LOST)
+    return near.groupBy("q", "r").agg(F.max(F.col("both") / (F.size("a") + F.size("b") - F.col("both"))).alias("jaccard"))
 
 
 def closest(queries: DataFrame, ref: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def closest(queries: DataFrame, ref: DataFrame) -> DataFrame:
 
 def segment_windows(segments: DataFrame) -> DataFrame:
     """seg_id, at, n, folded: runs of one to three words of each text, in the one form of its letters."""
-    rows = segments.select("seg_id", "text").where(F.col("text").isNotNull()).dropDuplicates(["seg_id"])
+    rows = spread(segments.select("seg_id", "text").where(F.col("text").isNotNull()), "seg_id").dropDuplicates(["seg_id"])
     rows = normalized(rows).select("seg_id", F.split(spoken(F.col("form")), r"(?U)[\s\-–—/]+").alias("w"))
     rows = rows.select("seg_id", F.filter(F.transform("w", lambda x: fold(x)), lambda x: x != "").alias("w")).where(F.size("w") > 0)
     rows = written(rows, "words-of-texts")  # read twice: for the spellings, and for the places of those that match
