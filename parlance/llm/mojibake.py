@@ -28,6 +28,8 @@ PAIRS = (
     ("cp1253", "cp1252", 1), ("iso8859-7", "latin-1", 1), ("cp1250", "cp1252", 1), ("iso8859-2", "latin-1", 1), ("cp1250", "cp1251", 1), ("cp1251", "cp1252", 1),
 )
 ENTER, LEAVE, FLOOR = -9.0, -1.0, 1e-7
+#: Log probabilities: below the first a text gets the full model, below the second a character needs an explanation.
+UNLIKELY, DOUBT = -7.5, -5.0
 LOST = "�"
 
 
@@ -103,15 +105,24 @@ def looks_sound(text: str) -> bool:
 
 def pair_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of (character, character after it), where one of the two is not ASCII, and of single characters."""
-    n: Counter = Counter()
+    single: Counter = Counter()
+    pairs: Counter = Counter()
     for b in batches:
         for t in b["text"]:
             if t is None or not looks_sound(t):
                 continue
-            n.update(("", c) for c in t)
+            single.update(t)
             if not t.isascii():
-                n.update(p for p in zip(" " + t, t) if p[0] > "\x7f" or p[1] > "\x7f")
-    yield pd.DataFrame([(a, c, k) for (a, c), k in n.items()], columns=["a", "c", "n"])
+                t = f" {t}"
+                for m in _BEYOND.finditer(t):
+                    run = t[m.start() - 1 : m.end() + 1]
+                    pairs.update(zip(run, run[1:]))
+    rows = [("", c, k) for c, k in single.items()] + [(a, c, k) for (a, c), k in pairs.items()]
+    yield pd.DataFrame(rows, columns=["a", "c", "n"])
+
+
+#: Runs of characters beyond ASCII.
+_BEYOND = re.compile(r"[^\x00-\x7f]+")
 
 
 class Characters:
@@ -121,8 +132,14 @@ class Characters:
         self.pair = {a + c: n for a, c, n in rows if a}
         self.single = {c: n for a, c, n in rows if not a}
         self.total = max(1, sum(self.single.values()))
+        self.known: dict[str, float] = {}
 
     def logp(self, a: str, c: str) -> float:
+        if (p := self.known.get(a + c)) is None:
+            p = self.known[a + c] = self._logp(a, c)  # no more than the alphabet squared
+        return p
+
+    def _logp(self, a: str, c: str) -> float:
         n, k = self.single.get(a, 0), self.pair.get(a + c, 0)
         p = 0.9 * k / n if n else 0.0
         if c.isupper() and not a.islower():  # text in capitals is as likely as its small letters
@@ -151,10 +168,12 @@ def label(text: str, model: Characters) -> list[tuple[int, int, int, str]]:
     """Spans (from, to, state, restored) that are not clean; state counts from 1 in PAIRS, 0 is loss."""
     if text.isascii():
         return []
-    places = [i for i, c in enumerate(text) if c > "\x7f"]
+    places = [i for m in _BEYOND.finditer(text) for i in range(*m.span())]
     clean = [model.logp(text[i - 1] if i else " ", text[i]) for i in places]
-    if min(clean) > -7.5 and LOST not in text and not suspicious(text):
+    if min(clean) > UNLIKELY and LOST not in text and not suspicious(text):
         return []
+    # A state that changes nothing doubtful can't win: clean text explains the rest as well.
+    doubtful = {text[i] for i, p in zip(places, clean) if p < DOUBT}
     # What each state makes of each place: (log probability, first of its sequence, its character); absent: it can't.
     made: list[dict[int, tuple[float, bool, str]]] = [{} for _ in places]
     index = {p: k for k, p in enumerate(places)}
@@ -175,6 +194,8 @@ def label(text: str, model: Characters) -> list[tuple[int, int, int, str]]:
                 before = x
         else:
             m = _single(written, read)
+            if doubtful.isdisjoint(m):
+                continue
             before, own = " ", False
             for k, i in enumerate(places):
                 x = m.get(text[i])
