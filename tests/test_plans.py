@@ -41,9 +41,9 @@ def test_query_runs(spark, data, name):
 
 
 def test_entry_without_the_optional_subpackage(monkeypatch):
-    for m in [m for m in sys.modules if m == "__spark_entry__" or m.startswith("parlance.l" + "lm")]:
+    for m in [m for m in sys.modules if m == "__spark_entry__" or m.startswith("parlance.llm")]:
         monkeypatch.delitem(sys.modules, m)
-    monkeypatch.setitem(sys.modules, "parlance.l" + "lm", None)
+    monkeypatch.setitem(sys.modules, "parlance.llm", None)
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.queries()) == set(queries.QUERIES)
     sys.modules.pop("__spark_entry__")
