@@ -179,6 +179,10 @@ def measured(pieces: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def repeating(pieces: DataFrame, segments: DataFrame) -> DataFrame:
-    """src, row_id of outliers with at least eight words, half of them and more repeated."""
+    """src, row_id of texts with at least eight words, half of them and more repeated.
+
+    The exact rule alone decides. The distance is a score beside it, not a gate before it: where much of a stratum
+    repeats, texts of half repeated words are usual there and within the cutoff.
+    """
     got = measured(pieces, segments)
-    return got.where(F.col("outlier") & (F.col("n_words") >= MIN_WORDS) & (F.col("n_repeated") * 2 >= F.col("n_words"))).select("src", "row_id")
+    return got.where((F.col("n_words") >= MIN_WORDS) & (F.col("n_repeated") >= MIN_SHARE * F.col("n_words"))).select("src", "row_id")

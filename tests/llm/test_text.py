@@ -202,6 +202,26 @@ def test_repeating(spark):
     assert repetition.measured(p.limit(0), s.limit(0)).count() == 0
 
 
+def partly_repeated(r, n, share):
+    """n words, at least the share of them in phrases that come back after others."""
+    w = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(n)]
+    while repetition.repeated_words(w) < share * n:
+        k = min(r.randint(3, 5), n // 2)
+        i = r.randrange(n - 2 * k + 1)
+        j = r.randrange(i + k, n - k + 1)
+        w[j : j + k] = w[i : i + k]
+    return w
+
+
+def test_half_repeated_among_texts_that_repeat(spark):
+    r = random.Random(1)
+    usual = [partly_repeated(r, r.randint(8, 130), 0.46 * r.random()) for _ in range(300)]
+    words = usual + [partly_repeated(r, n, 0.5) for n in range(8, 131, 3)]
+    p = spark.createDataFrame([], "piece_id bigint, text string")
+    got = {x.row_id for x in repetition.repeating(p, segments(spark, [" ".join(w) for w in words])).collect()}
+    assert got == {i for i, w in enumerate(words) if repetition.repeated_words(w) * 2 >= len(w)} and len(got) >= 41
+
+
 def test_mcd_ignores_outliers():
     import numpy as np
 
