@@ -171,9 +171,9 @@ def measured(pieces: DataFrame, segments: DataFrame) -> DataFrame:
         return out
 
     d1, d0 = distance("c1", "i1"), distance("c0", "i0")
-    more = F.col("z")[0] > F.coalesce(F.col("c1")[0], F.col("c0")[0])
-    # A stratum spoilt by many loops still meets the estimate of its whole source.
-    outlier = F.coalesce((F.greatest(F.coalesce(d1, d0), d0) > CUTOFF) & more, F.lit(False)) & (F.col("n_words") > 0)
+    # Each estimate by its own side: a stratum spoilt by many loops still meets the estimate of its whole source.
+    beyond = [F.coalesce((d > CUTOFF) & (F.col("z")[0] > F.col(c)[0]), F.lit(False)) for d, c in ((d1, "c1"), (d0, "c0"))]
+    outlier = (beyond[0] | beyond[1]) & (F.col("n_words") > 0)
     share = F.when(F.col("n_words") > 0, F.col("n_repeated") / F.col("n_words")).otherwise(F.lit(0.0))
     return got.select("src", "row_id", "n_words", "n_repeated", "lang", share.alias("share"), F.greatest(F.coalesce(d1, d0), d0).alias("distance"), outlier.alias("outlier"))
 

@@ -222,6 +222,18 @@ def test_half_repeated_among_texts_that_repeat(spark):
     assert got == {i for i, w in enumerate(words) if repetition.repeated_words(w) * 2 >= len(w)} and len(got) >= 41
 
 
+def test_stratum_spoilt_by_loops(spark):
+    """Loops below the centre of a stratum of loops are beyond the source's estimate, on the side of more."""
+    r = random.Random(2)
+    usual = ["le " + " ".join(partly_repeated(r, 20, 0)) for _ in range(1500)]
+    loops = [" ".join(partly_repeated(r, 4, 0) * r.randint(8, 12)) for _ in range(190)]  # no frequent word: stratum 'none'
+    milder = [" ".join(partly_repeated(r, 11, 0) + partly_repeated(r, 3, 0) * 5) for _ in range(20)]
+    p = spark.createDataFrame([], "piece_id bigint, text string")
+    got = {x.row_id: x for x in repetition.measured(p, segments(spark, usual + loops + milder)).collect()}
+    assert {got[i].lang for i in range(1500, 1710)} == {"none"}
+    assert all(got[i].outlier for i in range(1500, 1710)) and not any(got[i].outlier for i in range(1500))
+
+
 def test_mcd_ignores_outliers():
     import numpy as np
 
