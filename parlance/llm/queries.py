@@ -43,8 +43,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("p2_turns")
 def p2_turns(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole clean turns."""
-    return speaker_turns.clean_turns(read(spark, folder, "segments")).drop("score")
+    """The whole clean turns, with their scores."""
+    return speaker_turns.clean_turns(read(spark, folder, "segments")).withColumn("score", F.round("score", 6))
 
 
 @query("p3_found", f"""

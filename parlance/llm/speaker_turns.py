@@ -7,8 +7,9 @@ turn opens only at such a row, for a row without one goes on with the row before
 segmentations that remain, and give each turn its score. Non-speech is cut from the text, and rows of nothing else
 are dropped after decoding, when turns of one speaker join.
 
-Recordings are cut into buckets of time. The speaker that reigns at a bucket's head is carried into it, which makes
-decoding bucket by bucket exact; the turns cut by an edge are joined again.
+Recordings are cut into buckets of time. The speaker that reigns at a bucket's head and the row before it are carried
+into it, which makes decoding bucket by bucket exact (but for where a chain of segments of ``MAX_ROWS`` is cut); the
+turns cut by an edge are joined again.
 """
 
 from __future__ import annotations
@@ -35,11 +36,12 @@ MAX_ROWS = 64
 _DECODED = "recording string, _bucket bigint, seg_id bigint, speaker int, turn_score double"
 
 
-def decode(known: list[int | None], gaps: np.ndarray, shared: np.ndarray, head: int | None) -> tuple[list[int | None], list[float]]:
-    """Best segmentation of rows into turns: the speaker of each row and the score of its turn.
+def decode(known: list[int | None], gaps: np.ndarray, shared: np.ndarray, head: int | None, follows: bool = False) -> tuple[list[int | None], list[float]]:
+    """Best segmentation of rows into turns: the speaker of each row's segment and the row's part of the score.
 
     known: each row's speaker by its column or label; gaps: seconds of pause before it; shared: the share of its
-    words that the row before has; head: the speaker that reigns before the first row.
+    words that the row before has; head: the speaker that reigns before the first row; follows: there is a row before
+    the first, whose turn may go on. The parts of a segment's rows sum up to its score.
     """
     n = len(known)
     link = PAUSE * np.minimum(gaps, 10.0) + LEXICAL * shared  # of a row to the row before, inside a turn
@@ -50,6 +52,10 @@ def decode(known: list[int | None], gaps: np.ndarray, shared: np.ndarray, head:
     for k in known:
         now = now if k is None else k
         reign.append(now)
+    opening, going = OPEN + length[0], math.log(1 - 1 / MEAN_ROWS)
+    # The first row opens a turn, or goes on with the one before where that is possible and better, or where it must.
+    goes_on = follows and n > 0 and reign[0] == head and (known[0] is None or link[0] + going > opening)
+    first = float(link[0] + going) if goes_on else opening
     best = np.full(n + 1, -np.inf)
     back = np.zeros(n + 1, dtype=int)
     best[0] = 0.0
@@ -60,19 +66,21 @@ def decode(known: list[int | None], gaps: np.ndarray, shared: np.ndarray, head:
             opens = known[i] is not None or i == 0 or j - i == MAX_ROWS or reign[i] != reign[i - 1]
             if not opens:
                 continue
-            s = best[i] + OPEN + sums[j] - sums[i + 1] + length[j - i - 1]
+            s = best[i] + (opening if i else first) + sums[j] - sums[i + 1] + length[j - i - 1] - length[0]
             if s > best[j]:
                 best[j], back[j] = s, i
         if best[j] == -np.inf:  # more than MAX_ROWS rows without a label: the chain goes on
             back[j] = max(0, j - MAX_ROWS)
-            best[j] = best[back[j]] + OPEN + sums[j] - sums[back[j] + 1] + length[j - back[j] - 1]
-    score = [0.0] * n
+            best[j] = best[back[j]] + (opening if back[j] else first) + sums[j] - sums[back[j] + 1] + length[j - back[j] - 1] - length[0]
+    speaker: list[int | None] = [None] * n
+    part = [0.0] * n
     j = n
-    while j:
+    while j:  # the segments of the best path, from the last
         i = back[j]
-        score[i:j] = [float(best[j] - best[i])] * (j - i)
+        speaker[i:j] = [reign[i]] * (j - i)
+        part[i:j] = [opening if i else first, *(float(x + going) for x in link[i + 1 : j])]
         j = i
-    return reign, score
+    return speaker, part
 
 
 def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,14 +88,8 @@ def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         known = [None if pd.isna(x) else int(x) for x in g["known"]]
-        starts, ends = g["start_ms"].to_numpy(float), g["end_ms"].to_numpy(float)
-        gaps = np.zeros(len(g))
-        if len(g) > 1:
-            gaps[1:] = np.nan_to_num(np.maximum(starts[1:] - ends[:-1], 0.0) / 1000.0)
-        words = [set(x) if x is not None else set() for x in g["bag"]]
-        shared = np.array([0.0] + [len(a & b) / max(1, len(b)) for a, b in zip(words, words[1:])])
         head = g["head"].iloc[0]
-        speakers, score = decode(known, gaps, shared, None if pd.isna(head) else int(head))
+        speakers, score = decode(known, g["gap"].to_numpy(float), g["shared"].to_numpy(float), None if pd.isna(head) else int(head), bool(g["follows"].iloc[0]))
         return pd.DataFrame({
             "recording": g["recording"].to_numpy(), "_bucket": g["_bucket"].to_numpy(), "seg_id": g["seg_id"].to_numpy(),
             "speaker": pd.array(speakers, dtype="Int32"), "turn_score": score,
@@ -120,22 +122,27 @@ def rows_with_speakers(segments: DataFrame, bucket_ms: int = BUCKET_MS) -> DataF
         F.coalesce("speaker", label_number(F.col("text"))).alias("known"),
         spoken(F.col("text")).alias("said"),
     )
-    rows = written(bucketed(rows, "start_ms", bucket_ms), "parsed-rows")  # texts are parsed once
-    keys = ["recording"]
-    last = F.max_by("known", F.when(F.col("known").isNotNull(), F.struct("start_ms", "seg_id")))
-    rows = carry(rows, keys, {"head": (last, "last")})
     bag = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("said", F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) > 3))
-    slim = rows.select("recording", BUCKET, "seg_id", "start_ms", "end_ms", "known", "head", bag.alias("bag"))
-    slim = slim.repartition("recording", BUCKET).sortWithinPartitions("recording", BUCKET, "start_ms", "seg_id")
+    rows = written(bucketed(rows, "start_ms", bucket_ms).withColumn("bag", bag), "parsed-rows")  # texts are parsed once
+    keys, at = ["recording"], F.struct("start_ms", "seg_id")
+    last = F.max_by("known", F.when(F.col("known").isNotNull(), at))
+    rows = carry(rows, keys, {"head": (last, "last"), "before": (F.max_by(F.struct("end_ms", "bag"), at), "last")})
+    slim = rows.select("recording", BUCKET, "seg_id", "start_ms", "end_ms", "known", "head", "bag", "before").repartition("recording", BUCKET)
+    slim = slim.withColumn("_p", F.coalesce(F.lag(F.struct("end_ms", "bag")).over(local(keys, "start_ms", "seg_id")), "before"))
+    pause = F.col("start_ms") - F.col("_p.end_ms")
+    gap = F.when(pause > 0, pause / 1000.0).otherwise(0.0)
+    shared = F.when(F.col("_p").isNull(), 0.0).otherwise(F.size(F.array_intersect("_p.bag", "bag")) / F.greatest(F.size("bag"), F.lit(1)))
+    slim = slim.select("recording", BUCKET, "seg_id", "start_ms", "known", "head", gap.alias("gap"), shared.alias("shared"), F.col("before").isNotNull().alias("follows"))
+    slim = slim.sortWithinPartitions("recording", BUCKET, "start_ms", "seg_id")
     decoded = slim.mapInPandas(_decode_batches, _DECODED).drop(BUCKET, "recording")
-    return rows.drop("known", "head").join(decoded, "seg_id")
+    return rows.drop("known", "head", "bag", "before").join(decoded, "seg_id")
 
 
 def clean_turns(segments: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """recording, speaker, start_ms, end_ms, text, flags, first_seg_id, last_seg_id, n_rows, score: one row a turn.
 
     Rows are taken in order of start (the column's, else the time in the text), then of seg_id. Text is what is
-    spoken, joined in order; flags are the sorted union.
+    spoken, joined in order; flags are the sorted union; the score is the sum of its rows' parts.
 
     Defined cases: a row with neither speaker nor label goes on with the row before (without one, its speaker is
     null); null and empty texts and rows of sound notes or hesitations alone are dropped, but their labels hold for

@@ -51,6 +51,35 @@ def test_turns_equal_the_walk(spark, data):
     assert got == want
 
 
+def test_turns_have_the_score_of_the_best_path(spark):
+    """Exhaustive search over the openings that labels leave free, whatever the buckets."""
+    r = random.Random(4)
+    known = [r.choice([1, 1, 2, None, None]) for _ in range(12)]
+    starts = [i * 1.0 + r.choice([0.0, 0.5]) for i in range(12)]
+    words = [[r.choice(["micro", "piste", "temps", "studio"]) for _ in range(3)] for _ in range(12)]
+    df = spark.createDataFrame([(i, "r", 1, starts[i], starts[i] + r.choice([0.1, 1.0]), known[i], " ".join(words[i]), [], None) for i in range(12)], SEG)
+    ends = [x.end_s for x in df.orderBy("seg_id").collect()]
+    now, reign = None, []
+    for k in known:
+        now = now if k is None else k
+        reign.append(now)
+    free = [i for i in range(1, 12) if known[i] is not None and reign[i] == reign[i - 1]]
+    best = None
+    for pick in range(1 << len(free)):
+        opens = {0} | {i for i in range(1, 12) if reign[i] != reign[i - 1]} | {x for k, x in enumerate(free) if pick >> k & 1}
+        part = []
+        for i in range(12):
+            gap = max(0.0, starts[i] - ends[i - 1]) if i else 0.0
+            link = speaker_turns.PAUSE * gap + speaker_turns.LEXICAL * (len(set(words[i]) & set(words[i - 1])) / len(set(words[i])) if i else 0)
+            part.append(speaker_turns.OPEN + math.log(0.5) if i in opens else link + math.log(0.5))
+        if best is None or sum(part) > sum(best):
+            best = part
+    firsts = [i for i in range(12) if not i or reign[i] != reign[i - 1]] + [12]
+    want = {a: round(sum(best[a:b]), 6) for a, b in zip(firsts, firsts[1:])}
+    for width in (1000, 3000, 900_000):
+        assert {x.first_seg_id: round(x.score, 6) for x in speaker_turns.clean_turns(df, width).collect()} == want
+
+
 def write(spark, path, name, rows, ddl):
     df = spark.createDataFrame(rows, ddl).withColumns({"side": F.lit(1), "stretch": F.lit("x")})
     df.repartition(2).write.mode("overwrite").parquet(f"{path}/{name}.parquet")
