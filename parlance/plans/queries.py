@@ -436,7 +436,7 @@ def _config(spark: SparkSession, folder: str, **more) -> post.PostConfig:
     """Options with the reference list, a fixed table, as glossary, and the words that pieces use often as common."""
     entries = tuple(r["term"] + ("=" + "|".join(r["aliases"]) if r["aliases"] else "") for r in read(spark, folder, "glossary").orderBy("term_id").collect())
     words = read(spark, folder, "pieces", ["text"]).where("text IS NOT NULL").select(F.lit("fr").alias("lang"), F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
-    often = post.zipf(words).where("zipf >= 5.3").orderBy(F.desc("zipf"), "word").limit(2000)  # the commonest words, a bounded list
+    often = post.zipf(words).where(F.col("zipf") >= post.PostConfig.max_zipf)  # at 4.0 they are at most 100,000
     return post.PostConfig(glossary=entries, lang_filter=False, frequencies={r["word"]: r["zipf"] for r in often.collect()}, **more)
 
 

@@ -136,6 +136,17 @@ def run(spark, stream, path):
     return spark.read.schema(stream.schema).parquet(f"{path}/o").collect()
 
 
+def test_all_common_words_are_protected(spark, tmp_path):
+    from parlance.plans import queries
+
+    words = [f"mot{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)}" for i in range(2500)]
+    text = " ".join(["le"] * 50_000 + words + words[:1500])
+    spark.createDataFrame([(1, text)], "piece_id bigint, text string").write.parquet(f"{tmp_path}/pieces.parquet")
+    spark.createDataFrame([(1, "Chociphi", None)], "term_id int, term string, aliases array<string>").write.parquet(f"{tmp_path}/glossary.parquet")
+    often = queries._config(spark, str(tmp_path)).frequencies
+    assert set(often) == {"le", *words} and min(often.values()) < 5.3
+
+
 def test_watch_loops(spark, tmp_path):
     rows = [("r", 1, i, i % 2) for i in range(60)] + [("r", 2, i, i) for i in range(60)] + [("r", 3, i, 99) for i in range(60)]
     spark.createDataFrame(rows, "recording string, span_id bigint, ix int, token int").repartition(3).write.parquet(f"{tmp_path}/in")
