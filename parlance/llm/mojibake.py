@@ -28,8 +28,10 @@ PAIRS = (
     ("cp1253", "cp1252", 1), ("iso8859-7", "latin-1", 1), ("cp1250", "cp1252", 1), ("iso8859-2", "latin-1", 1), ("cp1250", "cp1251", 1), ("cp1251", "cp1252", 1),
 )
 ENTER, LEAVE, FLOOR = -9.0, -1.0, 1e-7
-#: Log probabilities: below the first a text gets the full model, below the second a character needs an explanation.
-UNLIKELY, DOUBT = -7.5, -5.0
+#: Log probability below which a character gets its text the full model.
+UNLIKELY = -7.5
+#: Gain below which no stretch of a one-byte state wins: entering it, less the leaving of the state before that it saves.
+LEAST_GAIN = LEAVE - ENTER - 0.01
 LOST = "�"
 
 
@@ -172,8 +174,6 @@ def label(text: str, model: Characters) -> list[tuple[int, int, int, str]]:
     clean = [model.logp(text[i - 1] if i else " ", text[i]) for i in places]
     if min(clean) > UNLIKELY and LOST not in text and not suspicious(text):
         return []
-    # A state that changes nothing doubtful can't win: clean text explains the rest as well.
-    doubtful = {text[i] for i, p in zip(places, clean) if p < DOUBT}
     # What each state makes of each place: (log probability, first of its sequence, its character); absent: it can't.
     made: list[dict[int, tuple[float, bool, str]]] = [{} for _ in places]
     index = {p: k for k, p in enumerate(places)}
@@ -194,9 +194,11 @@ def label(text: str, model: Characters) -> list[tuple[int, int, int, str]]:
                 before = x
         else:
             m = _single(written, read)
-            if doubtful.isdisjoint(m):
+            # What all of a state's places gain is no less than a stretch in it gains. One below the cost of entering can't win.
+            if sum(-p for i, p in zip(places, clean) if text[i] in m) < LEAST_GAIN:
                 continue
-            before, own = " ", False
+            before, own, gain = " ", False, 0.0
+            could: list[tuple[int, float, str]] = []
             for k, i in enumerate(places):
                 x = m.get(text[i])
                 if x is None:
@@ -206,8 +208,12 @@ def label(text: str, model: Characters) -> list[tuple[int, int, int, str]]:
                 before = text[j] if j >= 0 else " "
                 if k and places[k - 1] == j and own:
                     before = m[text[j]]
-                made[k][s] = (model.logp(before, x), True, x)
+                could.append((k, lp := model.logp(before, x), x))
+                gain += max(0.0, lp - clean[k])
                 own = True
+            if gain >= LEAST_GAIN:
+                for k, lp, x in could:
+                    made[k][s] = (lp, True, x)
     for k, i in enumerate(places):
         if text[i] == LOST:
             made[k][0] = (0.0, True, LOST)

@@ -146,6 +146,14 @@ def test_restored(spark, written, read):
     assert mojibake.restored(d.limit(0)).count() == 0
 
 
+def test_many_small_doubts_make_a_stretch():
+    """Characters at -4.9 each that a state explains at -1."""
+    model = mojibake.Characters([("", "t", 10_000), ("", "Θ", 1), ("", "é", 4000), ("t", "Θ", 83), ("t", "é", 4000)])
+    assert -5 < model.logp("t", "Θ") < -4.7 and model.logp("t", "é") > -1.1
+    new, spans = mojibake.restore("tΘtΘtΘtΘtΘ tttt \ufffd", model)
+    assert new == "tétététété tttt \ufffd" and len(spans) == 2
+
+
 # --- names --------------------------------------------------------------------------------------------------------
 
 GLOSSARY = [(1, "Zicleiki", [], 1), (2, "Zicleiki Conseil", [], 2), (3, "Chociphi", ["MSGN", "Stedeauix"], 1), (4, "Fenabe-Guclè", None, 1)]
