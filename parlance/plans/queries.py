@@ -694,9 +694,9 @@ def _run(spark: SparkSession, stream: DataFrame, what: str) -> DataFrame:
 
 @query("l5_watch_loops")
 def l5_watch_loops(spark: SparkSession, folder: str) -> DataFrame:
-    """Words of pieces as a stream of tokens, watched for loops."""
+    """Words of pieces as a stream of tokens, watched for loops of tokens and of words."""
     p = pieces_once(spark, folder).where("text IS NOT NULL").select("recording", F.col("piece_id").alias("span_id"), F.posexplode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("ix", "word"))
-    tokens = written(p.select("recording", "span_id", "ix", F.pmod(F.xxhash64("word"), F.lit(1 << 20)).cast("int").alias("token")), "tokens")
+    tokens = written(p.select("recording", "span_id", "ix", F.pmod(F.xxhash64("word"), F.lit(1 << 20)).cast("int").alias("token"), "word"), "tokens")
     path = tokens.inputFiles()[0].rsplit("/", 1)[0]
     return _run(spark, stateful.watch_loops(spark.readStream.schema(tokens.schema).parquet(path)), "loops")
 

@@ -19,27 +19,33 @@ def watch_loops(tokens: DataFrame, ignore: tuple[int, ...] = (), every: int = 8,
     """recording, span_id, generated, reason: emitted once a row's tokens loop; later tokens of the row are ignored.
 
     tokens, a stream: recording, span_id, ix (from 0), token. ``ignore``: tokens that end a row; a tail of them is no
-    loop. ``decode`` turns the tail into text for the check of words.
+    loop. ``decode`` turns the tail into text for the check of words; without it, the tokens' column ``word``, if they
+    have one, is that text.
     """
+    spelled = decode is None and "word" in tokens.columns
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, n, reason = state.get if state.exists else ([], 0, None)
-        tail = list(tail)
+        tail, n, reason, said = state.get if state.exists else ([], 0, None, [])
+        tail, said = list(tail), list(said)
         fresh = None
         for b in batches:
-            for t in b.sort_values("ix")["token"]:
+            b = b.sort_values("ix")
+            for t, word in zip(b["token"], b["word"] if spelled else [None] * len(b)):
                 if reason is not None:
                     break
                 tail = [*tail, int(t)][-TAIL:]
+                if spelled:
+                    said = [*said, word or ""][-TAIL:]
                 n += 1
                 if n >= FIRST_CHECK and tail[-1] not in ignore:
-                    reason = fresh = token_loop(tail, n, decode(tail) if decode else None, every)
-        state.update((tail if reason is None else [], n, reason))
+                    text = decode(tail) if decode else " ".join(said) if spelled and n % every == 0 else None
+                    reason = fresh = token_loop(tail, n, text, every)
+        state.update((tail if reason is None else [], n, reason, said if reason is None else []))
         if fresh is not None:
             yield pd.DataFrame({"recording": [key[0]], "span_id": [key[1]], "generated": [n], "reason": [fresh]})
 
     return tokens.groupBy("recording", "span_id").applyInPandasWithState(
-        step, "recording string, span_id bigint, generated int, reason string", "tail array<int>, n int, reason string", "append", GroupStateTimeout.NoTimeout
+        step, "recording string, span_id bigint, generated int, reason string", "tail array<int>, n int, reason string, said array<string>", "append", GroupStateTimeout.NoTimeout
     )
 
 

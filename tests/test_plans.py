@@ -155,6 +155,16 @@ def test_watch_loops(spark, tmp_path):
     assert [(r.span_id, r.generated, r.reason) for r in got] == [(1, 20, "token loop (period=2, x10)")]
 
 
+def test_watch_loops_of_words(spark, tmp_path):
+    """Two words said eight times: too few for the check of tokens, enough for that of words."""
+    from parlance.plans import queries
+
+    rows = [(1, "r", "oui non " * 8), (2, "r", "un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize")]
+    spark.createDataFrame([(i, r, t.strip()) for i, r, t in rows], "piece_id bigint, recording string, text string").write.parquet(f"{tmp_path}/pieces.parquet")
+    got = queries.QUERIES["l5_watch_loops"](spark, str(tmp_path)).collect()
+    assert [(r.span_id, r.generated, r.reason) for r in got] == [(1, 16, "text loop (period=2 words, x8)")]
+
+
 def test_chunked_turns(spark, tmp_path):
     ddl = "recording string, ix int, from_s double, samples array<float>"
     spark.createDataFrame([("r", i, float(i), [float(i)] * 3) for i in (2, 0, 1)], ddl).repartition(3).write.parquet(f"{tmp_path}/in")
