@@ -538,7 +538,7 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
 
 def spans_of_frames(spark: SparkSession, folder: str) -> DataFrame:
     x = frames(spark, folder).groupBy("span_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "logp"))), lambda r: r["logp"]).alias("logp"))
-    tokens = F.transform(F.sequence(F.lit(1), F.least(F.lit(12), (F.size("logp") / 3).cast("int"))), lambda i: ((i * 7 + F.col("span_id")) % 63 + 1).cast("int"))
+    tokens = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.size("logp") / 3).cast("int"))), lambda i: ((i * 7 + F.col("span_id")) % 63 + 1).cast("int"))
     return x.withColumn("tokens", tokens)
 
 

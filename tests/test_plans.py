@@ -147,6 +147,16 @@ def test_all_common_words_are_protected(spark, tmp_path):
     assert set(often) == {"le", *words} and min(often.values()) < 5.3
 
 
+def test_tokens_follow_the_frames(spark, tmp_path):
+    from parlance.plans import queries
+
+    rows = [(i, 1, [float((i * 7 + k * 3) % 5) for k in range(64)]) for i in range(90)] + [(90, 2, [0.0] * 64)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.span_id: (r.n, r.frames) for r in queries.spans_of_frames(spark, str(tmp_path)).select("span_id", F.size("tokens").alias("n"), F.size("logp").alias("frames")).collect()}
+    assert got == {1: (30, 90), 2: (1, 1)}
+    assert queries.QUERIES["c4_align_tokens"](spark, str(tmp_path)).where("span_id = 1").count() == 30
+
+
 def test_watch_loops(spark, tmp_path):
     rows = [("r", 1, i, i % 2) for i in range(60)] + [("r", 2, i, i) for i in range(60)] + [("r", 3, i, 99) for i in range(60)]
     spark.createDataFrame(rows, "recording string, span_id bigint, ix int, token int").repartition(3).write.parquet(f"{tmp_path}/in")
