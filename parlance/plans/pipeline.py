@@ -1,4 +1,4 @@
-"""From turns and hypotheses to speaker segments: by windows, by turns, and with two transcripts fused."""
+"""From turns and hypotheses to speaker segments: by windows and by turns. README lists the stages that are not joined."""
 
 from __future__ import annotations
 
