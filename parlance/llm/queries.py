@@ -94,7 +94,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     """Typed entries that mean no term."""
     configs = read(spark, folder, "post_configs")
-    got = glossary_match.mapped(read(spark, folder, "segments"), configs, read(spark, folder, "glossary")).where("term_id = 0")
+    got = glossary_match.mapped_entries(configs, read(spark, folder, "glossary")).where("term_id = 0")
     typed = configs.select(F.col("config_id").cast("bigint").alias("row_id"), F.posexplode("glossary").alias("entry_pos", "entry"))
     return got.join(typed, ["row_id", "entry_pos"]).select(F.col("row_id").alias("config_id"), "entry_pos", "entry").distinct()
 

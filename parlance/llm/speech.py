@@ -39,27 +39,31 @@ ROUND_NOTES = (
     "muziek", "muzyka", "μουσική", "bruit", "noise", "ruido", "rumore", "ruído", "rauschen", "ruis", "szum", "θόρυβος", "silence", "silencio", "silenzio", "stille", "cisza",
 )
 _ROUND = rf"(?iU)\(\s*(?:{'|'.join(ROUND_NOTES)})\s*\)"
-_HES = "(?iU)(?<![\\p{L}\\p{N}'’])(?:" + "|".join(HESITATIONS) + ")(?![\\p{L}\\p{N}'’])(?:\\.{2,}|…|,)?"
+_DIGIT = r"(?U)\d"
+#: Words of the letters of hesitations alone; all others are passed over at a glance.
+_HES = "(?iU)(?<![\\p{L}\\p{N}'’])(?=[mheuranãäöyεμχ-]{2,}(?![\\p{L}\\p{N}'’]))(?:" + "|".join(HESITATIONS) + ")(?![\\p{L}\\p{N}'’])(?:\\.{2,}|…|,)?"
 
 
 def label_number(text: Column) -> Column:
     """The number of the first speaker label in the text, null without one."""
-    got = [F.nullif(F.regexp_extract(text, LABEL, g), F.lit("")) for g in (1, 2, 3, 4)]
-    return F.coalesce(*got).try_cast("int")
+    found = F.regexp_extract(F.regexp_extract(text, LABEL, 0), r"(?U)(\d+)", 1)
+    return F.when(text.rlike(_DIGIT), found.try_cast("int"))
 
 
 def clock_ms(text: Column) -> Column:
     """The first time of day in the text as milliseconds, null without one."""
-    part = lambda g: F.regexp_extract(text, r"(?:(\d{1,3}):)?(\d{1,3}):(\d{2})[.,](\d{1,3})", g)
+    found = F.regexp_extract(text, r"(?:\d{1,3}:)?\d{1,3}:\d{2}[.,]\d{1,3}", 0)
+    part = lambda g: F.regexp_extract(found, r"(?:(\d{1,3}):)?(\d{1,3}):(\d{2})[.,](\d{1,3})", g)
     number = lambda g: F.coalesce(part(g).try_cast("bigint"), F.lit(0))
-    return F.when(part(3) != "", ((number(1) * 60 + number(2)) * 60 + number(3)) * 1000 + F.rpad(part(4), 3, "0").try_cast("bigint"))
+    return F.when(text.rlike(_DIGIT) & (found != ""), ((number(1) * 60 + number(2)) * 60 + number(3)) * 1000 + F.rpad(part(4), 3, "0").try_cast("bigint"))
 
 
 def without_marks(text: Column) -> Column:
     """Text without times, speaker labels and sound notes; hesitations stay."""
-    for pattern in (TIME, LABEL, NOTE, _ROUND):
-        text = F.regexp_replace(text, pattern, " ")
-    return text
+    # Each is looked for only where the text has a character that it can't do without.
+    out = F.when(text.rlike(_DIGIT), F.regexp_replace(F.regexp_replace(text, TIME, " "), LABEL, " ")).otherwise(text)
+    out = F.when(text.rlike(r"[\[*<]"), F.regexp_replace(out, NOTE, " ")).otherwise(out)
+    return F.when(text.rlike(r"\("), F.regexp_replace(out, _ROUND, " ")).otherwise(out)
 
 
 def spoken(text: Column) -> Column:

@@ -169,6 +169,29 @@ def test_names(spark):
     assert glossary_match.mapped(segments(spark, texts), c, g.limit(0)).where("term_id <> 0").count() == 0
 
 
+def test_names_of_any_length(spark):
+    """Names of one letter and of four words, and one of three words with a word split."""
+    g = spark.createDataFrame([(1, "Q", None), (2, "Zicleiki de la Chociphi", None), (3, "Fenabe Stedeauix Tolva", None)], "term_id int, term string, aliases array<string>")
+    texts = ["le plan q est là", "avec Zicleiki de la Chociphi", "la Fena be Stedeauix Tolva", "zicleiki de la", "l'Zicleiki de la cho ciphi"]
+    c = spark.createDataFrame([(1, ["q", "qq", "zicleiki de la chocifi"])], "config_id int, glossary array<string>")
+    got = sorted(tuple(r) for r in glossary_match.mapped(segments(spark, texts), c, g).select("src", "row_id", "term_id").collect())
+    assert got == [("config", 1, 0), ("config", 1, 1), ("config", 1, 2), ("segment", 0, 1), ("segment", 1, 2), ("segment", 2, 3), ("segment", 4, 2)]
+
+
+def test_texts_are_never_the_side_that_is_sent(spark, monkeypatch):
+    """Whatever the engine takes their size for: only the spellings that match are broadcast, and only while they are few."""
+    g = spark.createDataFrame([(1, "Chociphi", None)], "term_id int, term string, aliases array<string>")
+    c = spark.createDataFrame([(1, ["Chocifi"])], "config_id int, glossary array<string>")
+    s = segments(spark, ["avec chocifi"] * 5)
+    for most, wanted in ((100_000, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+        monkeypatch.setattr(glossary_match, "MOST_SENT", most)
+        got = glossary_match.mapped(s, c, g).where("src = 'segment'")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line]
+        assert len(joins) == 1 and wanted in joins[0] and "BuildLeft" not in joins[0]
+        assert {r.row_id for r in got.collect()} == {0, 1, 2, 3, 4}
+
+
 def test_prefix_filter_loses_nothing(spark):
     r = random.Random(7)
     names = ["".join(r.choice("abcdeioklrst") for _ in range(r.randint(6, 11))) for _ in range(40)]
