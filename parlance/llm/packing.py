@@ -2,13 +2,14 @@
 
 Sizes are whole numbers up to the capacity, so an instance is the count of each size: a grouped aggregation of all
 documents, no larger than the capacity. On these counts the dominance reduction of Martello and Toth fixes sets of
-one or two items that no other choice can beat; what remains goes by best fit, largest first. Both work on whole
+up to three items that no other choice can beat; what remains goes by best fit, largest first. Both work on whole
 counts at once and give runs of equal bins. Documents get their bins by their rank within their size.
 """
 
 from __future__ import annotations
 
 import bisect
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,45 +27,78 @@ Run = tuple[int, list[tuple[int, int]]]  # how many bins, each with (size, items
 def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[Run], dict[int, int]]:
     """Fix the bins that dominate all others, largest item first; what is left is returned with its counts.
 
-    With the largest item j: alone, where not even the smallest fits beside it; with k, the largest that fits beside
-    it, where both fill the bin, where no two others fit, or where k is no smaller than any two that fit together.
+    A bin with item j dominates all bins with j if the other items of any of them can be laid under its items, several
+    under one where their sum is no larger. With k the largest item that fits beside j, these are
+
+    * j alone, where nothing fits beside it;
+    * j and k, where they fill the bin, where no two others fit, or where no items that fit together beside j, however
+      many, sum up to more than k;
+    * j, k and m, the largest that fits beside both, where no three others fit and of any two that do the smaller is no
+      larger than m (the larger is never larger than k).
+
+    Fixing such a bin leaves the least number of bins what it was. Less items never undo any of these conditions, so as
+    many bins as the counts allow are fixed at once; passes are repeated until one fixes nothing.
     """
     left = {s: n for s, n in counts.items() if n}
-    sizes = sorted(left)
     runs: list[Run] = []
-    i = len(sizes) - 1
-    while i >= 0:
-        s = sizes[i]
-        if not left.get(s):
-            i -= 1
-            continue
-        room = capacity - s
-        live = [x for x in sizes[: bisect.bisect_right(sizes, room)] if left.get(x, 0) - (x == s) > 0]
-        if not live:
-            runs.append((left[s], [(s, 1)]))
-            left[s] = 0
-            i -= 1
-            continue
-        k = live[-1]
-        small = live[0]
-        second = small if left[small] - (small == s) > 1 else (live[1] if len(live) > 1 else None)
-        no_two = second is None or small + second > room
-        if not (k == room or no_two or k >= _best_two(live, left, s, room)):
-            i -= 1  # not reducible: it stays for best fit, the next smaller may still be
-            continue
-        n = left[s] // 2 if k == s else min(left[s], left[k])
-        runs.append((n, [(s, 2)] if k == s else [(s, 1), (k, 1)]))
-        left[s] -= n * (2 if k == s else 1)
-        if k != s:
-            left[k] -= n
+    changed = True
+    while changed:
+        changed = False
+        sizes = sorted(s for s, n in left.items() if n)
+        i = len(sizes) - 1
+        while i >= 0:
+            s = sizes[i]
+            if not left[s]:
+                i -= 1
+                continue
+            content = _dominating(s, sizes, left, capacity - s)
+            if content is None:
+                i -= 1  # it stays for best fit, or for the next pass; the next smaller may still be reducible
+                continue
+            need: dict[int, int] = {}
+            for x in content:
+                need[x] = need.get(x, 0) + 1
+            n = min(left[x] // k for x, k in need.items())
+            runs.append((n, list(need.items())))
+            for x, k in need.items():
+                left[x] -= n * k
+            changed = True
     return runs, {s: n for s, n in left.items() if n}
 
 
-def _best_two(live: list[int], left: dict[int, int], own: int, room: int) -> int:
+def _dominating(s: int, sizes: list[int], left: dict[int, int], room: int) -> list[int] | None:
+    """The items of a bin that dominates all bins with an item of size ``s``, None where no such bin is known."""
+    free = lambda x: left[x] - (x == s)
+    live = [x for x in sizes[: bisect.bisect_right(sizes, room)] if free(x) > 0]
+    if not live:
+        return [s]
+    k = live[-1]
+    if k == room:
+        return [s, k]
+    small: list[int] = []
+    for x in live:
+        small += [x] * min(free(x), 3 - len(small))
+        if len(small) == 3:
+            break
+    if len(small) < 2 or small[0] + small[1] > room:
+        return [s, k]
+    if _best_two(live, free, room) > k:
+        if len(small) == 3 and sum(small) <= room:
+            return None
+        beside = [x for x in live if x + k <= room and free(x) > (x == k)]
+        if not beside or beside[-1] < _best_smaller(live, free, room):
+            return None
+        return [s, k, beside[-1]]
+    if len(small) == 3 and sum(small) <= room and _best_sum(live, free, room) > k:
+        return None
+    return [s, k]
+
+
+def _best_two(live: list[int], free: Callable[[int], int], room: int) -> int:
     """The largest sum of two items that fit the room together."""
     best, a, b = 0, 0, len(live) - 1
     while a <= b:
-        if a == b and left[live[a]] - (live[a] == own) < 2:
+        if a == b and free(live[a]) < 2:
             break
         x = live[a] + live[b]
         if x <= room:
@@ -75,6 +109,31 @@ def _best_two(live: list[int], left: dict[int, int], own: int, room: int) -> int
     return best
 
 
+def _best_smaller(live: list[int], free: Callable[[int], int], room: int) -> int:
+    """Of all two items that fit the room together, the largest that the smaller can be."""
+    best = 0
+    for i, x in enumerate(live):
+        other = x if free(x) > 1 else live[i + 1] if i + 1 < len(live) else None
+        if other is not None and x + other <= room:
+            best = x
+    return best
+
+
+def _best_sum(live: list[int], free: Callable[[int], int], room: int) -> int:
+    """The largest sum of any number of items that fit the room together: bit n stands for the sum n."""
+    sums, full = 1, (1 << (room + 1)) - 1
+    for x in live:
+        n, k = min(free(x), room // x), 1
+        while n:
+            k = min(k, n)
+            sums |= (sums << (k * x)) & full
+            n -= k
+            k *= 2
+        if sums >> room & 1:
+            break
+    return sums.bit_length() - 1
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[Run]:
     """Best fit, largest first, on counts: bins of equal room are filled together."""
     rooms: list[int] = []  # ascending
@@ -115,9 +174,54 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Run]:
     return [r for room in rooms for r in bins[room]]
 
 
+def fullest_bins(counts: dict[int, int], capacity: int) -> list[Run]:
+    """Best fit by bins: the largest item left, and beside it the items whose sum fills the bin best."""
+    left = {s: n for s, n in counts.items() if n}
+    runs: list[Run] = []
+    while left:
+        s = max(left)
+        left[s] -= 1
+        need = _filling({x: n for x, n in left.items() if n}, capacity - s)
+        left[s] += 1
+        need[s] = need.get(s, 0) + 1
+        n = min(left[x] // k for x, k in need.items())
+        runs.append((n, list(need.items())))
+        left = {x: m for x, k in left.items() if (m := k - n * need.get(x, 0))}
+    return runs
+
+
+def _filling(left: dict[int, int], room: int) -> dict[int, int]:
+    """Items with the largest sum that fits the room, large ones first."""
+    sums, full = 1, (1 << (room + 1)) - 1
+    steps: list[tuple[int, int, int]] = []
+    for x in sorted((x for x in left if x <= room), reverse=True):
+        n, k = min(left[x], room // x), 1
+        while n and not sums >> room & 1:
+            k = min(k, n)
+            steps.append((x, k, sums))
+            sums |= (sums << (k * x)) & full
+            n -= k
+            k *= 2
+        if sums >> room & 1:
+            break
+    at, need = sums.bit_length() - 1, {}
+    for x, k, before in reversed(steps):
+        if not before >> at & 1:
+            need[x] = need.get(x, 0) + k
+            at -= k * x
+    return need
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[Run]:
+    """The reduction, then best fit; where that takes more bins than the tokens need, the fullest bins if they are fewer."""
     fixed, rest = reduce_dominated(counts, capacity)
-    return fixed + best_fit(rest, capacity)
+    fitted = best_fit(rest, capacity)
+    bins = sum(n for n, _ in fitted)
+    if bins > -(-sum(s * n for s, n in rest.items()) // capacity):
+        other = fullest_bins(rest, capacity)
+        if sum(n for n, _ in other) < bins:
+            fitted = other
+    return fixed + fitted
 
 
 def items_of(sizes: DataFrame, containers: DataFrame) -> DataFrame:

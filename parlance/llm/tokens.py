@@ -35,9 +35,9 @@ def count(texts: list[str], path: str = TOKENIZER) -> list[int]:
         batch.append(t)
         chars += len(t)
         if chars > BATCH_CHARS:
-            out += [len(e.ids) for e in tokenizer.encode_batch(batch, add_special_tokens=False)]
+            out += [len(e.ids) for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
             batch, chars = [], 0
-    return out + [len(e.ids) for e in tokenizer.encode_batch(batch, add_special_tokens=False)]
+    return out + [len(e.ids) for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
 
 def sized(documents: DataFrame, columns: list[str], tokenizer: str = TOKENIZER) -> DataFrame:

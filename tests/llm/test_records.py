@@ -1,4 +1,5 @@
 import datetime
+import itertools
 import math
 import random
 
@@ -175,11 +176,44 @@ def test_packing_plan():
         counts = {s: items.count(s) for s in items}
         n, used = bins(packing.plan(counts, capacity), capacity)
         assert used == counts and n <= least(items, capacity) + 1
+        assert bins(packing.fullest_bins(counts, capacity), capacity)[1] == counts
         fixed, rest = packing.reduce_dominated(counts, capacity)
         left = [s for s, k in rest.items() for _ in range(k)]
         assert bins(fixed, capacity)[0] + least(left, capacity) == least(items, capacity)  # reduction costs nothing
 
 
+def test_three_small_items_beside_the_largest():
+    counts = {10: 1, 7: 2, 4: 1, 3: 3}
+    assert least([10, 7, 7, 4, 3, 3, 3], 19) == 2 == bins(packing.plan(counts, 19), 19)[0]
+    fixed, rest = packing.reduce_dominated({9: 1, 6: 1, 5: 1}, 20)
+    assert (fixed, rest) == ([(1, [(9, 1), (6, 1), (5, 1)])], {})
+
+
+@pytest.mark.parametrize("capacity", range(4, 13))
+def test_reduction_costs_nothing_in_any_small_instance(capacity):
+    """All multisets of up to six items (five of the larger capacities)."""
+    known = {}
+
+    def fewest(items):
+        if items not in known:
+            known[items] = least(items, capacity)
+        return known[items]
+
+    for n in range(1, 7 if capacity < 9 else 6):
+        for items in itertools.combinations_with_replacement(range(1, capacity + 1), n):
+            fixed, rest = packing.reduce_dominated({s: items.count(s) for s in items}, capacity)
+            assert bins(fixed, capacity)[0] + fewest(tuple(s for s in sorted(rest) for _ in range(rest[s]))) == fewest(items)
+
+
+def test_reduction_costs_nothing_in_many_instances():
+    r = random.Random(21)
+    for _ in range(4000):
+        capacity = r.randint(5, 20)
+        items = [r.randint(1, r.choice([capacity, capacity // 2])) for _ in range(8)]
+        fixed, rest = packing.reduce_dominated({s: items.count(s) for s in items}, capacity)
+        assert bins(fixed, capacity)[0] + least([s for s, k in rest.items() for _ in range(k)], capacity) == least(items, capacity)
+
+
 def test_best_fit_on_counts_equals_item_by_item():
     r = random.Random(12)
     for _ in range(100):
