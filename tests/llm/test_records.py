@@ -1,6 +1,7 @@
 import datetime
 import itertools
 import math
+import os
 import random
 
 import pytest
@@ -134,6 +135,21 @@ def test_nearest_of_empty_tables(spark, tmp_path):
     assert nearest_time.nearest_time(spark, w, t).count() == 0
 
 
+# --- sizes in tokens ----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_sizes_equal_the_tokenizer(name):
+    path = os.path.join(os.path.dirname(tokens.TOKENIZER), name)
+    r = random.Random(15)
+    parts = ["mot", "l'été", "we'll", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u2003", "\x1c", "\x85", "…", "12", ".", "<|endoftext|>", "日本", "\u200b", "é", "🙂", "-", "'s"]
+    texts = ["".join(r.choice(parts) + r.choice(["", " ", " "]) for _ in range(r.randint(0, 12))) for _ in range(4000)]
+    texts += ["", " ", "  ", " a", "a ", "a  b", "a   b", "x" * 3000 + " y", "mot " * 5000]
+    t = tokens._load(path)
+    assert tokens.count(texts, path) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert (tokens._sizes(path) is not None) == (name == "byte_bpe_50k.json")
+
+
 # --- containers ---------------------------------------------------------------------------------------------------
 
 
