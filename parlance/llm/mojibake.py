@@ -28,10 +28,13 @@ PAIRS = (
     ("cp1253", "cp1252", 1), ("iso8859-7", "latin-1", 1), ("cp1250", "cp1252", 1), ("iso8859-2", "latin-1", 1), ("cp1250", "cp1251", 1), ("cp1251", "cp1252", 1),
 )
 ENTER, LEAVE, FLOOR = -9.0, -1.0, 1e-7
-#: Log probability below which a character gets its text the full model.
-UNLIKELY = -7.5
-#: Gain below which no stretch of a one-byte state wins: entering it, less the leaving of the state before that it saves.
+#: Taken from each count of a pair, and added to the count of its first character for each character of all texts: what
+#: is seen once, or beside a character that hardly ever comes, tells little.
+DISCOUNT, RARE = 0.9, 1e-6
+#: Gain below which no stretch of a state wins: entering it, less the leaving of the state before that it saves.
 LEAST_GAIN = LEAVE - ENTER - 0.01
+#: What is known of a chunk between spaces is kept for so many chunks, of so many characters at most.
+MOST_CHUNKS, LONGEST_CHUNK = 500_000, 64
 LOST = "�"
 
 
@@ -105,28 +108,67 @@ def looks_sound(text: str) -> bool:
     return text.isascii() or (not suspicious(text) and not _ODD.search(text))
 
 
+#: Runs of characters beyond ASCII.
+_BEYOND = re.compile(r"[^\x00-\x7f]+")
+#: Characters of East Asian scripts, and those beyond the first plane, stand for each other: they never come from one
+#: byte, and with one for all of them the model stays as small as the alphabets.
+_LARGE = re.compile("[\u2e80-\ud7ff\U00010000-\U0010ffff]")
+
+
+class _Kept(dict):
+    """What a function says of a chunk, kept for chunks that are not too long."""
+
+    def __init__(self, tell):
+        super().__init__()
+        self.tell = tell
+
+    def __missing__(self, chunk: str):
+        x = self.tell(chunk)
+        if len(chunk) <= LONGEST_CHUNK:
+            self[chunk] = x
+        return x
+
+
 def pair_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of (character, character after it), where one of the two is not ASCII, and of single characters."""
+    """Counts of (character, character after it), where one of the two is not ASCII, and of single characters, in texts
+    that show no misread sequence. No such sequence has a space in it: texts are told, and counted, by their chunks
+    between spaces, each with a space before and after it but for the end of the text."""
     single: Counter = Counter()
     pairs: Counter = Counter()
+    chunks: Counter = Counter()
+    sound = _Kept(looks_sound)
+
+    def settle() -> None:
+        for chunk, n in chunks.items():
+            chunk = _LARGE.sub("一", chunk)
+            for c in chunk:
+                single[c] += n
+            for m in _BEYOND.finditer(s := f" {chunk} "):
+                run = s[m.start() - 1 : m.end() + 1]
+                for pair in zip(run, run[1:]):
+                    pairs[pair] += n
+        chunks.clear()
+
     for b in batches:
         for t in b["text"]:
-            if t is None or not looks_sound(t):
+            if t is None:
                 continue
-            single.update(t)
-            if not t.isascii():
-                t = f" {t}"
-                for m in _BEYOND.finditer(t):
-                    run = t[m.start() - 1 : m.end() + 1]
-                    pairs.update(zip(run, run[1:]))
-    rows = [("", c, k) for c, k in single.items()] + [(a, c, k) for (a, c), k in pairs.items()]
+            own = t.split(" ")
+            if not all(map(sound.__getitem__, own)):
+                continue
+            chunks.update(own)
+            single[" "] += len(own) - 1
+            if own[-1] and not own[-1][-1].isascii():
+                pairs[_LARGE.sub("一", own[-1][-1]), " "] -= 1
+        if len(chunks) > MOST_CHUNKS:
+            settle()
+        if len(sound) > MOST_CHUNKS:
+            sound.clear()
+    settle()
+    rows = [("", c, k) for c, k in single.items() if k] + [(a, c, k) for (a, c), k in pairs.items() if k]
     yield pd.DataFrame(rows, columns=["a", "c", "n"])
 
 
-#: Runs of characters beyond ASCII.
-_BEYOND = re.compile(r"[^\x00-\x7f]+")
-
-
 class Characters:
     """P(character | the one before it), from counts."""
 
@@ -138,16 +180,20 @@ class Characters:
 
     def logp(self, a: str, c: str) -> float:
         if (p := self.known.get(a + c)) is None:
-            p = self.known[a + c] = self._logp(a, c)  # no more than the alphabet squared
+            if len(self.known) > MOST_CHUNKS:
+                self.known.clear()
+            p = self.known[a + c] = self._logp(_LARGE.sub("一", a), _LARGE.sub("一", c))
         return p
 
-    def _logp(self, a: str, c: str) -> float:
+    def _share(self, a: str, c: str) -> float:
         n, k = self.single.get(a, 0), self.pair.get(a + c, 0)
-        p = 0.9 * k / n if n else 0.0
+        return max(0.0, k - DISCOUNT) / (n + RARE * self.total) if n else 0.0
+
+    def _logp(self, a: str, c: str) -> float:
+        p = 0.9 * self._share(a, c)
         if c.isupper() and not a.islower():  # text in capitals is as likely as its small letters
             a, c = a.lower(), c.lower()
-            n = self.single.get(a, 0)
-            p = max(p, 0.1 * self.pair.get(a + c, 0) / n if n else 0.0, 0.01 * self.single.get(c, 0) / self.total)
+            p = max(p, 0.1 * self._share(a, c), 0.01 * self.single.get(c, 0) / self.total)
         return math.log(p + 0.1 * self.single.get(c, 0) / self.total + FLOOR)
 
 
@@ -166,14 +212,74 @@ def _layer(units: list[tuple[str, int, int, int]], codec: str) -> list[tuple[str
     return out + units[at:]
 
 
-def label(text: str, model: Characters) -> list[tuple[int, int, int, str]]:
-    """Spans (from, to, state, restored) that are not clean; state counts from 1 in PAIRS, 0 is loss."""
-    if text.isascii():
-        return []
+def _gains(text: str, places: list[int], clean: list[float], m: dict[str, str], model: Characters) -> list[tuple[float, float, str] | None]:
+    """What a one-byte state makes of each place: (its gain over clean text, log probability, its character)."""
+    out: list[tuple[float, float, str] | None] = []
+    own = False
+    for k, i in enumerate(places):
+        if (x := m.get(text[i])) is None:
+            own = False
+            out.append(None)
+            continue
+        before = " " if not i else m[text[i - 1]] if own and k and places[k - 1] == i - 1 else text[i - 1]
+        lp = model.logp(before, x)
+        out.append((lp - clean[k], lp, x))
+        own = True
+    return out
+
+
+def _places(text: str, model: Characters) -> tuple[list[int], list[float]]:
+    """The places of characters beyond ASCII, and their log probabilities in clean text."""
     places = [i for m in _BEYOND.finditer(text) for i in range(*m.span())]
-    clean = [model.logp(text[i - 1] if i else " ", text[i]) for i in places]
-    if min(clean) > UNLIKELY and LOST not in text and not suspicious(text):
+    return places, [model.logp(text[i - 1] if i else " ", text[i]) for i in places]
+
+
+class Glance(_Kept):
+    """Whether a text may hold a stretch that is not clean, from what is known of its chunks between spaces.
+
+    Exact: a stretch in a state wins only if its gains over clean text sum up to LEAST_GAIN, and those of all chunks'
+    places that gain are no less. No sequence of UTF-8 bytes, and no pair within a state, goes across a space.
+    """
+
+    CLEAN, LOOK = 0, -1
+
+    def __init__(self, model: Characters):
+        super().__init__(self._tell)
+        self.model, self.states = model, [_single(w, r) for w, r, _ in PAIRS if w != "utf-8"]
+        self.sums = [[]]
+
+    def _tell(self, chunk: str) -> int:
+        if chunk.isascii():
+            return self.CLEAN
+        if len(chunk) > LONGEST_CHUNK or LOST in chunk or suspicious(chunk):
+            return self.LOOK
+        places, clean = _places(chunk, self.model)
+        sums = [sum(g[0] for g in _gains(chunk, places, clean, m, self.model) if g and g[0] > 0) for m in self.states]
+        if not any(sums):
+            return self.CLEAN
+        self.sums.append(sums)
+        return len(self.sums) - 1
+
+    def __call__(self, text: str) -> bool:
+        if len(self) > MOST_CHUNKS:
+            self.clear()
+            self.sums = [[]]
+        chunks = text.split(" ")
+        kinds = set(map(self.__getitem__, chunks))
+        kinds.discard(self.CLEAN)
+        if not kinds or self.LOOK in kinds:
+            return bool(kinds)
+        counts = Counter(map(self.__getitem__, chunks))
+        return any(sum(counts[k] * self.sums[k][s] for k in kinds) >= LEAST_GAIN for s in range(len(self.states)))
+
+
+def label(text: str, model: Characters, gates: bool = True) -> list[tuple[int, int, int, str]]:
+    """Spans (from, to, state, restored) that are not clean; state counts from 1 in PAIRS, 0 is loss.
+
+    ``gates`` leaves out states none of whose stretches can gain enough to be entered, which changes nothing."""
+    if text.isascii():
         return []
+    places, clean = _places(text, model)
     # What each state makes of each place: (log probability, first of its sequence, its character); absent: it can't.
     made: list[dict[int, tuple[float, bool, str]]] = [{} for _ in places]
     index = {p: k for k, p in enumerate(places)}
@@ -193,30 +299,20 @@ def label(text: str, model: Characters) -> list[tuple[int, int, int, str]]:
                         made[index[i]][s] = (lp if i == a else 0.0, i == a, x if i == a else "")
                 before = x
         else:
-            m = _single(written, read)
-            # What all of a state's places gain is no less than a stretch in it gains. One below the cost of entering can't win.
-            if sum(-p for i, p in zip(places, clean) if text[i] in m) < LEAST_GAIN:
-                continue
-            before, own, gain = " ", False, 0.0
-            could: list[tuple[int, float, str]] = []
-            for k, i in enumerate(places):
-                x = m.get(text[i])
-                if x is None:
-                    own = False
-                    continue
-                j = i - 1
-                before = text[j] if j >= 0 else " "
-                if k and places[k - 1] == j and own:
-                    before = m[text[j]]
-                could.append((k, lp := model.logp(before, x), x))
-                gain += max(0.0, lp - clean[k])
-                own = True
-            if gain >= LEAST_GAIN:
-                for k, lp, x in could:
-                    made[k][s] = (lp, True, x)
+            got = _gains(text, places, clean, _single(written, read), model)
+            top = here = 0.0  # the most that consecutive places gain
+            for g in got:
+                here = max(0.0, here + g[0]) if g else 0.0
+                top = max(top, here)
+            if top >= LEAST_GAIN or not gates:
+                for k, g in enumerate(got):
+                    if g:
+                        made[k][s] = (g[1], True, g[2])
     for k, i in enumerate(places):
         if text[i] == LOST:
             made[k][0] = (0.0, True, LOST)
+    if gates and not any(made):
+        return []
     # Viterbi. State -1 is clean.
     best: dict[int, float] = {-1: 0.0}
     back: list[dict[int, int]] = []
@@ -274,11 +370,10 @@ def undress(text: str) -> str:
 
 
 def train(documents: DataFrame) -> Characters:
-    """The model of character pairs of all documents. Its size is that of the alphabet: rows by (character, character)
-    are summed before they come to the driver; pairs seen once in a table of a thousand and more tell nothing."""
+    """The model of character pairs of all documents. Its size is that of the alphabets: rows by (character, character)
+    are summed before they come to the driver."""
     counts = documents.select("text").mapInPandas(pair_counts, "a string, c string, n bigint").groupBy("a", "c").agg(F.sum("n").alias("n"))
-    return Characters([(r["a"], r["c"], r["n"]) for r in counts.where("n > 1").collect()])
-
+    return Characters([(r["a"], r["c"], r["n"]) for r in counts.where("n > 0").collect()])
 
 
 def restored(documents: DataFrame) -> DataFrame:
@@ -290,16 +385,32 @@ def restored(documents: DataFrame) -> DataFrame:
     Defined cases: null, empty and ASCII texts are not found and are their own restored text; repeated rows are
     repeated; other columns are not read.
     """
-    model = documents.sparkSession.sparkContext.broadcast(train(documents))
     names = [(None, None, None), *PAIRS]
+    ddl = "doc_id bigint, text string, restored string, spans array<struct<from_ix: int, to_ix: int, written_in: string, read_in: string, times: int>>, found boolean"
+
+    def rows(doc_ids, texts, look, model):
+        out = []
+        for i, t in zip(doc_ids, texts):
+            new, spans = restore(t, model) if t and look(t) else (t, [])
+            out.append((i, t, new, [{"from_ix": a, "to_ix": z, "written_in": names[s][0], "read_in": names[s][1], "times": names[s][2]} for a, z, s, _ in spans], bool(spans)))
+        return out
+
+    return _labelled(documents, rows, ddl)
+
+
+def garbled(documents: DataFrame) -> DataFrame:
+    """doc_id of the documents that ``restored`` finds. Texts in ASCII don't leave the JVM."""
+    some = documents.where(F.col("text").rlike(r"[^\x00-\x7F]"))
+    return _labelled(some, lambda ids, texts, look, model: [(i,) for i, t in zip(ids, texts) if look(t) and label(t, model)], "doc_id bigint", documents)
+
+
+def _labelled(documents: DataFrame, rows, ddl: str, trained_on: DataFrame | None = None) -> DataFrame:
+    model = documents.sparkSession.sparkContext.broadcast(train(documents if trained_on is None else trained_on))
+    columns = [x.split(" ")[0] for x in re.split(r", (?![^<]*>)", ddl)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        look = Glance(model.value)
         for b in batches:
-            out = []
-            for i, t in zip(b["doc_id"], b["text"]):
-                new, spans = (t, []) if not t else restore(t, model.value)
-                out.append((i, t, new, [{"from_ix": a, "to_ix": z, "written_in": names[s][0], "read_in": names[s][1], "times": names[s][2]} for a, z, s, _ in spans], bool(spans)))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "restored", "spans", "found"])
+            yield pd.DataFrame(rows(b["doc_id"], b["text"], look, model.value), columns=columns)
 
-    ddl = "doc_id bigint, text string, restored string, spans array<struct<from_ix: int, to_ix: int, written_in: string, read_in: string, times: int>>, found boolean"
     return documents.select("doc_id", "text").mapInPandas(run, ddl)

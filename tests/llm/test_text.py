@@ -146,6 +146,85 @@ def test_restored(spark, written, read):
     assert mojibake.restored(d.limit(0)).count() == 0
 
 
+PANGRAMS = {
+    "latin": "Der König aß süße Äpfel. L'été déjà, Noël, où ça ? El niño cantó, ¿verdad? São maçãs, não é? È più città, perché. Één coördinatie, hè. ",
+    "greek": "Ο λόγος της ημέρας είναι καλός, αλλά δεν έχουμε χρόνο για όλα αυτά σήμερα. ",
+    "polish": "Zażółć gęślą jaźń, już świętą łódź wziął Śląsk, ponieważ mówił źle. ",
+    "russian": "Съешь ещё этих мягких французских булок, да выпей чаю. ",
+}
+
+
+def test_share_restored_over_all_pairs(spark):
+    """Each pair of encodings, on texts of each language that both can write: nine in ten come back whole."""
+    sound = [t * 30 for t in PANGRAMS.values()]
+    rows, meant, pairs = [(i, t) for i, t in enumerate(sound * 5)], {}, set()
+    for written, read, times in mojibake.PAIRS:
+        for name, t in PANGRAMS.items():
+            bad = t
+            try:
+                for _ in range(times):
+                    bad = bad.encode(written).decode(read)
+            except UnicodeError:
+                continue
+            if bad == t or (name == "russian" and written == "cp1253"):
+                continue
+            i = 1000 + len(meant)
+            meant[i] = t
+            pairs.add((written, read, times))
+            rows.append((i, bad))
+    got = {r.doc_id: r for r in mojibake.restored(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert not any(got[i].found for i in range(20))
+    lost = [i for i, t in meant.items() if got[i].restored != t]
+    assert len(pairs) >= 20 and len(lost) <= 0.1 * len(meant)
+
+
+def _random_model(r, letters):
+    single = {c: r.randint(1, 4000) for c in letters + " t"}
+    rows = [("", c, n) for c, n in single.items()]
+    rows += [(a, c, r.randint(1, single[a])) for a in single for c in letters if r.random() < 0.4]
+    return mojibake.Characters(rows)
+
+
+def test_gates_change_nothing():
+    r = random.Random(31)
+    letters = "éèàçΘΓüßÃ©‰Žłśżаб¤"
+    found = looks = 0
+    for _ in range(400):
+        model = _random_model(r, letters)
+        look = mojibake.Glance(model)
+        for _ in range(5):
+            t = "".join(r.choice(letters if r.random() < 0.5 else "t ttt ") for _ in range(r.randint(0, 40)))
+            spans = mojibake.label(t, model, gates=False)
+            assert mojibake.label(t, model) == spans
+            assert look(t) or not spans
+            found += bool(spans)
+            looks += look(t)
+    assert 50 < found < looks
+
+
+def test_four_small_doubts():
+    """Four characters in a row at -4.7 each that a state explains at -0.15."""
+    model = mojibake.Characters([("", "t", 100_000), ("", "é", 50_000), ("", "Θ", 500), ("t", "é", 95_000), ("t", "Θ", 1000), ("Θ", "Θ", 5), ("é", "é", 47_000)])
+    assert mojibake.label("tΘΘΘΘt", model, gates=False) == mojibake.label("tΘΘΘΘt", model)
+    assert mojibake.Glance(model)("tΘΘΘΘt") and mojibake.restore("tΘΘΘΘt", model)[0] == "téééét"
+
+
+def test_pair_counts_equal_a_plain_count():
+    import pandas as pd
+    from collections import Counter
+
+    r = random.Random(32)
+    texts = ["".join(r.choice("aé  ü.日'") for _ in range(r.randint(0, 30))) for _ in range(300)] + ["é" * 200 + " é", None, "", "dÃ©jÃ  é"]
+    want = Counter()
+    for t in texts:
+        if t is not None and mojibake.looks_sound(t):
+            t = t.replace("日", "一")
+            want.update(("", c) for c in t)
+            want.update((a, c) for a, c in zip(f" {t}", t) if not (a + c).isascii())
+    got = pd.concat(mojibake.pair_counts(iter([pd.DataFrame({"text": texts[:100]}), pd.DataFrame({"text": texts[100:]})])))
+    assert {(x.a, x.c): x.n for x in got.itertuples()} == dict(want)
+
+
 def test_many_small_doubts_make_a_stretch():
     """Characters at -4.9 each that a state explains at -1."""
     model = mojibake.Characters([("", "t", 10_000), ("", "Θ", 1), ("", "é", 4000), ("t", "Θ", 83), ("t", "é", 4000)])
