@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ LEAST_GAIN = LEAVE - ENTER - 0.01
 #: What is known of a chunk between spaces is kept for so many chunks, of so many characters at most.
 MOST_CHUNKS, LONGEST_CHUNK = 500_000, 64
 LOST = "�"
+#: The states (from 1) of pairs of which both encodings have one byte a character.
+ONE_BYTE = tuple(s for s, (written, _, _) in enumerate(PAIRS, 1) if written != "utf-8")
 
 
 @lru_cache(None)
@@ -177,6 +180,7 @@ class Characters:
         self.single = {c: n for a, c, n in rows if not a}
         self.total = max(1, sum(self.single.values()))
         self.known: dict[str, float] = {}
+        self.most: dict[str, np.ndarray] = {}
 
     def logp(self, a: str, c: str) -> float:
         if (p := self.known.get(a + c)) is None:
@@ -185,6 +189,19 @@ class Characters:
             p = self.known[a + c] = self._logp(_LARGE.sub("一", a), _LARGE.sub("一", c))
         return p
 
+    def gains(self, a: str, c: str) -> np.ndarray:
+        """The most that each one-byte state gains over clean text by a character after another, nothing if it loses."""
+        if (g := self.most.get(a + c)) is None:
+            if len(self.most) > MOST_CHUNKS:
+                self.most.clear()
+            g = np.zeros(len(ONE_BYTE))
+            for k, s in enumerate(ONE_BYTE):
+                m = _single(*PAIRS[s - 1][:2])
+                if (x := m.get(c)) is not None:
+                    g[k] = max(0.0, max(self.logp(b, x) for b in {a, m.get(a, a)}) - self.logp(a, c))
+            self.most[a + c] = g
+        return g
+
     def _share(self, a: str, c: str) -> float:
         n, k = self.single.get(a, 0), self.pair.get(a + c, 0)
         return max(0.0, k - DISCOUNT) / (n + RARE * self.total) if n else 0.0
@@ -197,19 +214,33 @@ class Characters:
         return math.log(p + 0.1 * self.single.get(c, 0) / self.total + FLOOR)
 
 
-def _layer(units: list[tuple[str, int, int, int]], codec: str) -> list[tuple[str, int, int, int]]:
-    """Join valid sequences of units (character, from, to, times joined) into the characters they stand for."""
-    s = "".join(u[0] for u in units)
-    t, out, at = _table(codec), [], 0
-    for m in _valid(codec).finditer(s):
-        try:
-            x = bytes(t[c] for c in m.group()).decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        out += units[at : m.start()]
-        out.append((x, units[m.start()][1], units[m.end() - 1][2], 1 + min(u[3] for u in units[m.start() : m.end()])))
-        at = m.end()
-    return out + units[at:]
+def _decoded(text: str, codec: str, times: int) -> list[tuple[str, int, int]]:
+    """The characters (and from where to where) that valid sequences of the text stand for, ``times`` misread."""
+    s, at = text, None  # at: where each character of s begins in the text, and in the end its length
+    for left in range(times - 1, -1, -1):
+        t, got = _table(codec), []
+        for m in _valid(codec).finditer(s):
+            try:
+                got.append((bytes(t[c] for c in m.group()).decode("utf-8"), *m.span()))
+            except UnicodeDecodeError:
+                continue
+        if not got:
+            return []
+        if not left:
+            break
+        new, begins, joined, end = [], [], [], 0
+        for x, a, b in got:
+            new.append(s[end:a] + x)
+            begins += [*range(end, a), a]
+            joined += [0] * (a - end) + [1]
+            end = b
+        new.append(s[end:])
+        begins += range(end, len(s) + 1)
+        joined += [0] * (len(s) - end)
+        s, at, once = "".join(new), begins, joined
+    if at is None:
+        return got
+    return [(x, at[a], at[b]) for x, a, b in got if all(once[a:b])]
 
 
 def _gains(text: str, places: list[int], clean: list[float], m: dict[str, str], model: Characters) -> list[tuple[float, float, str] | None]:
@@ -228,10 +259,17 @@ def _gains(text: str, places: list[int], clean: list[float], m: dict[str, str],
     return out
 
 
-def _places(text: str, model: Characters) -> tuple[list[int], list[float]]:
-    """The places of characters beyond ASCII, and their log probabilities in clean text."""
-    places = [i for m in _BEYOND.finditer(text) for i in range(*m.span())]
-    return places, [model.logp(text[i - 1] if i else " ", text[i]) for i in places]
+def _places(text: str) -> list[int]:
+    """The places of characters beyond ASCII."""
+    return [i for m in _BEYOND.finditer(text) for i in range(*m.span())]
+
+
+def _most_gained(text: str, places: list[int], model: Characters) -> np.ndarray:
+    """No less than what any stretch in each one-byte state gains."""
+    out = np.zeros(len(ONE_BYTE))
+    for (a, c), n in Counter((text[i - 1] if i else " ", text[i]) for i in places).items():
+        out += n * model.gains(a, c)
+    return out
 
 
 class Glance(_Kept):
@@ -245,17 +283,16 @@ class Glance(_Kept):
 
     def __init__(self, model: Characters):
         super().__init__(self._tell)
-        self.model, self.states = model, [_single(w, r) for w, r, _ in PAIRS if w != "utf-8"]
-        self.sums = [[]]
+        self.model = model
+        self.sums = [np.zeros(len(ONE_BYTE))]
 
     def _tell(self, chunk: str) -> int:
         if chunk.isascii():
             return self.CLEAN
         if len(chunk) > LONGEST_CHUNK or LOST in chunk or suspicious(chunk):
             return self.LOOK
-        places, clean = _places(chunk, self.model)
-        sums = [sum(g[0] for g in _gains(chunk, places, clean, m, self.model) if g and g[0] > 0) for m in self.states]
-        if not any(sums):
+        sums = _most_gained(chunk, _places(chunk), self.model)
+        if not sums.any():
             return self.CLEAN
         self.sums.append(sums)
         return len(self.sums) - 1
@@ -263,14 +300,14 @@ class Glance(_Kept):
     def __call__(self, text: str) -> bool:
         if len(self) > MOST_CHUNKS:
             self.clear()
-            self.sums = [[]]
+            self.sums = [np.zeros(len(ONE_BYTE))]
         chunks = text.split(" ")
         kinds = set(map(self.__getitem__, chunks))
         kinds.discard(self.CLEAN)
         if not kinds or self.LOOK in kinds:
             return bool(kinds)
         counts = Counter(map(self.__getitem__, chunks))
-        return any(sum(counts[k] * self.sums[k][s] for k in kinds) >= LEAST_GAIN for s in range(len(self.states)))
+        return bool(sum(counts[k] * self.sums[k] for k in kinds).max() >= LEAST_GAIN)
 
 
 def label(text: str, model: Characters, gates: bool = True) -> list[tuple[int, int, int, str]]:
@@ -279,26 +316,24 @@ def label(text: str, model: Characters, gates: bool = True) -> list[tuple[int, i
     ``gates`` leaves out states none of whose stretches can gain enough to be entered, which changes nothing."""
     if text.isascii():
         return []
-    places, clean = _places(text, model)
+    places = _places(text)
+    clean = [model.logp(text[i - 1] if i else " ", text[i]) for i in places]
     # What each state makes of each place: (log probability, first of its sequence, its character); absent: it can't.
     made: list[dict[int, tuple[float, bool, str]]] = [{} for _ in places]
     index = {p: k for k, p in enumerate(places)}
-    units0 = [(c, i, i + 1, 0) for i, c in enumerate(text)]
+    most = dict(zip(ONE_BYTE, _most_gained(text, places, model)))
     for s, (written, read, times) in enumerate(PAIRS, 1):
         if written == "utf-8":
             if not _valid(read).search(text):
                 continue
-            units = units0
-            for _ in range(times):
-                units = _layer(units, read)
-            before = " "
-            for x, a, b, n in units:
-                if n == times:
-                    lp = model.logp(before, x) if ord(x) >= 160 else math.log(FLOOR)
-                    for i in range(a, b):
-                        made[index[i]][s] = (lp if i == a else 0.0, i == a, x if i == a else "")
-                before = x
-        else:
+            before, upto = " ", 0
+            for x, a, b in _decoded(text, read, times):
+                before = before if a == upto and a else text[a - 1] if a else " "
+                lp = model.logp(before, x) if ord(x) >= 160 else math.log(FLOOR)
+                for i in range(a, b):
+                    made[index[i]][s] = (lp if i == a else 0.0, i == a, x if i == a else "")
+                before, upto = x, b
+        elif most[s] >= LEAST_GAIN or not gates:
             got = _gains(text, places, clean, _single(written, read), model)
             top = here = 0.0  # the most that consecutive places gain
             for g in got:
@@ -363,9 +398,13 @@ def undress(text: str) -> str:
     """The text with valid misread UTF-8 sequences decoded, without a model: for those who only want its words."""
     for _ in range(2):
         codec = max(_CODECS, key=lambda c: sum(len(m) for m in _valid(c).findall(text)))
-        if not _valid(codec).search(text):
+        out, end = [], 0
+        for x, a, b in _decoded(text, codec, 1):
+            out += [text[end:a], x]
+            end = b
+        if not out:
             break
-        text = "".join(u[0] for u in _layer([(c, 0, 0, 0) for c in text], codec))
+        text = "".join(out) + text[end:]
     return text
 
 
