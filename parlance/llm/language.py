@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain
+from operator import or_
 from zlib import crc32
 
 import numpy as np
@@ -52,11 +55,13 @@ SEEDS = {
 BUCKETS, SAMPLE_ROWS = 1 << 15, 8_000
 #: Weight of the text's log likelihood, of a label, and of a parent in the smoothing of host priors.
 TEMPER, LABEL_WEIGHT, SMOOTH, TEXT_SMOOTH = 0.5, 0.5, 8.0, 2.0
-#: Copies of a host's prior.
-SALTS = 4
+#: Hosts' priors up to which all are sent to every task. Of more, those of hosts with more than this part of all rows
+#: are sent, which are fewer than the part's inverse, and the others are joined by a shuffle.
+MOST_SENT, HOT_SHARE = 10_000, 0.001
 MIN_WORDS, MIN_SHARE = 6, 0.1
 
 _WORD = re.compile(r"[^\W\d_]+")
+_OPENING = frozenset("[(*<")
 _STOP = re.compile(r"[.!?…;\n–]+")
 _NOTE = re.compile(rf"\[[^\]\d]{{0,60}}\]|\*[^*\d]{{1,60}}\*|<[^<>\d]{{1,60}}>|\((?:{'|'.join(ROUND_NOTES)})\)", re.I)
 _NUMBER = re.compile(r"(?<![\d:.,])\d{1,6}\s?(?:>>|[:\])>]|-(?=\s))")
@@ -109,12 +114,17 @@ def without_labels(text: str) -> str:
 def sentences(text: str) -> list[list[str]]:
     """The words of each stretch between sentence ends, lower-cased, for text that may be garbled or dressed up.
     Hesitations are still among them."""
+    return [w for s in _STOP.split(without_labels(plain_text(text)).lower()) if (w := _WORD.findall(s))]
+
+
+def plain_text(text: str) -> str:
+    """Text without garbling that shows by itself, in the one form of its characters."""
     if not text.isascii():
         if mojibake.suspicious(text):
             text = mojibake.undress(text)
         if _UNUSUAL.search(text):
             text = normalize_text(text)[0]
-    return [w for s in _STOP.split(without_labels(text).lower()) if (w := _WORD.findall(s))]
+    return text
 
 
 def features(word: str) -> list[int]:
@@ -146,10 +156,12 @@ def _fit_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(rows: DataFrame) -> np.ndarray:
     """Log probabilities (language, feature) from labelled rows. Its size is fixed."""
-    sample = rows.where(F.col("declared").isNotNull()).select("text", "declared").orderBy(F.xxhash64("_src", "_id")).limit(SAMPLE_ROWS)
+    labelled = rows.where(F.col("declared").isNotNull()).withColumn("_h", F.xxhash64("_src", "_id"))
+    # The hash up to which rows are taken: ids are sorted, not texts.
+    upto = labelled.select("_h").distinct().orderBy("_h").limit(SAMPLE_ROWS).agg(F.max("_h")).first()[0]
+    sample = labelled.where(F.col("_h") <= F.lit(upto)).dropDuplicates(["_src", "_id"]).select("text", "declared")
     counts = np.zeros((len(LANGS), BUCKETS))
-    # After the limit all is in one partition; spread it again for the counting.
-    for r in sample.repartition(8).mapInPandas(_fit_batches, "lang int, feature int, n double").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect():
+    for r in sample.mapInPandas(_fit_batches, "lang int, feature int, n double").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect():
         counts[r["lang"], r["feature"]] = r["n"]
     for k, lang in enumerate(LANGS):
         for w in SEEDS[lang].split():
@@ -162,61 +174,121 @@ _VECTOR = [f"v{k}" for k in range(len(LANGS))]
 _SCORED = "_src string, _id bigint, _host1 string, _host2 string, declared string, n_distinct int, n_words binary, scores binary, " + ", ".join(f"{v} float" for v in _VECTOR)
 
 
+def _different(x: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class Scorer:
-    """Text log likelihoods of stretches under a fitted model; words it has met are kept."""
+    """Text log likelihoods of stretches under a fitted model; words it has met, and chunks between spaces, are kept."""
+
+    #: What a chunk may ask of its text: another look at its characters; a search for notes and labels, by itself or
+    #: where it has a word of labels and another chunk (or the same) what may stand after their number.
+    LOOK, NOTE, WORD, MARK = 1, 2, 4, 8
+    MOST = 500_000
 
     def __init__(self, model: np.ndarray):
-        self.model, self.ids = model, {}
-        self.table = np.zeros((1024, len(LANGS)), dtype=np.float32)
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        """Rare words of a long partition need not be kept."""
+        self.ids: dict[str, int] = {}
+        self.kinds: dict[str, int] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
+        self.chars = 0
+        self.table = np.zeros((1024, len(LANGS)))
 
     def word(self, w: str) -> int:
-        if len(self.ids) >= 500_000:  # rare words of a long partition need not be kept
-            self.ids.clear()
+        if (i := self.ids.get(w)) is not None:
+            return i
         if len(w) < 8 and _HESITATION.fullmatch(w):
             i = -1
         else:
             i = 1 + len(self.ids)
-            if i >= len(self.table):
+            while i >= len(self.table):
                 self.table = np.vstack([self.table, np.zeros_like(self.table)])
             v = self.model[:, features(w)].mean(axis=1) * 2.0
             self.table[i] = v - v.max()
         self.ids[w] = i
         return i
 
-    def score(self, texts: list[str | None]) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
+    def _learn(self, chunks: Iterable[str]) -> None:
+        for c in chunks:
+            kind = 0 if _OPENING.isdisjoint(c) else self.NOTE
+            kind |= 0 if _LABELS.isdisjoint(_NOT_LETTERS.split(c.lower())) else self.WORD
+            kind |= self.MARK if c == "-" or ":" in c or ">" in c or ")" in c or "]" in c else 0
+            if not c.isascii() and (_UNUSUAL.search(c) or mojibake.suspicious(c)):
+                kind |= self.LOOK
+            out: list[int] = []
+            for k, stretch in enumerate(_STOP.split(c.lower())):
+                if k:
+                    out.append(0)
+                out += [i for w in _WORD.findall(stretch) if (i := self.word(w)) > 0]
+            self.kinds[c], self.parts[c] = kind, tuple(out)
+            self.chars += len(c)
+
+    def _chunks(self, text: str) -> list[str]:
+        """The chunks of a text, without labels and notes, in the one form of its characters."""
+        chunks, asked = self._known(text)
+        if asked & self.LOOK:
+            # No misread sequence goes across a space: the chunks that hold some are put right, and stay as many.
+            odd = [k for k, c in enumerate(chunks) if self.kinds[c] & self.LOOK]
+            right = " ".join(chunks[k] for k in odd)
+            right = mojibake.undress(right) if mojibake.suspicious(right) else right
+            for k, c in zip(odd, right.split(" ")):
+                chunks[k] = c
+            text = " ".join(chunks)
+            chunks, asked = self._known(normalize_text(text)[0] if _UNUSUAL.search(right) else text)
+        if asked & self.NOTE or asked & (self.WORD | self.MARK) == self.WORD | self.MARK:
+            chunks, _ = self._known(without_labels(" ".join(chunks)))
+        return chunks
+
+    def _known(self, text: str) -> tuple[list[str], int]:
+        chunks = text.split(" ")
+        if new := set(chunks).difference(self.kinds):
+            self._learn(new)
+        return chunks, reduce(or_, set(map(self.kinds.__getitem__, chunks)))
+
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per text its different words and its stretches; per stretch its words and its scores by language."""
-        distinct, per_text, n_words, flat, ends = [], [], [], [], []
-        get, word = self.ids.get, self.word
-        sums: list[np.ndarray] = []
-
-        def flush() -> None:
-            if ends:
-                starts = np.concatenate([[0], ends[:-1]]).astype(int)
-                sums.append(np.add.reduceat(self.table[np.asarray(flat)], starts, axis=0))
-                flat.clear()
-                ends.clear()
-
+        got: list[tuple[np.ndarray, ...]] = []
+        flat: list[int] = []
+        ends: list[int] = []
         for t in texts:
-            if len(flat) > 2_000_000 or len(self.ids) > 499_000:
-                flush()
-            seen: set[int] = set()
-            count = 0
-            for s in sentences(t) if t else ():
-                ids = [i if (i := get(w)) is not None else word(w) for w in s]
-                ids = [i for i in ids if i > 0]
-                if not ids:
-                    continue
-                own = set(ids)  # "no, no, no" tells as much as "no"
-                seen |= own
-                flat.extend(own)
-                ends.append(len(flat))
-                n_words.append(len(ids))
-                count += 1
-            distinct.append(len(seen))
-            per_text.append(count)
-        flush()
-        x = np.vstack(sums) if sums else np.zeros((0, len(LANGS)), dtype=np.float32)
-        return distinct, per_text, np.asarray(n_words, dtype=np.int32), x - x.max(axis=1, keepdims=True) if len(x) else x
+            if t:
+                flat.extend(chain.from_iterable(map(self.parts.__getitem__, self._chunks(t))))
+                flat.append(0)
+            ends.append(len(flat))
+            if len(flat) > 2_000_000 or len(self.ids) > self.MOST or self.chars > 100 * self.MOST:
+                got.append(self._sums(flat, ends))
+                flat, ends = [], []
+                if len(self.ids) > self.MOST or self.chars > 100 * self.MOST:
+                    self._forget()
+        got.append(self._sums(flat, ends))
+        return tuple(np.concatenate(x) for x in zip(*got))
+
+    def _sums(self, flat: list[int], ends: list[int]) -> tuple[np.ndarray, ...]:
+        at = np.asarray(flat, dtype=np.int64)
+        upto = np.asarray(ends, dtype=np.int64)
+        words = at > 0
+        stretch = np.cumsum(~words)[words]
+        n = np.bincount(stretch, minlength=1)
+        numbers = np.flatnonzero(n)  # stretches with words
+        # "no, no, no" tells as much as "no".
+        keys = _different(stretch << 32 | at[words])
+        own, which = keys >> 32, keys & 0xFFFFFFFF
+        starts = np.searchsorted(own, numbers)
+        x = np.add.reduceat(self.table[which], starts, axis=0) if len(numbers) else np.zeros((0, len(LANGS)))
+        # The text of each stretch: texts end with a zero, so a stretch belongs to the first text that ends after it.
+        last = np.cumsum(~words)[upto - 1] if len(flat) else np.zeros(len(upto), dtype=np.int64)
+        last = np.where(upto > 0, last, 0)
+        text = np.searchsorted(last, numbers + 1)
+        per_text = np.bincount(text, minlength=len(upto))
+        distinct = np.bincount(_different(np.searchsorted(last, own + 1) << 32 | which) >> 32, minlength=len(upto))
+        x = x - x.max(axis=1, keepdims=True) if len(x) else x
+        return distinct, per_text, n[numbers].astype(np.int32), x.astype(np.float32)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -278,10 +350,11 @@ def _posteriors(stretches: bool):
                 d["stretch"] = 0
             at = d["row"].to_numpy()
             total = np.bincount(row, weights=n, minlength=len(b))
+            large = d["words"].to_numpy() >= MIN_SHARE * total[at]
             yield pd.DataFrame({
                 "src": b["_src"].to_numpy()[at], "row_id": b["_id"].to_numpy()[at], "declared": b["declared"].to_numpy()[at], "n_distinct": b["n_distinct"].to_numpy()[at],
                 "stretch": d["stretch"].astype("int32"), "lang": np.asarray(LANGS, dtype=object)[d["k"].to_numpy()], "words": d["words"].astype("int32"),
-                "share": d["words"].to_numpy() / total[at], "confidence": d["confidence"].to_numpy() / d["words"].to_numpy(),
+                "share": d["words"].to_numpy() / total[at], "n_large": np.bincount(at[large], minlength=len(b))[at].astype("int32"), "confidence": d["confidence"].to_numpy() / d["words"].to_numpy(),
             })
 
     return run
@@ -293,15 +366,19 @@ def _prior(counts: Column, parent: Column) -> Column:
 
 
 def languages(rows: DataFrame, stretches: bool = False) -> DataFrame:
-    """src, row_id, declared, n_distinct, stretch, lang, words, share, confidence: a row for each language of a text
-    (stretch 0), or with ``stretches`` for each stretch between sentence ends, in order. Wordless texts have none.
+    """src, row_id, declared, n_distinct, stretch, lang, words, share, n_large, confidence: a row for each language of a
+    text (stretch 0), or with ``stretches`` for each stretch between sentence ends, in order. Wordless texts have none.
+    n_large: how many languages (stretches) have MIN_SHARE of the text's words and more.
 
-    rows: _src, _id (one row each), _label, _host1 (recording), _host2 (source), text.
+    rows: _src, _id, _label, _host1 (recording), _host2 (source), text; equal rows of one id count once.
     """
     rows = rows.select("_src", "_id", "_host1", "_host2", label_language(F.col("_label")).alias("declared"), "text")
-    ev = written(evidence(rows, fit(rows)), "language-evidence")
+    ev = evidence(rows, fit(rows))
+    # A segment may come again: its evidence is dropped then, so that no text needs to be shuffled.
+    again = ev.where("_src = 'segment'").dropDuplicates(["_src", "_id"])
+    ev = written(ev.where("_src <> 'segment'").unionByName(again), "language-evidence")
     # What texts alone say, counted by host and by label.
-    sums = [F.sum(v).cast("double").alias(v) for v in _VECTOR]
+    sums = [F.sum(v).cast("double").alias(v) for v in _VECTOR] + [F.count("*").alias("_n")]
     counts = ev.groupBy("_src", "_host1", "_host2", "declared").agg(*sums)
     vector = lambda: F.array(*[F.sum(v) for v in _VECTOR])
     by_label = counts.groupBy("declared").agg(vector().alias("v")).collect()  # at most one row a language
@@ -315,11 +392,19 @@ def languages(rows: DataFrame, stretches: bool = False) -> DataFrame:
     hosts = hosts.join(by_source, (F.col("_src") == F.col("_s2")) & F.col("_host2").eqNullSafe(F.col("_h2")), "left")
     hosts = hosts.join(by_rec, (F.col("_src") == F.col("_s1")) & (F.col("_host1") == F.col("_h1")), "left")
     prior = _prior(F.coalesce("v1", zeros), F.coalesce("p2", flat))
-    # A host may have a third of all rows: each prior stands in several copies, and each row takes one of them.
-    hosts = hosts.select(F.col("_src").alias("_s"), F.col("_host1").alias("_r"), F.col("_host2").alias("_h"), prior.alias("prior"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
-    got = ev.drop(*_VECTOR).withColumn("_k", salt)
-    got = got.join(hosts, (F.col("_src") == F.col("_s")) & F.col("_host1").eqNullSafe(F.col("_r")) & F.col("_host2").eqNullSafe(F.col("_h")) & (F.col("_k") == F.col("_salt")), "left")
+    n_rows = counts.groupBy("_src", "_host1", "_host2").agg(F.sum("_n").alias("_rows"))
+    hosts = hosts.select("_src", "_host1", "_host2", prior.alias("prior"))
+    hosts = hosts.join(n_rows, [hosts[k].eqNullSafe(n_rows[k]) for k in ("_src", "_host1", "_host2")]).select(hosts["_src"].alias("_s"), hosts["_host1"].alias("_r"), hosts["_host2"].alias("_h"), "prior", "_rows")
+    hosts = written(hosts, "host-priors")
+    slim = ev.drop(*_VECTOR)
+    on = (F.col("_src") == F.col("_s")) & F.col("_host1").eqNullSafe(F.col("_r")) & F.col("_host2").eqNullSafe(F.col("_h"))
+    n_hosts, total = hosts.agg(F.count("*"), F.sum("_rows")).first()
+    if n_hosts <= MOST_SENT:
+        got = slim.join(F.broadcast(hosts), on, "left")
+    else:  # a host may have a third of all rows: it is not joined by a shuffle
+        hot = F.col("_rows") > HOT_SHARE * total
+        known = F.broadcast(hosts.where(hot))
+        got = slim.join(known, on).unionByName(slim.join(known, on, "left_anti").join(hosts.where(~hot), on, "left"))
     lik = {r["declared"]: np.asarray(r["v"]) for r in by_label if r["declared"]}
     totals = np.sum([np.asarray(r["v"]) for r in by_label], axis=0) if by_label else np.zeros(len(LANGS))
     arr = lambda v: F.array(*[F.lit(float(x)) for x in v])
@@ -327,13 +412,13 @@ def languages(rows: DataFrame, stretches: bool = False) -> DataFrame:
     for lang, v in lik.items():
         label_lik = F.when(F.col("declared") == lang, arr((v + 1.0) / (totals + len(LANGS)))).otherwise(label_lik)
     got = got.select("_src", "_id", "declared", "n_distinct", "n_words", "scores", F.coalesce("prior", flat).alias("prior"), label_lik.alias("label_lik"))
-    return got.mapInPandas(_posteriors(stretches), "src string, row_id bigint, declared string, n_distinct int, stretch int, lang string, words int, share double, confidence double")
+    return got.mapInPandas(_posteriors(stretches), "src string, row_id bigint, declared string, n_distinct int, stretch int, lang string, words int, share double, n_large int, confidence double")
 
 
 def text_rows(documents: DataFrame, segments: DataFrame, configs: DataFrame) -> DataFrame:
-    """Documents and segments as rows of one shape. Re-delivered segments count once."""
+    """Documents and segments as rows of one shape."""
     d = documents.select(F.lit("document").alias("_src"), F.col("doc_id").alias("_id"), F.col("lang").alias("_label"), F.col("recording").alias("_host1"), F.col("source").alias("_host2"), "text")
-    s = segments.select("seg_id", "config_id", "recording", "text").dropDuplicates(["seg_id"])
+    s = segments.select("seg_id", "config_id", "recording", "text")
     c = configs.select(F.col("config_id"), F.col("lang").alias("_label")).dropDuplicates(["config_id"])
     s = s.join(c, "config_id", "left").select(F.lit("segment").alias("_src"), F.col("seg_id").alias("_id"), "_label", F.col("recording").alias("_host1"), F.col("config_id").cast("string").alias("_host2"), "text")
     return d.unionByName(s)
@@ -348,6 +433,5 @@ def wrong_labels(documents: DataFrame, segments: DataFrame, configs: DataFrame)
     columns are not read; without labelled rows the models know the frequent words alone.
     """
     each = languages(text_rows(documents, segments, configs)).where((F.col("n_distinct") >= MIN_WORDS) & (F.col("share") >= MIN_SHARE))
-    langs = each.groupBy("src", "row_id").agg(F.collect_list(F.struct("lang", "confidence")).alias("l"), F.first("declared").alias("declared"))
-    case = F.col("declared").isNull() | (F.size("l") > 1) | (F.col("l")[0]["lang"] != F.col("declared"))
-    return langs.where(case).select("src", "row_id", F.explode("l").alias("x")).select("src", "row_id", "x.lang", "x.confidence")
+    case = F.col("declared").isNull() | (F.col("n_large") > 1) | (F.col("lang") != F.col("declared"))
+    return each.where(case).select("src", "row_id", "lang", "confidence")

@@ -117,6 +117,36 @@ def test_wrong_labels(spark):
     assert language.wrong_labels(d.limit(0), segments(spark, ["a"]).limit(0), c).count() == 0
 
 
+def test_scores_by_chunks_equal_those_of_sentences(spark, data):
+    """Words, stretches and scores of texts are those of a plain walk over their sentences."""
+    import numpy as np
+
+    docs = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()] + [r.text for r in spark.read.parquet(f"{data}/segments.parquet").select("text").collect()]
+    docs += [None, "", " ", "Speaker 2: bonjour", "Locuteur n°2 - oui. [rires] non", "dÃ©jÃ  vu… euh, ѕenhorа", "a" * 300 + " b. c", "S 12 >> où  là\n–"]
+    model = np.log(np.random.default_rng(1).random((len(language.LANGS), language.BUCKETS))).astype(np.float32)
+    distinct, per_text, n_words, x = language.Scorer(model).score(docs)
+    at = 0
+    for t, d, k in zip(docs, distinct, per_text):
+        want = [[w for w in s if not (len(w) < 8 and language._HESITATION.fullmatch(w))] for s in language.sentences(t or "")]
+        want = [s for s in want if s]
+        assert k == len(want) and d == len({w for s in want for w in s}) and list(n_words[at : at + k]) == list(map(len, want))
+        for s, got in zip(want, x[at : at + k]):
+            v = [model[:, language.features(w)].mean(axis=1) * 2.0 for w in set(s)]
+            v = np.sum([y - y.max() for y in v], axis=0)
+            assert np.allclose(v - v.max(), got, atol=1e-3)
+        at += k
+    assert at == len(x)
+
+
+def test_hosts_of_any_size(spark, data, monkeypatch):
+    """Priors that are sent, and priors that are joined by a shuffle but for those of large hosts, give the same."""
+    tables = [spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "segments", "post_configs")]
+    one = {tuple(r) for r in language.wrong_labels(*tables).select("src", "row_id", "lang").collect()}
+    monkeypatch.setattr(language, "MOST_SENT", 0)
+    monkeypatch.setattr(language, "HOT_SHARE", 0.02)
+    assert one == {tuple(r) for r in language.wrong_labels(*tables).select("src", "row_id", "lang").collect()} and len(one) > 20
+
+
 def test_language_on_held_out_text(spark, data):
     """The label of a document that is not a case is its language; of those that are told apart, nearly all agree."""
     d = spark.read.parquet(f"{data}/documents.parquet")
