@@ -186,7 +186,8 @@ class Scorer:
     #: What a chunk may ask of its text: another look at its characters; a search for notes and labels, by itself or
     #: where it has a word of labels and another chunk (or the same) what may stand after their number.
     LOOK, NOTE, WORD, MARK = 1, 2, 4, 8
-    MOST = 500_000
+    #: Words kept, and words summed at once.
+    MOST, HELD = 500_000, 200_000
 
     def __init__(self, model: np.ndarray):
         self.model = model
@@ -261,7 +262,7 @@ class Scorer:
                 flat.extend(chain.from_iterable(map(self.parts.__getitem__, self._chunks(t))))
                 flat.append(0)
             ends.append(len(flat))
-            if len(flat) > 2_000_000 or len(self.ids) > self.MOST or self.chars > 100 * self.MOST:
+            if len(flat) > self.HELD or len(self.ids) > self.MOST or self.chars > 100 * self.MOST:
                 got.append(self._sums(flat, ends))
                 flat, ends = [], []
                 if len(self.ids) > self.MOST or self.chars > 100 * self.MOST:
@@ -373,10 +374,10 @@ def languages(rows: DataFrame, stretches: bool = False) -> DataFrame:
     rows: _src, _id, _label, _host1 (recording), _host2 (source), text; equal rows of one id count once.
     """
     rows = rows.select("_src", "_id", "_host1", "_host2", label_language(F.col("_label")).alias("declared"), "text")
-    ev = evidence(rows, fit(rows))
+    model = fit(rows)
     # A segment may come again: its evidence is dropped then, so that no text needs to be shuffled.
-    again = ev.where("_src = 'segment'").dropDuplicates(["_src", "_id"])
-    ev = written(ev.where("_src <> 'segment'").unionByName(again), "language-evidence")
+    again = evidence(rows.where("_src = 'segment'"), model).dropDuplicates(["_src", "_id"])
+    ev = written(evidence(rows.where("_src <> 'segment'"), model).unionByName(again), "language-evidence")
     # What texts alone say, counted by host and by label.
     sums = [F.sum(v).cast("double").alias(v) for v in _VECTOR] + [F.count("*").alias("_n")]
     counts = ev.groupBy("_src", "_host1", "_host2", "declared").agg(*sums)
