@@ -53,6 +53,55 @@ def test_turns_equal_the_walk(spark, data):
     assert got == want
 
 
+def test_the_decoder_decides_where_labels_do_not(spark):
+    """What a forward fill of known speakers can't give: rows before a first label, and columns and labels at odds."""
+    rows = [
+        (1, "a", 1, 0.0, 1.0, None, "le micro de la piste", [], None), (2, "a", 1, 1.1, 2.0, None, "piste du micro", [], None), (3, "a", 1, 2.1, 3.0, 7, "le micro", [], None),
+        (1 + 10, "b", 1, 0.0, 1.0, None, "bonjour", [], None), (2 + 10, "b", 1, 9.0, 10.0, 7, "le micro", [], None),
+        (1 + 20, "c", 1, 0.0, 1.0, 5, "la piste du micro", [], None), (2 + 20, "c", 1, 1.1, 2.0, 8, "SPEAKER_5: la piste du micro", [], None), (3 + 20, "c", 1, 9.0, 9.5, 8, "studio", [], None),
+        (1 + 30, "d", 1, 0.0, 1.0, 5, "bonjour", [], None), (2 + 30, "d", 1, 9.0, 9.5, 5, "SPEAKER_8: la piste du micro", [], None), (3 + 30, "d", 1, 9.6, 10.0, 8, "la piste du micro", [], None),
+        (1 + 40, "e", 1, 0.0, 1.0, 9, "SPEAKER_3: un", [], None),
+    ]
+    got = {(r.recording, r.speaker, r.first_seg_id, r.last_seg_id) for r in speaker_turns.clean_turns(spark.createDataFrame(rows, SEG)).collect()}
+    assert got == {("a", 7, 1, 3), ("b", None, 11, 11), ("b", 7, 12, 12), ("c", 5, 21, 22), ("c", 8, 23, 23), ("d", 5, 31, 31), ("d", 8, 32, 33), ("e", 3, 41, 41)}
+
+
+def test_decoding_equals_search():
+    """All segmentations and speakers of few rows, labels with weights that nothing outweighs."""
+    import numpy as np
+
+    r = random.Random(6)
+    go = math.log(1 - 1 / speaker_turns.MEAN_ROWS)
+    opening = speaker_turns.OPEN + math.log(1 / speaker_turns.MEAN_ROWS)
+    for _ in range(150):
+        n, head = r.randint(1, 5), r.choice([None, 1])
+        follows = head is not None or r.random() < 0.3
+        named = [frozenset(r.sample([1, 2, 3], r.choice([0, 0, 1, 1, 2]))) for _ in range(n)]
+        gaps, shared = np.array([r.choice([0.0, 1.3, 4.1]) for _ in range(n)]), np.array([r.random() for _ in range(n)])
+        link = speaker_turns.PAUSE * np.minimum(gaps, 10) + speaker_turns.LEXICAL * shared
+        best = -np.inf
+        for cuts in itertools.product([False, True], repeat=n - 1):
+            begins = [0, *(k + 1 for k, c in enumerate(cuts) if c), n]
+            turns = list(zip(begins, begins[1:]))
+            if any(i and not named[i] for i, _ in turns):
+                continue  # a turn opens at a named row
+            for who in itertools.product([None, 1, 2, 3], repeat=len(turns)):
+                v = 0.0
+                for (i, j), s in zip(turns, who):
+                    goes_on = not i and follows and s == head
+                    if any(x and s not in x for x in named[i:j]) or (s is not None and not goes_on and not any(named[i:j])):
+                        v = -np.inf
+                    elif not i and follows and head is not None and not named[0] and not goes_on:
+                        v = -np.inf
+                    else:
+                        start = link[0] + go if goes_on and (not named[0] or link[0] + go > opening) else opening
+                        v += (opening if i else start) + sum(link[i + 1 : j]) + (j - i - 1) * go
+                best = max(best, v)
+        speakers, part = speaker_turns.decode(named, gaps, shared, head, follows)
+        assert abs(sum(part) - best) < 1e-9
+        assert all(not x or s in x for x, s in zip(named, speakers))
+
+
 def test_turns_have_the_score_of_the_best_path(spark):
     """Exhaustive search over the openings that labels leave free, whatever the buckets."""
     r = random.Random(4)
