@@ -61,7 +61,7 @@ MOST_SENT, HOT_SHARE = 10_000, 0.001
 MIN_WORDS, MIN_SHARE = 6, 0.1
 
 _WORD = re.compile(r"[^\W\d_]+")
-_OPENING = frozenset("[(*<")
+_OPENING, _CLOSING = frozenset("[(*<"), frozenset(":>)]")
 _STOP = re.compile(r"[.!?…;\n–]+")
 _NOTE = re.compile(rf"\[[^\]\d]{{0,60}}\]|\*[^*\d]{{1,60}}\*|<[^<>\d]{{1,60}}>|\((?:{'|'.join(ROUND_NOTES)})\)", re.I)
 _NUMBER = re.compile(r"(?<![\d:.,])\d{1,6}\s?(?:>>|[:\])>]|-(?=\s))")
@@ -217,9 +217,14 @@ class Scorer:
 
     def _learn(self, chunks: Iterable[str]) -> None:
         for c in chunks:
+            self.chars += len(c)
+            if c.isascii() and c.upper() == c.lower():  # no letters: numbers and times, of which few are alike
+                self.kinds[c] = (0 if _OPENING.isdisjoint(c) else self.NOTE) | (0 if _CLOSING.isdisjoint(c) and c != "-" else self.MARK)
+                self.parts[c] = (0,) if _STOP.search(c) else ()
+                continue
             kind = 0 if _OPENING.isdisjoint(c) else self.NOTE
             kind |= 0 if _LABELS.isdisjoint(_NOT_LETTERS.split(c.lower())) else self.WORD
-            kind |= self.MARK if c == "-" or ":" in c or ">" in c or ")" in c or "]" in c else 0
+            kind |= 0 if _CLOSING.isdisjoint(c) else self.MARK
             if not c.isascii() and (_UNUSUAL.search(c) or mojibake.suspicious(c)):
                 kind |= self.LOOK
             out: list[int] = []
@@ -228,7 +233,6 @@ class Scorer:
                     out.append(0)
                 out += [i for w in _WORD.findall(stretch) if (i := self.word(w)) > 0]
             self.kinds[c], self.parts[c] = kind, tuple(out)
-            self.chars += len(c)
 
     def _chunks(self, text: str) -> list[str]:
         """The chunks of a text, without labels and notes, in the one form of its characters."""
