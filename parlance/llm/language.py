@@ -325,8 +325,13 @@ def evidence(rows: DataFrame, model: np.ndarray) -> DataFrame:
     return rows.mapInPandas(run, _SCORED)
 
 
-def _posteriors(stretches: bool):
-    """Fuse the evidence; a row a stretch, or a row a language of each text."""
+_PRIOR = [f"p{k}" for k in range(len(LANGS))]
+
+
+def _posteriors(stretches: bool, label_lik: np.ndarray):
+    """Fuse the evidence; a row a stretch, or a row a language of each text. label_lik: how likely each declared
+    language is, in order of LANGS, where the text's is another; in the last row nothing is declared."""
+    row_of = {lang: k for k, lang in enumerate(LANGS)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -336,8 +341,8 @@ def _posteriors(stretches: bool):
                 continue
             x = np.frombuffer(b"".join(b["scores"]), dtype=np.float16).reshape(-1, len(LANGS)).astype(float)
             row = np.repeat(np.arange(len(b)), counts)
-            prior = np.vstack(b["prior"].to_numpy())[row]
-            label = np.vstack(b["label_lik"].to_numpy())[row]
+            prior = b[_PRIOR].to_numpy()[row]
+            label = label_lik[b["declared"].map(row_of).fillna(len(LANGS)).to_numpy().astype(int)][row]
             # The lowest level of the hierarchy is the text itself: its other stretches.
             soft = _softmax(TEMPER * x) * n[:, None]
             own = np.zeros((len(b), len(LANGS)))
@@ -412,12 +417,12 @@ def languages(rows: DataFrame, stretches: bool = False) -> DataFrame:
         got = slim.join(known, on).unionByName(slim.join(known, on, "left_anti").join(hosts.where(~hot), on, "left"))
     lik = {r["declared"]: np.asarray(r["v"]) for r in by_label if r["declared"]}
     totals = np.sum([np.asarray(r["v"]) for r in by_label], axis=0) if by_label else np.zeros(len(LANGS))
-    arr = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    label_lik = arr(np.ones(len(LANGS)))
+    label_lik = np.ones((len(LANGS) + 1, len(LANGS)))
     for lang, v in lik.items():
-        label_lik = F.when(F.col("declared") == lang, arr((v + 1.0) / (totals + len(LANGS)))).otherwise(label_lik)
-    got = got.select("_src", "_id", "declared", "n_distinct", "n_words", "scores", F.coalesce("prior", flat).alias("prior"), label_lik.alias("label_lik"))
-    return got.mapInPandas(_posteriors(stretches), "src string, row_id bigint, declared string, n_distinct int, stretch int, lang string, words int, share double, n_large int, confidence double")
+        label_lik[LANGS.index(lang)] = (v + 1.0) / (totals + len(LANGS))
+    priors = [F.coalesce(F.col("prior")[k], F.lit(1.0 / len(LANGS))).alias(p) for k, p in enumerate(_PRIOR)]
+    got = got.select("_src", "_id", "declared", "n_distinct", "n_words", "scores", *priors)
+    return got.mapInPandas(_posteriors(stretches, label_lik), "src string, row_id bigint, declared string, n_distinct int, stretch int, lang string, words int, share double, n_large int, confidence double")
 
 
 def text_rows(documents: DataFrame, segments: DataFrame, configs: DataFrame) -> DataFrame:
