@@ -61,10 +61,12 @@ MOST_SENT, HOT_SHARE = 10_000, 0.001
 MIN_WORDS, MIN_SHARE = 6, 0.1
 
 _WORD = re.compile(r"[^\W\d_]+")
-_OPENING, _CLOSING = frozenset("[(*<"), frozenset(":>)]")
+_OPENING, _CLOSING = re.compile(r"[\[(*<](?!\d)"), frozenset((":", ">", ")", "]"))
+_SHAPE = str.maketrans("123456789", "0" * 9)
 _STOP = re.compile(r"[.!?…;\n–]+")
 _NOTE = re.compile(rf"\[[^\]\d]{{0,60}}\]|\*[^*\d]{{1,60}}\*|<[^<>\d]{{1,60}}>|\((?:{'|'.join(ROUND_NOTES)})\)", re.I)
-_NUMBER = re.compile(r"(?<![\d:.,])\d{1,6}\s?(?:>>|[:\])>]|-(?=\s))")
+#: The number of a speaker's label, and no time of day.
+_NUMBER = re.compile(r"(?<![\d:.,])\d{1,6}\s?(?:>>|[:\])>](?!\d)|-(?=\s))")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _LABELS = frozenset(LABEL_WORDS)
 _HESITATION = re.compile("|".join(HESITATIONS))
@@ -198,6 +200,7 @@ class Scorer:
         self.ids: dict[str, int] = {}
         self.kinds: dict[str, int] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
+        self.shapes: dict[str, tuple[int, tuple[int, ...]]] = {}
         self.chars = 0
         self.table = np.zeros((1024, len(LANGS)))
 
@@ -215,16 +218,19 @@ class Scorer:
         self.ids[w] = i
         return i
 
+    def _asks(self, chunk: str) -> int:
+        marked = chunk[:1] in _CLOSING or (chunk[:1] == "-" and not chunk[1:2].strip()) or _NUMBER.search(chunk + " ")
+        return (self.NOTE if _OPENING.search(chunk) else 0) | (self.MARK if marked else 0)
+
     def _learn(self, chunks: Iterable[str]) -> None:
         for c in chunks:
             self.chars += len(c)
-            if c.isascii() and c.upper() == c.lower():  # no letters: numbers and times, of which few are alike
-                self.kinds[c] = (0 if _OPENING.isdisjoint(c) else self.NOTE) | (0 if _CLOSING.isdisjoint(c) and c != "-" else self.MARK)
-                self.parts[c] = (0,) if _STOP.search(c) else ()
+            if c.isascii() and c.upper() == c.lower():  # numbers and times: few are alike, but their shapes are
+                if (known := self.shapes.get(shape := c.translate(_SHAPE))) is None:
+                    known = self.shapes[shape] = (self._asks(c), (0,) if _STOP.search(c) else ())
+                self.kinds[c], self.parts[c] = known
                 continue
-            kind = 0 if _OPENING.isdisjoint(c) else self.NOTE
-            kind |= 0 if _LABELS.isdisjoint(_NOT_LETTERS.split(c.lower())) else self.WORD
-            kind |= 0 if _CLOSING.isdisjoint(c) else self.MARK
+            kind = self._asks(c) | (0 if _LABELS.isdisjoint(_NOT_LETTERS.split(c.lower())) else self.WORD)
             if not c.isascii() and (_UNUSUAL.search(c) or mojibake.suspicious(c)):
                 kind |= self.LOOK
             out: list[int] = []
@@ -245,16 +251,21 @@ class Scorer:
             for k, c in zip(odd, right.split(" ")):
                 chunks[k] = c
             text = " ".join(chunks)
-            chunks, asked = self._known(normalize_text(text)[0] if _UNUSUAL.search(right) else text)
+            text = normalize_text(text)[0] if _UNUSUAL.search(right) else text
+            chunks, asked = self._known(text)
         if asked & self.NOTE or asked & (self.WORD | self.MARK) == self.WORD | self.MARK:
-            chunks, _ = self._known(without_labels(" ".join(chunks)))
+            if (plain := without_labels(text)) != text:
+                chunks, _ = self._known(plain)
         return chunks
 
     def _known(self, text: str) -> tuple[list[str], int]:
-        chunks = text.split(" ")
-        if new := set(chunks).difference(self.kinds):
-            self._learn(new)
-        return chunks, reduce(or_, set(map(self.kinds.__getitem__, chunks)))
+        chunks = (text.replace("\n", " \n ") if "\n" in text else text).split(" ")
+        try:
+            kinds = set(map(self.kinds.__getitem__, chunks))
+        except KeyError:
+            self._learn(set(chunks).difference(self.kinds))
+            kinds = set(map(self.kinds.__getitem__, chunks))
+        return chunks, reduce(or_, kinds)
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per text its different words and its stretches; per stretch its words and its scores by language."""
