@@ -59,6 +59,17 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.where(F.col("turn_id").isNotNull()).select("word_id", "turn_id")
 
 
+@query("p3_unmatched", f"""
+WITH w AS (SELECT DISTINCT word_id, recording, speaker, {ms('start_s')} + {ms('end_s')} AS m FROM words WHERE speaker IS NOT NULL AND start_s IS NOT NULL AND end_s IS NOT NULL),
+t AS (SELECT DISTINCT recording, speaker, 2 * {ms('start_s')} AS a, 2 * {ms('end_s')} AS b FROM turns WHERE speaker IS NOT NULL)
+SELECT word_id FROM w WHERE word_id NOT IN (SELECT word_id FROM w JOIN t USING (recording, speaker) WHERE b > a AND greatest(a - m, m - b, 0) <= 2400)
+""")
+def p3_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Words whose speaker has no turn near enough."""
+    pairs = nearest_time.nearest_time(spark, f"{folder}/words.parquet", f"{folder}/turns.parquet")
+    return pairs.where(F.col("turn_id").isNull()).select("word_id")
+
+
 @query("p5_found")
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     words = read(spark, folder, "words", ["word_id", "piece_id", "pos", "text"])

@@ -164,6 +164,34 @@ def test_nearest_equals_brute_force(spark, tmp_path):
     assert got == want
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_nearest_at_former_limits(spark, tmp_path, parts):
+    """Times beyond 25 days, turns longer than a day, and words far inside such turns."""
+    now = datetime.datetime(2025, 3, 1)
+    day = lambda d: now + datetime.timedelta(days=d)
+    far = 2_147_483_648 / 1000 + 5000.0
+    ts = [(1, "a", far, far + 3.0, 0, day(0)), (2, "a", 0.0, 4e6, 1, day(1)), (3, "b", 1e12, 1e12 + 1, 0, day(30)), (4, "c", 0.0, 9e4, 0, day(60)), (5, "c", 1e5, 3e5, 0, day(61))]
+    ws = [(1, "a", far + 3.5, far + 3.6, 0, day(0)), (2, "a", 2e6, 2e6 + 1, 1, day(2)), (3, "a", 4e6 + 0.5, 4e6 + 0.6, 1, day(2)), (4, "a", 4e6 + 9, 4e6 + 9, 1, day(2)), (5, "b", 1e12 - 0.5, 1e12 - 0.5, 0, day(33)), (6, "c", 95_000.0, 95_000.0, 0, day(60)), (7, "c", 2e5, 2e5, 0, day(60)), (8, "c", 299_999.0, 299_999.0, 0, day(60))]
+    got = {(x.word_id, x.turn_id) for x in nearest_time.nearest_time(spark, write(spark, tmp_path, "words", ws, W), write(spark, tmp_path, "turns", ts, T), parts=parts).collect()}
+    assert got == {(1, 1), (3, 2), (4, None), (5, 3), (6, None)}
+
+
+def test_state_shrinks_as_the_replay_goes(spark, tmp_path):
+    now = datetime.datetime(2025, 3, 1)
+    r = random.Random(10)
+    rows = [(i, f"r{i // 20}", 10.0 * (i % 20), 10.0 * (i % 20) + 1.0, 0, now + datetime.timedelta(days=i // 20, hours=r.randint(0, 30))) for i in range(4000)]
+    ws = [(i, rec, a + 2.0, a + 2.2, s, t) for i, rec, a, _, s, t in rows]
+    words, turns = write(spark, tmp_path, "words", ws, W), write(spark, tmp_path, "turns", rows, T)
+    seen = []
+    got = {(x.word_id, x.turn_id) for x in nearest_time.nearest_time(spark, words, turns, progress=seen).collect()}
+    assert got == {(i, i) for i in range(4000)}
+    marks = [p.eventTime["watermark"] for batch in seen for p in batch if "watermark" in p.eventTime]
+    assert len(seen) == 4 and len(set(marks)) >= 4 and marks == sorted(marks)
+    left = [batch[-1].stateOperators[0].numRowsTotal for batch in seen]
+    assert max(left[:-1]) < 60 and left[-1] <= 2  # of 200 recordings, those of the last days; in the end the marker alone
+    assert {(x.word_id, x.turn_id) for x in nearest_time.nearest_time(spark, words, turns, parts=1).collect()} == got
+
+
 def test_nearest_emits_as_the_watermark_goes(spark, tmp_path):
     at = lambda d: datetime.datetime(2025, 3, 1) + datetime.timedelta(days=d)
     left, right = [f"{tmp_path}/{x}" for x in ("l", "r")]
