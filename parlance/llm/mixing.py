@@ -18,6 +18,8 @@ from .tokens import TOKENIZER, sized
 #: The seeded order is cut into bins, of some so many documents or more; only in the one bin where a quota ends are
 #: documents put in order.
 BIN_DOCS, MOST_BINS = 4096, 1 << 16
+#: Bins up to which they are sent to every task.
+MOST_SENT = 100_000
 SEED = 42
 
 
@@ -86,7 +88,8 @@ def mixed(documents: DataFrame, targets: DataFrame, total: float | None = None,
     keys = ["mix", "source"]
     bins = x.where("part > 0").groupBy(*keys, "bin").agg(F.sum("tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bins = F.broadcast(bins.withColumn("before", before))  # at most MOST_BINS rows a target
+    bins = bins.withColumn("before", before)
+    bins = F.broadcast(bins) if len(rows) << power <= MOST_SENT else bins.hint("shuffle_hash")  # a bin is a small part of its source
     x = x.join(bins, [*keys, "bin"], "left")
     whole_bin = x.where((F.col("part") <= 0) | F.col("n").isNull() | (F.col("before") + F.col("n") <= F.col("part")) | (F.col("before") >= F.col("part")))
     whole_bin = whole_bin.withColumn("more", ((F.col("part") > 0) & (F.coalesce(F.col("before") + F.col("n"), F.lit(0)) <= F.col("part"))).cast("int"))

@@ -29,8 +29,8 @@ _SENTENCE = re.compile(r"[.!?…\n]+")
 DIMS = 4
 #: Cells a unit of each transformed statistic; weight of the subset; least spread; quantile of chi-square, 4 degrees.
 CELLS, SUBSET, LEAST_SD, CUTOFF = 32, 0.75, 0.08, 9.488
-#: A stratum below this many rows borrows the estimate of its source.
-MIN_ROWS = 200
+#: Rows of its source's statistics that each stratum takes as a prior: the fewer rows of its own, the more they tell.
+PRIOR_ROWS = 200
 MIN_WORDS, MIN_SHARE = 8, 0.5
 #: A text without repetition, and the rows for which it stands beside those of a source.
 IDLE, IDLE_ROWS = (0.0, 0.0, 0.0, 0.5), 50
@@ -135,12 +135,15 @@ def mcd(x: np.ndarray, w: np.ndarray, subset: float = SUBSET, steps: int = 30) -
 
 
 def _fit(group: pd.DataFrame) -> pd.DataFrame:
+    """Estimates of a source ('*') and of each of its languages, from the cells of all."""
     x = np.vstack(group["cell"].to_numpy()).astype(float) / CELLS
     n = group["n"].to_numpy(float)
-    if group["stratum"].iloc[0] == "*":  # a handful of rows must not be what is usual
-        x, n = np.vstack([x, IDLE]), np.append(n, IDLE_ROWS)
-    m, c = mcd(x, n)
-    return pd.DataFrame({"src": [group["src"].iloc[0]], "stratum": [group["stratum"].iloc[0]], "rows": [int(group["n"].sum())], "centre": [m.tolist()], "inverse": [np.linalg.inv(c).ravel().tolist()]})
+    lang = group["lang"].to_numpy()
+    whole, weight = np.vstack([x, IDLE]), np.append(n, IDLE_ROWS)  # a handful of rows must not be what is usual
+    fits = [("*", *mcd(whole, weight))]
+    for k in sorted(set(lang)):
+        fits.append((k, *mcd(np.vstack([x[lang == k], whole]), np.append(n[lang == k], weight * (PRIOR_ROWS / weight.sum())))))
+    return pd.DataFrame({"src": group["src"].iloc[0], "stratum": [f[0] for f in fits], "centre": [f[1].tolist() for f in fits], "inverse": [np.linalg.inv(f[2]).ravel().tolist() for f in fits]})
 
 
 def measured(pieces: DataFrame, segments: DataFrame) -> DataFrame:
@@ -154,11 +157,9 @@ def measured(pieces: DataFrame, segments: DataFrame) -> DataFrame:
     stats = written(rows.mapInPandas(_stat_batches, _STATS), "repetition")
     cells = stats.where("n_words > 0").select("src", "lang", F.transform("z", lambda v: F.round(v * CELLS).cast("int")).alias("cell"))
     cells = cells.groupBy("src", "lang", "cell").agg(F.count("*").alias("n"))
-    both = cells.select("src", F.explode(F.array("lang", F.lit("*"))).alias("stratum"), "cell", "n").groupBy("src", "stratum", "cell").agg(F.sum("n").alias("n"))
-    fits = both.groupBy("src", "stratum").applyInPandas(_fit, "src string, stratum string, rows bigint, centre array<double>, inverse array<double>")
-    # A row a language and source: two sources, ten languages.
-    fits = F.broadcast(fits.where((F.col("rows") >= MIN_ROWS) | (F.col("stratum") == "*")))
-    own = fits.select(F.col("src"), F.col("stratum").alias("lang"), F.col("centre").alias("c1"), F.col("inverse").alias("i1"))
+    fits = cells.groupBy("src").applyInPandas(_fit, "src string, stratum string, centre array<double>, inverse array<double>")  # cells are few: the grid bounds them
+    fits = F.broadcast(fits)  # a row a language and source: two sources, ten languages
+    own = fits.where("stratum <> '*'").select(F.col("src"), F.col("stratum").alias("lang"), F.col("centre").alias("c1"), F.col("inverse").alias("i1"))
     whole = fits.where("stratum = '*'").select("src", F.col("centre").alias("c0"), F.col("inverse").alias("i0"))
     got = stats.join(own, ["src", "lang"], "left").join(whole, "src", "left")
 

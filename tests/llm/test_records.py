@@ -357,7 +357,10 @@ def test_water_filling():
     assert mixing.fill([("a", 0.0, 2)], {"a": 10}) == {"a": 0.0}
 
 
-def test_mixed(spark):
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_mixed(spark, monkeypatch, sent):
+    monkeypatch.setattr(mixing, "MOST_SENT", sent)
+    monkeypatch.setattr(mixing, "BIN_DOCS", 40)
     r = random.Random(14)
     texts = [("mot " * r.randint(1, 60), r.choice(["a", "a", "a", "b", "c", None])) for _ in range(600)] + [(None, "a"), ("", "b")]
     d = documents(spark, texts)
