@@ -350,6 +350,29 @@ def l8_retry_ladder(spark: SparkSession, folder: str) -> DataFrame:
     return x.select("recording", "span_id", "text", F.array_join("flags", "; ").alias("flags"), "rung")
 
 
+@query("l6_issues")
+def l6_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """All issues but the one that a compressor tells."""
+    a = retry.diagnosed(attempts(spark, folder))
+    return a.select("recording", "span_id", "rung", F.array_join(F.filter("issues", lambda x: ~x.startswith("compression ratio")), "; ").alias("issues"))
+
+
+def stored_attempts(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of a span as its attempts, their flags as what is wrong with them."""
+    return pieces_once(spark, folder).where("text IS NOT NULL").select("recording", "span_id", "start_s", "end_s", F.col("piece_ix").alias("rung"), "text", F.coalesce("flags", F.array().cast("array<string>")).alias("issues"))
+
+
+@query("j6_stored")
+def j6_stored(spark: SparkSession, folder: str) -> DataFrame:
+    return retry.pending(stored_attempts(spark, folder), 0)
+
+
+@query("l8_stored")
+def l8_stored(spark: SparkSession, folder: str) -> DataFrame:
+    x = retry.resolved(stored_attempts(spark, folder))
+    return x.select("recording", "span_id", "text", F.array_join("flags", "; ").alias("flags"), "rung")
+
+
 @query("j6_pending")
 def j6_pending(spark: SparkSession, folder: str) -> DataFrame:
     return retry.pending(retry.diagnosed(attempts(spark, folder)), 0)
@@ -809,3 +832,6 @@ def t15_glossary_entries(spark: SparkSession, folder: str) -> DataFrame:
     e = read(spark, folder, "post_configs").select("config_id", F.explode("glossary").alias("e"))
     t = F.trim(F.element_at(F.split("e", "="), 1))
     return e.select("config_id", t.alias("term")).where("term <> ''").groupBy("config_id", "term").agg(F.count("*").alias("n"))
+
+
+from . import answers  # noqa: E402, F401 - adds the SQL that takes a walk
