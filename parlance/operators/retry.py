@@ -52,10 +52,10 @@ def pending(attempts: DataFrame, rung: int) -> DataFrame:
     return attempts.select("recording", "span_id").distinct().join(done, ["recording", "span_id"], "left_anti")
 
 
-def batches(spans: DataFrame, size: int = 16, parts: int = 64) -> DataFrame:
-    """spans with batch: longest first, so that the spans of a batch are alike. Spans are ranked within parts of a
-    recording's hash, so that ranking is no one task's work."""
-    part = F.pmod(F.xxhash64("recording", "span_id"), F.lit(parts))
+def batches(spans: DataFrame, size: int = 16, parts: int = 64, part: Column | None = None) -> DataFrame:
+    """spans with batch: longest first, so that the spans of a batch are alike. Spans are ranked within parts (of a hash
+    by default), so that ranking is no one task's work."""
+    part = F.pmod(F.xxhash64("recording", "span_id"), F.lit(parts)) if part is None else part
     w = Window.partitionBy("_part").orderBy(F.desc(F.col("end_s") - F.col("start_s")), "recording", "span_id")
     return spans.withColumn("_part", part).withColumn("batch", F.concat_ws("-", F.col("_part").cast("string"), F.floor((F.row_number().over(w) - 1) / size).cast("string"))).drop("_part")
 

@@ -159,3 +159,124 @@ k AS (SELECT span_id, CAST(0 AS BIGINT) AS part, 0.0::DOUBLE AS a, CASE WHEN e >
 c AS (SELECT span_id, part, a, coalesce(b, lead(a) OVER (PARTITION BY span_id ORDER BY part)) AS b FROM k)
 SELECT CAST(span_id AS VARCHAR) AS recording, CAST(0 AS BIGINT) AS span_id, CAST(part AS INT) AS part, a AS start_s, b AS end_s FROM c
 """
+
+# --- cleaning, whole pipelines ------------------------------------------------------------------------------------
+
+
+def cleaned(source: str, duration: str | None) -> str:
+    """SQL: the rows of ``source`` whose text survives cleaning, as t (scripts aren't looked at)."""
+    ws = "[\\s\\x0b\\x85\\p{Z}]"
+    quoted = lambda words: ", ".join(f"'{x}'" for x in words)
+    short = f" OR ({duration} < 1.0 AND key IN ({quoted(INVENTED_SHORT)}))" if duration else ""
+    return f"""(SELECT * FROM (SELECT *, array_to_string(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+'), ' ') AS key FROM (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\[[^\\]]{{0,40}}\\]', ' ', 'g'), '{ws}{{2,}}', ' ', 'g'), '^{ws}+', ''), '{ws}+$', '') AS t FROM {source}))
+  WHERE NOT coalesce(t = '' OR key IN ({quoted(INVENTED)}){short}, false))"""
+
+
+FLAGS = "array_to_string(list_sort(list_distinct(coalesce(flags, []))), '|')"
+SQL["pipeline_turns"] = f"""
+WITH s AS (SELECT DISTINCT seg_id, recording, start_s, end_s, speaker, text, flags FROM segments WHERE start_s IS NOT NULL AND end_s IS NOT NULL AND speaker IS NOT NULL),
+c AS {cleaned('s', 'end_s - start_s')},
+f AS (SELECT recording, speaker, row_number() OVER (PARTITION BY recording ORDER BY min((start_s, seg_id)), speaker) - 1 AS label FROM c GROUP BY recording, speaker)
+SELECT c.recording, c.speaker, CAST(label AS INT) AS label, start_s, end_s, t AS text, {FLAGS} AS flags FROM c JOIN f ON f.recording = c.recording AND f.speaker = c.speaker
+"""
+
+
+def _speech_turns() -> str:
+    """SQL: mt, the turns of speech: phantoms out, merged, micro turns out."""
+    from .queries import MERGED, ms
+
+    return f"""{DISTINCT_TURNS}, ph AS (SELECT recording, speaker FROM d WHERE speaker IS NOT NULL GROUP BY recording, speaker HAVING sum({ms('end_s')} - {ms('start_s')}) >= 2000),
+v AS (SELECT d.* FROM d JOIN ph USING (recording, speaker) WHERE start_s IS NOT NULL AND end_s > start_s), {MERGED}, mt AS (SELECT * FROM m WHERE end_s - start_s >= 0.15)"""
+
+
+def attributed(words: str) -> str:
+    """SQL: sg, the segments of the timed ``words`` (with piece_id and flags) by the turns mt: speakers, sentences, groups,
+    cleaning and labels."""
+    from .queries import SPEAKER_AT
+
+    who = SPEAKER_AT.replace("FROM v)", "FROM mt)").replace("FROM words WHERE", f"FROM {words} WHERE")
+    return f"""{who},
+w AS (SELECT pw.word_id, pw.recording, pw.piece_id, pw.pos, pw.start_s, pw.end_s, pw.text, who.speaker, pw.flags FROM {words} pw JOIN who USING (word_id)), {SENTENCES}, {RUNS}, {SMOOTH},
+gw AS (SELECT word_id, recording, start_s, end_s, text, flags, smoothed AS speaker FROM sm), {GROUPED[GROUPED.index('gb AS'):]},
+sg0 AS (SELECT recording, speaker, min(start_s) AS start_s, arg_max(end_s, (start_s, word_id)) AS end_s, string_agg(text, ' ' ORDER BY start_s, word_id) AS text, flatten(list(coalesce(flags, []))) AS flags, arg_min(word_id, (start_s, word_id)) AS first_word
+  FROM gi GROUP BY recording, speaker, k),
+sg1 AS {cleaned('sg0', 'end_s - start_s')},
+sl AS (SELECT recording, speaker, row_number() OVER (PARTITION BY recording ORDER BY min((start_s, first_word)), speaker) - 1 AS label FROM sg1 WHERE speaker IS NOT NULL GROUP BY recording, speaker),
+sg AS (SELECT sg1.recording, sg1.speaker, CAST(label AS INT) AS label, start_s, end_s, t AS text, {FLAGS} AS flags FROM sg1 LEFT JOIN sl ON sl.recording = sg1.recording AND sl.speaker = sg1.speaker)"""
+
+
+SQL["pipeline_window"] = f"""
+WITH {_speech_turns()}, {PIECES}, pc AS {cleaned('p', None)},
+pw AS (SELECT DISTINCT w.word_id, pc.recording, w.piece_id, w.pos, w.start_s, w.end_s, w.text, pc.flags FROM words w JOIN pc ON pc.piece_id = w.piece_id),
+{attributed('pw')} SELECT * FROM sg
+"""
+
+# --- metrics and style --------------------------------------------------------------------------------------------
+
+
+def distances(pairs: str) -> str:
+    """SQL: wd(k, edits): the word edit distance of the word lists x and y of ``pairs`` (key k). Needs WITH RECURSIVE."""
+    row = "list_prepend(i + 1, list_transform(y, lambda v, j: least(r[j + 1] + 1, r[j] + CASE WHEN v = x[i + 1] THEN 0 ELSE 1 END)))"
+    return f"""
+wp AS MATERIALIZED (SELECT * FROM {pairs}),
+wr AS (SELECT k, CAST(0 AS BIGINT) AS i, list_transform(range(0, len(y) + 1), lambda v: CAST(v AS BIGINT)) AS r FROM wp
+  UNION ALL SELECT k, i + 1, list_reduce(list_transform(p, lambda v: [v]), lambda a, v: list_append(a, least(a[-1] + 1, v[1]))) FROM (SELECT wr.k, i, {row} AS p FROM wr JOIN wp ON wp.k = wr.k WHERE i < len(x))),
+wd AS (SELECT wr.k, r[-1] AS edits FROM wr JOIN wp ON wp.k = wr.k WHERE i = len(x))
+"""
+
+
+def plain_words(t: str) -> str:
+    return f"regexp_extract_all(lower({t}), '[{W}]+')"
+
+
+SQL["e1_word_distance"] = f"""
+WITH RECURSIVE {PIECES}, {ATTEMPTS}, pe AS (SELECT (recording, span_id) AS k, text AS t FROM a WHERE rung = 0), {collapsed('pe')},
+pr AS (SELECT k, {plain_words('pe.t')} AS x, {plain_words('col.t')} AS y FROM pe JOIN col USING (k)), {distances('pr')}
+SELECT k[1] AS recording, k[2] AS span_id, CAST(edits AS INT) AS edits, CAST(greatest(len(x), len(y)) AS INT) AS longest, CASE WHEN len(x) + len(y) = 0 THEN 0 ELSE round(edits / greatest(len(x), len(y)), 6) END AS gap FROM wd JOIN pr USING (k)
+"""
+SQL["e2_agreement_words"] = f"""
+WITH RECURSIVE {PIECES}, {ATTEMPTS}, pr AS (SELECT (a.recording, a.span_id, a.rung, b.rung) AS k, {plain_words('a.text')} AS x, {plain_words('b.text')} AS y FROM a JOIN a b ON b.recording = a.recording AND b.span_id = a.span_id AND a.rung < b.rung), {distances('pr')}
+SELECT 'rung' || k[3] AS system_a, 'rung' || k[4] AS system_b, CAST(sum(edits) AS BIGINT) AS edits, CAST(sum(greatest(len(x), len(y))) AS BIGINT) AS words, round(sum(edits) / sum(greatest(len(x), len(y))), 6) AS gap FROM wd JOIN pr USING (k) GROUP BY k[3], k[4]
+"""
+HESITATION = "euh+|heu+|hum+|hm+|mmh*|mm-hmm|hmm+"
+WJ = "\\p{L}\\p{M}\\p{N}\\p{Pc}\\x{200C}\\x{200D}"
+
+
+def counted(words: str) -> str:
+    """SQL: how often one of ``words`` stands by itself in text."""
+    return f"len(regexp_extract_all(' ' || regexp_replace(coalesce(text, ''), '[^{WJ}]+', '  ', 'g') || ' ', '(?i) (?:{words}) '))"
+
+
+SQL["e3_kept_style"] = f"""
+WITH s AS (SELECT DISTINCT seg_id, config_id, text FROM segments)
+SELECT config_id, count(*) AS segments, CAST(sum({counted('euh+|heu+|hum+|hm+|mmh*|hmm+')}) AS BIGINT) AS hesitations, round(avg(CAST(regexp_matches(coalesce(text, ''), '^\\p{{Lu}}') AS INT)), 6) AS capital_share,
+  CAST(sum({counted('réunion')} + {counted('budget')}) AS BIGINT) AS term_hits FROM s GROUP BY config_id
+"""
+PARTED = f"(^|[^{W}])(?:{HESITATION})($|[^{W}])"
+SQL["t8_read_style"] = f"""
+WITH RECURSIVE s AS (SELECT DISTINCT seg_id, text FROM segments WHERE text IS NOT NULL),
+m AS (SELECT *, regexp_replace(regexp_replace(text, '(?i){PARTED}', '\\1' || chr(57345) || '\\2', 'g'), '(?i){PARTED}', '\\1' || chr(57345) || '\\2', 'g') AS x FROM s),
+t AS MATERIALIZED (SELECT seg_id, text, len(regexp_extract_all(x, chr(57345))) AS fillers, list_filter(regexp_split_to_array(regexp_replace(x, chr(57345) || '[,.…]*[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]*', '', 'g'), '[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+'), lambda v: v <> '') AS w FROM m),
+k AS MATERIALIZED (SELECT seg_id, list_transform(w, lambda v: trim(lower(v), ',')) AS k FROM t),
+f AS MATERIALIZED (SELECT seg_id, k, list_transform(k, lambda v: v NOT IN ({', '.join(f"'{x.replace(chr(39), chr(39) * 2)}'" for x in sorted(EMPHATIC))}) AND regexp_full_match(v, '[\\p{{L}}\\p{{Nl}}\\p{{No}}][{W}''’-]*')) AS fit FROM k),
+r AS (SELECT seg_id, CAST(1 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS kept, 0 AS n FROM t
+  UNION ALL SELECT seg_id, i + greatest(step, 1), CASE WHEN step > 0 THEN kept ELSE list_append(kept, v) END, n + CASE WHEN step > 0 THEN 1 ELSE 0 END FROM (
+    SELECT r.*, w[i] AS v, CASE WHEN i + 3 <= len(w) AND fit[i] AND fit[i + 1] AND k[i] = k[i + 2] AND k[i + 1] = k[i + 3] THEN 2 WHEN i + 1 <= len(w) AND fit[i] AND k[i] = k[i + 1] THEN 1 ELSE 0 END AS step
+    FROM r JOIN t ON t.seg_id = r.seg_id JOIN f ON f.seg_id = r.seg_id WHERE i <= len(w))),
+e AS (SELECT r.seg_id, t.text, fillers, n, regexp_replace(regexp_replace(regexp_replace(array_to_string(kept, ' '), '^[\\s,;.…]+', ''), '\\s+([,.])', '\\1', 'g'), ',\\s*,', ',', 'g') AS x FROM r JOIN t ON t.seg_id = r.seg_id WHERE i > len(w))
+SELECT seg_id, CASE WHEN regexp_matches(text, '^\\p{{Lu}}') THEN upper(x[1]) || x[2:] ELSE x END AS text, CAST(fillers AS INT) AS fillers, CAST(n AS INT) AS stutters FROM e
+"""
+
+# --- batches and files --------------------------------------------------------------------------------------------
+
+SQL["o2_batches"] = f"""
+WITH {PIECES}, r AS (SELECT piece_id, part, row_number() OVER (PARTITION BY part ORDER BY end_s - start_s DESC, recording, piece_id) - 1 AS o FROM p JOIN (SELECT DISTINCT piece_id, abs(piece_id) % 64 AS part FROM pieces) USING (piece_id))
+SELECT piece_id, part || '-' || o // 16 AS batch FROM r
+"""
+SQL["k4_files"] = f"""
+WITH {SEGMENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY start_s, end_s, seg_id) AS i, CAST(round_even(start_s * 1000, 0) AS BIGINT) AS a, CAST(round_even(end_s * 1000, 0) AS BIGINT) AS b FROM s),
+srt AS (SELECT *, i || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000) || chr(10) || '[SPEAKER_' || speaker || '] ' || text || chr(10) AS block FROM o)
+SELECT recording, 'txt' AS format, string_agg({LINE}, chr(10) ORDER BY i) || chr(10) AS content FROM o GROUP BY recording
+UNION ALL SELECT recording, 'srt', string_agg(block, chr(10) ORDER BY i) FROM srt GROUP BY recording
+"""

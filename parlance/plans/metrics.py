@@ -22,20 +22,30 @@ def comparable_words(text: str | None) -> list[str]:
 word_gap_udf = by_row("struct<edits int, longest int>", ["edits", "longest"])(lambda a, b: (lambda x, y: (word_distance(x, y), max(len(x), len(y))))(comparable_words(a), comparable_words(b)))
 
 
-def word_gap(pairs: DataFrame, a: str = "text_a", b: str = "text_b") -> DataFrame:
-    """pairs with edits, longest and gap: the word edit distance over the longer text's words (0 for two empty ones)."""
-    x = pairs.withColumn("_g", word_gap_udf(a, b))
+def plain_words(text: str | None) -> list[str]:
+    import re
+
+    return re.findall(r"\w+", (text or "").lower())
+
+
+plain_gap_udf = by_row("struct<edits int, longest int>", ["edits", "longest"])(lambda a, b: (lambda x, y: (word_distance(x, y), max(len(x), len(y))))(plain_words(a), plain_words(b)))
+
+
+def word_gap(pairs: DataFrame, a: str = "text_a", b: str = "text_b", plain: bool = False) -> DataFrame:
+    """pairs with edits, longest and gap: the word edit distance over the longer text's words (0 for two empty ones).
+    ``plain`` takes words as they are; else fillers are left out and numbers are in digits."""
+    x = pairs.withColumn("_g", (plain_gap_udf if plain else word_gap_udf)(a, b))
     gap = F.when(F.col("_g.longest") > 0, F.col("_g.edits") / F.col("_g.longest")).otherwise(F.lit(0.0))
     return x.withColumns({"edits": F.col("_g.edits"), "longest": F.col("_g.longest"), "gap": gap}).drop("_g")
 
 
-def agreement(texts: DataFrame, systems: list[str]) -> DataFrame:
+def agreement(texts: DataFrame, systems: list[str], plain: bool = False) -> DataFrame:
     """system_a, system_b, gap: edits over words of each two of a few systems. texts: unit, system, text — a pair of
     systems meets on the unit (a span, a recording)."""
     x = texts.where(F.col("system").isin(*systems))
     a = x.select("unit", F.col("system").alias("system_a"), F.col("text").alias("text_a"))
     b = x.select("unit", F.col("system").alias("system_b"), F.col("text").alias("text_b"))
-    pairs = word_gap(a.join(b, "unit").where(F.col("system_a") < F.col("system_b")))
+    pairs = word_gap(a.join(b, "unit").where(F.col("system_a") < F.col("system_b")), plain=plain)
     return pairs.groupBy("system_a", "system_b").agg(F.sum("edits").alias("edits"), F.sum("longest").alias("words")).withColumn("gap", F.when(F.col("words") > 0, F.col("edits") / F.col("words")).otherwise(0.0))
 
 

@@ -378,12 +378,11 @@ def j6_pending(spark: SparkSession, folder: str) -> DataFrame:
     return retry.pending(retry.diagnosed(attempts(spark, folder)), 0)
 
 
-@query("o2_batches", f"""
-WITH {PIECES} SELECT count(*) AS pieces, sum(end_s - start_s >= 0)::BIGINT AS ordered FROM p
-""")
+@query("o2_batches")
 def o2_batches(spark: SparkSession, folder: str) -> DataFrame:
-    b = retry.batches(pieces_once(spark, folder).withColumn("span_id", F.col("piece_id")))
-    return b.groupBy("batch").agg(F.count("*").alias("n")).agg(F.sum("n").alias("pieces"), F.sum(F.when(F.col("n") <= 16, F.col("n"))).alias("ordered"))
+    """The batch of each piece: within parts of the ids, longest first, sixteen by sixteen."""
+    p = pieces_once(spark, folder).withColumn("span_id", F.col("piece_id"))
+    return retry.batches(p, part=F.abs("piece_id") % 64).select("piece_id", "batch")
 
 
 # --- text ---------------------------------------------------------------------------------------------------------
@@ -524,11 +523,19 @@ def k3_json(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("seg_id", sinks.json_row("start", "end", "speaker", "text", "flags").alias("json"))
 
 
-@query("k4_files", f"WITH {SEGMENTS} SELECT recording, count(*) AS n_segments, 3 AS files FROM s GROUP BY recording")
+@query("k4_files")
 def k4_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of all formats, written to the shared folder, and how many segments each recording's files hold."""
+    """Text and subtitle files of all recordings, written to the shared folder, and what they hold when they are read again."""
     done = written(sinks.write_files(full_segments(spark, folder), scratch(spark, "transcripts"), ["txt", "srt", "json"]), "files")
-    return done.groupBy("recording").agg(F.max("n_segments").alias("n_segments"), F.count("*").cast("int").alias("files"))
+    return sinks.read_files(done).where("format <> 'json'").select("recording", "format", "content")
+
+
+@query("k3_files", f"WITH {SEGMENTS} SELECT recording, count(*) AS n_segments, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(speaker) AS BIGINT) AS speakers FROM s GROUP BY recording")
+def k3_files(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON files of all recordings, read again."""
+    done = written(sinks.write_files(full_segments(spark, folder), scratch(spark, "transcripts"), ["json"]), "files")
+    rows = sinks.read_files(done).select("recording", F.explode(F.from_json("content", "array<struct<start: double, end: double, speaker: int, text: string, flags: array<string>>>")).alias("r"))
+    return rows.groupBy("recording").agg(F.count("*").alias("n_segments"), F.sum(F.length("r.text")).alias("n_chars"), F.sum("r.speaker").alias("speakers"))
 
 
 @query("a11_trimmed", """
@@ -661,6 +668,19 @@ def e2_agreement(spark: SparkSession, folder: str) -> DataFrame:
     return got.withColumn("gap", F.round("gap", 6))
 
 
+@query("e1_word_distance")
+def e1_word_distance(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by words as they are."""
+    a = attempts(spark, folder).where("rung = 0").select("recording", "span_id", F.col("text").alias("text_a"), loops.collapse_udf("text").alias("text_b"))
+    return metrics.word_gap(a, plain=True).select("recording", "span_id", "edits", "longest", F.round("gap", 6).alias("gap"))
+
+
+@query("e2_agreement_words")
+def e2_agreement_words(spark: SparkSession, folder: str) -> DataFrame:
+    x = attempts(spark, folder).select(F.concat_ws("/", "recording", F.col("span_id").cast("string")).alias("unit"), F.concat(F.lit("rung"), F.col("rung").cast("string")).alias("system"), "text")
+    return metrics.agreement(x, ["rung0", "rung1", "rung2"], plain=True).withColumn("gap", F.round("gap", 6))
+
+
 @query("e3_kept_style")
 def e3_kept_style(spark: SparkSession, folder: str) -> DataFrame:
     s = segments_once(spark, folder)

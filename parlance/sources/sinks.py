@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Callable
 from urllib.parse import quote
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clock, clock_udf, srt_clock
+from ..operators.intervals import numbered
 
 
 def text_line(start: Column, end: Column, speaker: Column, text: Column, flags: Column) -> Column:
@@ -34,19 +36,20 @@ def _srt_clock(t: float) -> str:
     return f"{ms // 3600000:02d}:{ms // 60000 % 60:02d}:{ms // 1000 % 60:02d},{ms % 1000:03d}"
 
 
-def to_txt(rows: list[dict]) -> str:
+def to_txt(rows: list[dict], first: int = 0) -> str:
     return "".join(f"[{clock(r['start'])} - {clock(r['end'])}] SPEAKER_{r['speaker']}{' ⚠' if 'loop_trimmed' in r['flags'] else ''}: {r['text']}\n" for r in rows) or "\n"
 
 
-def to_srt(rows: list[dict]) -> str:
-    return "\n".join(f"{i}\n{_srt_clock(r['start'])} --> {_srt_clock(r['end'])}\n[SPEAKER_{r['speaker']}] {r['text']}\n" for i, r in enumerate(rows, 1))
+def to_srt(rows: list[dict], first: int = 0) -> str:
+    return "\n".join(f"{i}\n{_srt_clock(r['start'])} --> {_srt_clock(r['end'])}\n[SPEAKER_{r['speaker']}] {r['text']}\n" for i, r in enumerate(rows, first + 1))
 
 
-def to_json(rows: list[dict]) -> str:
+def to_json(rows: list[dict], first: int = 0) -> str:
     return json.dumps(rows, ensure_ascii=False, indent=2)
 
 
-WRITERS: dict[str, Callable[[list[dict]], str]] = {"txt": to_txt, "srt": to_srt, "json": to_json}
+#: The text of a file from its rows and the number of segments before them.
+WRITERS: dict[str, Callable[[list[dict], int], str]] = {"txt": to_txt, "srt": to_srt, "json": to_json}
 
 
 def check_formats(formats: list[str]) -> list[str]:
@@ -56,34 +59,60 @@ def check_formats(formats: list[str]) -> list[str]:
     return formats
 
 
-def write_files(segments: DataFrame, folder: str, formats: list[str]) -> DataFrame:
-    """A file a recording and format in ``folder`` (a path that all executors share); recording, path, n_segments.
+#: Segments of one file; a longer recording goes on in further files.
+FILE_SEGMENTS = 50_000
 
-    segments: recording, start_s, end_s, speaker, text, flags. Files are named by recording, so that two recordings
-    never share one; a task retried writes the same file again.
+_WRITTEN = "recording string, format string, part int, path string, n_segments bigint"
+
+
+def write_files(segments: DataFrame, folder: str, formats: list[str], most: int = FILE_SEGMENTS) -> DataFrame:
+    """A file a recording and format in ``folder``, a path or address of any file system that Arrow reaches from the
+    executors; recording, format, part, path, n_segments.
+
+    segments: recording, start_s, end_s, speaker, text, flags, and seg_id or none. Files are named by recording, so that
+    two recordings never share one; a task retried writes the same file again. No task holds more than ``most`` segments
+    of a recording: the files after the first have their number before the ending, and subtitles are counted on.
     """
     check_formats(formats)
-    folder = folder.removeprefix("file://")
+    ident = "seg_id" if "seg_id" in segments.columns else "text"
+    kept = segments.where(F.col("start_s").isNotNull() & F.col("end_s").isNotNull() & F.col("speaker").isNotNull() & F.col("text").isNotNull())
+    kept = numbered(kept.select("recording", "start_s", "end_s", "speaker", "text", "flags", *([ident] if ident != "text" else [])), ["recording"], ["start_s", "end_s", ident], "ix")
 
-    def write(g: pd.DataFrame) -> pd.DataFrame:
-        os.makedirs(folder, exist_ok=True)
-        g = g.sort_values(["start_s", "end_s"], kind="stable")
+    def write(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
+        system.create_dir(root, recursive=True)
+        g = g.sort_values("ix")
+        first, part = int(g["ix"].iloc[0]), int(key[1])
         rows = [
             {"start": float(a), "end": float(b), "speaker": int(s), "text": t, "flags": [] if f is None else list(f)}
             for a, b, s, t, f in zip(g["start_s"], g["end_s"], g["speaker"], g["text"], g["flags"])
         ]
         out = []
         for f in formats:
-            path = os.path.join(folder, f"{quote(str(g['recording'].iloc[0]), safe='')}.{f}")
-            part = f"{path}.{os.getpid()}.part"
-            with open(part, "w", encoding="utf-8") as file:
-                file.write(WRITERS[f](rows))
-            os.replace(part, path)
-            out.append((g["recording"].iloc[0], path, len(rows)))
-        return pd.DataFrame(out, columns=["recording", "path", "n_segments"])
-
-    kept = segments.where(F.col("start_s").isNotNull() & F.col("end_s").isNotNull() & F.col("speaker").isNotNull() & F.col("text").isNotNull())
-    return kept.select("recording", "start_s", "end_s", "speaker", "text", "flags").groupBy("recording").applyInPandas(write, "recording string, path string, n_segments bigint")
+            name = quote(str(key[0]), safe="") + (f".{part}" if part else "") + f".{f}"
+            made = f"{root}/{name}.{uuid.uuid4().hex}.part"
+            with system.open_output_stream(made) as file:
+                file.write(WRITERS[f](rows, first).encode("utf-8", "surrogatepass"))
+            system.move(made, f"{root}/{name}")
+            out.append((key[0], f, part, f"{folder}/{name}", len(rows)))
+        return pd.DataFrame(out, columns=["recording", "format", "part", "path", "n_segments"])
+
+    parts = kept.withColumn("_part", F.floor(F.col("ix") / most).cast("int"))
+    return parts.groupBy("recording", "_part").applyInPandas(write, _WRITTEN)
+
+
+def read_files(done: DataFrame) -> DataFrame:
+    """recording, format, content of the files that ``write_files`` tells of, parts put together."""
+    first = done.select("path").first()
+    if first is None:
+        return done.select("recording", "format", F.lit("").alias("content"))
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    files = done.sparkSession.read.format("binaryFile").load(first["path"].rsplit("/", 1)[0]).select(name(F.url_decode("path")).alias("_name"), F.decode("content", "UTF-8").alias("content"))
+    x = done.withColumn("_name", name(F.url_decode("path"))).join(files, "_name")
+    parts = F.sort_array(F.collect_list(F.struct("part", "content")))
+    return x.groupBy("recording", "format").agg(F.array_join(F.transform(parts, lambda p: p["content"]), "").alias("content"))
 
 
 def write_table(segments: DataFrame, path: str, fmt: str = "json") -> None:

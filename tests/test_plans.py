@@ -83,6 +83,12 @@ def test_sinks(spark, tmp_path):
     assert json.loads((tmp_path / "c.json").read_text())[0]["text"] == "é"
     with pytest.raises(ValueError):
         sinks.check_formats(["doc"])
+    many = spark.createDataFrame([("long", i, float(i), i + 0.5, 0, f"t{i}", []) for i in range(10)], SEG)
+    parts = sinks.write_files(many, f"file://{tmp_path}/parts", ["srt", "txt"], most=4).cache()
+    assert sorted((r.format, r.part, r.n_segments) for r in parts.collect()) == [(f, k, n) for f in ("srt", "txt") for k, n in ((0, 4), (1, 4), (2, 2))]
+    assert (tmp_path / "parts" / "long.1.srt").read_text().startswith("5\n00:00:04,000")
+    whole = {r.format: r.content for r in sinks.read_files(parts).collect()}
+    assert whole["txt"].splitlines() == [f"[{sinks.clock(i)} - {sinks.clock(i + 0.5)}] SPEAKER_0: t{i}" for i in range(10)]
     sinks.write_table(s.where("start_s IS NOT NULL"), str(tmp_path / "t"), "parquet")
     assert spark.read.parquet(str(tmp_path / "t")).count() == 3
 
