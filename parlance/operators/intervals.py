@@ -6,7 +6,7 @@ and works on recordings of any size: running state goes from bucket to bucket of
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,22 +26,15 @@ def by_time(df: DataFrame, column: str = "start_s") -> DataFrame:
     return df.withColumn(BUCKET, F.coalesce(t, F.lit(-(2**62)).cast("bigint")))
 
 
-def before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, how: str = "last") -> DataFrame:
-    """Add the running ``max`` or the ``last`` not-null ``value`` of the rows before each row of its entity."""
-    w = local(keys, *order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_v", value)
-    if how == "max":
-        df = carry(df.withColumn("_l", F.max("_v").over(w)), keys, {"_c": (F.max("_v"), "max")}, cut=True)
-        return df.withColumn(name, F.greatest("_l", "_c")).drop("_v", "_l", "_c")
-    df = df.withColumn("_l", F.last("_v", ignorenulls=True).over(w))
-    df = carry(df, keys, {"_c": (F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))), "last")}, cut=True)
-    return df.withColumn(name, F.coalesce("_l", "_c")).drop("_v", "_l", "_c")
-
-
-def upto(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
-    """Add the last not-null ``value`` of the rows up to and with each row."""
-    df = before(df.withColumn("_own", value), keys, order, F.col("_own"), name)
-    return df.withColumn(name, F.coalesce("_own", name)).drop("_own")
+def cut_at(df: DataFrame, keys: Sequence[str], order: Sequence[str], fresh: Column, aggs: dict[str, Column]) -> DataFrame:
+    """keys, _first and ``aggs`` of the rows from each fresh row up to the next, in parts: one for each bucket that they
+    reach into. _first is the fresh row's order; a part before the first fresh row of its bucket takes that of the
+    buckets before. Only the parts are written, which are as few as what comes out."""
+    x = df.withColumn("_seg", F.sum(fresh.cast("int")).over(local(keys, *order).rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.when(F.col("_seg") > 0, F.min(F.struct(*order)))
+    parts = x.groupBy(*keys, BUCKET, "_seg").agg(at.alias("_at"), *[c.alias(n) for n, c in aggs.items()])
+    parts = carry(parts, keys, {"_c": (F.max("_at"), "last")}, cut=True)
+    return parts.withColumn("_first", F.coalesce("_at", "_c")).drop("_at", "_c", "_seg", BUCKET)
 
 
 def valid(turns: DataFrame) -> DataFrame:
@@ -69,15 +62,26 @@ def merge_turns(turns: DataFrame, max_gap: float = 0.6) -> DataFrame:
     Defined cases: turns without start, end or speaker and empty or reversed ones are left out; ties go by end, then
     ord; a null recording is a recording.
     """
-    order = ["start_s", "end_s", "ord"]
+    order, key = ["start_s", "end_s", "ord"], ["recording"]
     x = by_time(valid(turns).select("recording", "ord", "start_s", "end_s", "speaker"))
-    x = before(x, ["recording"], order, F.struct("speaker"), "_p")
-    change = F.col("_p").isNull() | (F.col("_p.speaker") != F.col("speaker"))
-    x = upto(x, ["recording"], order, F.when(change, F.struct(*order)), "_run")
-    x = before(x, ["recording", "_run"], order, F.col("end_s"), "_reach", "max")
-    fresh = F.col("_reach").isNull() | (F.col("start_s") - F.col("_reach") > max_gap)
-    x = upto(x, ["recording", "_run"], order, F.when(fresh, F.struct(*order)), "_first")
-    return x.groupBy("recording", "speaker", "_first").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).select("recording", "speaker", "start_s", "end_s", F.col("_first.ord").alias("ord"))
+    w = local(key, *order)
+    x = x.withColumn("_change", F.coalesce((F.lag("speaker").over(w) != F.col("speaker")).cast("int"), F.lit(1)))
+    x = x.withColumn("_run", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("_here", F.max("end_s").over(local([*key, "_run"], *order).rowsBetween(Window.unboundedPreceding, -1)))
+    # Of each bucket: the first and last speaker, whether it is one run, and how far its last run reaches.
+    at = F.struct(*order)
+    s = x.groupBy(*key, BUCKET).agg(F.min_by("speaker", at).alias("_from"), F.max_by("speaker", at).alias("_to"), F.max(F.struct("_run", "end_s")).alias("_last"))
+    w = Window.partitionBy(*key).orderBy(BUCKET)  # a row a bucket
+    s = s.withColumn("_breaks", F.coalesce(((F.col("_last._run") > 1) | (F.lag("_to").over(w) != F.col("_from"))).cast("int"), F.lit(1)))
+    s = s.withColumn("_group", F.sum("_breaks").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.withColumn("_far", F.max("_last.end_s").over(Window.partitionBy(*key, "_group").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.select(F.col("recording").alias("_r"), F.col(BUCKET).alias("_b"), F.lag("_to").over(w).alias("_before"), F.lag("_far").over(w).alias("_reached"))
+    x = x.join(s, F.col("recording").eqNullSafe(F.col("_r")) & (F.col(BUCKET) == F.col("_b"))).drop("_r", "_b")
+    goes_on = (F.col("_run") == 1) & (F.col("speaker") == F.col("_before"))
+    reach = F.when(goes_on, F.greatest("_here", "_reached")).otherwise(F.col("_here"))
+    x = x.withColumn("_fresh", reach.isNull() | (F.col("start_s") - reach > max_gap))
+    parts = cut_at(x, key, order, F.col("_fresh"), {"speaker": F.first("speaker"), "start_s": F.min("start_s"), "end_s": F.max("end_s")})
+    return parts.groupBy("recording", "speaker", "_first").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).select("recording", "speaker", "start_s", "end_s", F.col("_first.ord").alias("ord"))
 
 
 def without_micro_turns(merged: DataFrame, least_s: float = 0.15) -> DataFrame:
@@ -90,28 +94,40 @@ def build_windows(turns: DataFrame, max_len: float = 30.0, max_gap: float = 1.5)
     than ``max_gap`` closes one; a longer turn is a window of its own.
 
     A pause after everything said so far closes the window whatever came before, so the stretches between such pauses
-    are packed by themselves, each by a fold over its turns in the JVM.
+    are packed by themselves: their turns pass by in order, and only the open window is held.
     """
-    order = ["start_s", "ord"]
+    order, key = ["start_s", "ord"], ["recording"]
     x = by_time(turns.where(F.col("start_s").isNotNull() & F.col("end_s").isNotNull()).select("recording", "ord", "start_s", "end_s"))
-    x = before(x, ["recording"], order, F.col("end_s"), "_reach", "max")
-    fresh = F.col("_reach").isNull() | (F.col("start_s") - F.col("_reach") > max_gap)
-    x = upto(x, ["recording"], order, F.when(fresh, F.struct(*order)), "_first")
-    rows = F.sort_array(F.collect_list(F.struct("start_s", "ord", "end_s")))
-    x = x.groupBy("recording", "_first").agg(rows.alias("_rows"))
-
-    kind = "struct<done: array<struct<start_s: double, end_s: double>>, a: double, b: double>"
-    start = F.struct(F.array().cast("array<struct<start_s: double, end_s: double>>").alias("done"), F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b")).cast(kind)
-
-    def step(acc: Column, t: Column) -> Column:
-        shut = (t["start_s"] - acc["b"] > max_gap) | (F.greatest(acc["b"], t["end_s"]) - acc["a"] > max_len)
-        done = F.when(acc["a"].isNotNull() & shut, F.array_append(acc["done"], F.struct(acc["a"].alias("start_s"), acc["b"].alias("end_s")))).otherwise(acc["done"])
-        new = acc["a"].isNull() | shut
-        return F.struct(done.alias("done"), F.when(new, t["start_s"]).otherwise(acc["a"]).alias("a"), F.when(new, t["end_s"]).otherwise(F.greatest(acc["b"], t["end_s"])).alias("b")).cast(kind)
-
-    packed = F.aggregate("_rows", start, step, lambda acc: F.array_append(acc["done"], F.struct(acc["a"].alias("start_s"), acc["b"].alias("end_s"))))
-    x = x.select("recording", F.col("_first.start_s").alias("_at"), F.posexplode(packed).alias("_i", "w")).select("recording", "w.start_s", "w.end_s")
-    return numbered(x, ["recording"], ["start_s", "end_s"], "window_ix")
+    x = x.withColumn("_here", F.max("end_s").over(local(key, *order).rowsBetween(Window.unboundedPreceding, -1)))
+    x = carry(x, key, {"_c": (F.max("end_s"), "max")})
+    reach = F.greatest("_here", "_c")
+    x = x.withColumn("_own", F.when(reach.isNull() | (F.col("start_s") - reach > max_gap), F.struct(*order)))
+    x = x.withColumn("_l", F.last("_own", ignorenulls=True).over(local(key, *order).rowsBetween(Window.unboundedPreceding, 0))).drop("_here", "_c")
+    x = carry(x, key, {"_c": (F.max("_own"), "last")}, cut=True)
+    first = F.coalesce("_l", "_c")
+    x = x.select("recording", first["start_s"].alias("_at"), first["ord"].alias("_by"), "start_s", "ord", "end_s")
+    x = x.repartition("recording", "_at", "_by").sortWithinPartitions("recording", "_at", "_by", *order)
+    return numbered(x.mapInPandas(_packed(max_len, max_gap), "recording string, start_s double, end_s double"), key, ["start_s", "end_s"], "window_ix")
+
+
+def _packed(max_len: float, max_gap: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, a, b = None, 0.0, 0.0
+        for batch in batches:
+            out = []
+            for rec, at, by, start, end in zip(batch["recording"], batch["_at"], batch["_by"], batch["start_s"], batch["end_s"]):
+                key = (rec, at, by)
+                if key != now or start - b > max_gap or max(b, end) - a > max_len:
+                    if now is not None:
+                        out.append((now[0], a, b))
+                    now, a, b = key, start, end
+                else:
+                    b = max(b, end)
+            yield pd.DataFrame(out, columns=["recording", "start_s", "end_s"])
+        if now is not None:
+            yield pd.DataFrame([(now[0], a, b)], columns=["recording", "start_s", "end_s"])
+
+    return run
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
@@ -199,13 +215,39 @@ def bisected(spans: DataFrame, cut: Column, depth: int = 0, max_depth: int = 2,
 
 # --- who speaks ---------------------------------------------------------------------------------------------------
 
-#: Milliseconds of a bucket of the overlap join; a time beyond the limit is no time within a recording.
-JOIN_MS, LIMIT_MS = 30_000, 2**31
+#: Milliseconds of a bucket of the overlap join, and buckets of an interval; longer ones meet in wider buckets.
+JOIN_MS, MOST_BUCKETS = 30_000, 2880
+_LEVELS = [JOIN_MS * MOST_BUCKETS**k for k in range(5)]
+
+
+def _level(lo: str, hi: str) -> Column:
+    """The first level at whose width an interval reaches into no more than MOST_BUCKETS buckets."""
+    out = F.lit(len(_LEVELS) - 1)
+    for k in range(len(_LEVELS) - 2, -1, -1):
+        out = F.when(F.col(hi) - F.col(lo) < _LEVELS[k] * (MOST_BUCKETS - 1), k).otherwise(out)
+    return out
+
+
+def _overlaps(w: DataFrame, t: DataFrame) -> DataFrame:
+    """Pairs of words (s to e) and turns (a to b) that overlap, each once: where both are short, in the bucket in which
+    they begin to; else at the level of the longer of the two."""
+    w, t = w.withColumn("_lw", _level("s", "e")), t.withColumn("_lt", _level("a", "b"))
+    most = max(w.agg(F.max("_lw")).first()[0] or 0, t.agg(F.max("_lt")).first()[0] or 0)
+    out = None
+    for k in range(most + 1):
+        width = _LEVELS[k]
+        cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.greatest(lo, hi) / width)))  # noqa: B023, E731
+        sides = [("_lt <= 0", "_lw <= 0")] if not k else [(f"_lt = {k}", f"_lw <= {k}"), (f"_lt < {k}", f"_lw = {k}")]
+        for turns, words in sides:
+            met = w.where(words).withColumn("k", cells("s", "e")).join(t.where(turns).withColumn("k", cells("a", "b")), ["recording", "k"])
+            met = met.where((F.col("s") < F.col("b")) & (F.col("a") < F.col("e")) & (F.floor(F.greatest("s", "a") / width) == F.col("k")))
+            out = met if out is None else out.unionByName(met)
+    return out
 
 
 def speaker_at(words: DataFrame, turns: DataFrame) -> DataFrame:
     """word_id, speaker, overlap_ms, distance_ms: who speaks most during each timed word; the nearest turn's speaker
-    where nobody does. In whole milliseconds (times beyond 2^31 are left out); on ties the turn that comes first (start, end, ord).
+    where nobody does. In whole milliseconds; on ties the turn that comes first (start, end, ord).
 
     Words and turns meet by buckets of time, a pair in the bucket in which it begins to overlap. Words without overlap
     take the nearer of the furthest end before them and the next start, which scans over the time line carry.
@@ -213,12 +255,8 @@ def speaker_at(words: DataFrame, turns: DataFrame) -> DataFrame:
     order = ["a", "b", "ord"]
     t = valid(turns).select("recording", "ord", "speaker", millis("start_s").alias("a"), millis("end_s").alias("b")).distinct()
     w = words.where(F.col("start_s").isNotNull() & F.col("end_s").isNotNull()).select("recording", "word_id", millis("start_s").alias("s"), millis("end_s").alias("e")).distinct()
-    near = lambda x: F.abs(F.col(x)) < LIMIT_MS
-    t, w = t.where(near("a") & near("b")), w.where(near("s") & near("e"))
-    spread = lambda lo, hi: F.explode(F.sequence(F.floor(lo / JOIN_MS), F.floor(F.greatest(lo, hi) / JOIN_MS)))
-    tb = t.withColumn("k", spread(F.col("a"), F.col("b")))
-    wb = w.withColumn("k", spread(F.col("s"), F.col("e")))
-    met = wb.join(tb, ["recording", "k"]).where((F.col("s") < F.col("b")) & (F.col("a") < F.col("e")) & (F.floor(F.greatest("s", "a") / JOIN_MS) == F.col("k")))
+    t, w = t.where("a IS NOT NULL AND b IS NOT NULL"), w.where("s IS NOT NULL AND e IS NOT NULL")  # NaN and infinity are no times
+    met = _overlaps(w, t)
     each = met.groupBy("recording", "word_id", "speaker").agg(F.sum(F.least("e", "b") - F.greatest("s", "a")).alias("o"), F.min(F.struct(*order)).alias("f"))
     best = each.groupBy("recording", "word_id").agg(F.min(F.struct((-F.col("o")).alias("o"), "f", "speaker")).alias("m"))
     over = best.select("word_id", F.col("m.speaker").alias("speaker"), (-F.col("m.o")).alias("overlap_ms"), F.lit(0.0).alias("distance_ms"))
@@ -228,9 +266,15 @@ def speaker_at(words: DataFrame, turns: DataFrame) -> DataFrame:
     line = line.unionByName(lone.select("recording", F.col("m2").alias("x"), F.lit(1).alias("side"), F.lit(0).cast("bigint").alias("ord"), "word_id", F.lit(None).cast("struct<b: bigint, na: bigint, nb: bigint, no: bigint, speaker: int>").alias("t")))
     width = int(BUCKET_S * 2000)
     line = line.withColumn(BUCKET, F.floor(F.col("x") / width))
-    line = before(line, ["recording"], ["x", "side", "ord", "word_id"], F.col("t"), "_left", "max")
-    line = line.withColumns({BUCKET: -F.col(BUCKET), "_x": -F.col("x"), "_side": -F.col("side")})
-    line = before(line, ["recording"], ["_x", "_side", "ord", "word_id"], F.when(F.col("t").isNotNull(), F.col("x")), "_next")
+    # The furthest end before a word and the next start after it, both carried by one scan.
+    keys, order2 = ["recording"], ["x", "side", "ord", "word_id"]
+    starts = F.when(F.col("t").isNotNull(), F.col("x"))
+    line = line.withColumns({
+        "_l": F.max("t").over(local(keys, *order2).rowsBetween(Window.unboundedPreceding, -1)),
+        "_n": F.first(starts, ignorenulls=True).over(local(keys, *order2).rowsBetween(1, Window.unboundedFollowing)),
+    })
+    line = carry(line, keys, {"_cl": (F.max("t"), "max"), "_cn": (F.min(starts), "next")}, cut=True)
+    line = line.withColumns({"_left": F.greatest("_l", "_cl"), "_next": F.coalesce("_n", "_cn")})
     lone = line.where("side = 1").select("recording", "word_id", "x", "_left", "_next")
     first = t.groupBy("recording", (F.col("a") * 2).alias("_next")).agg(F.min(F.struct(*order, "speaker")).alias("r"))
     lone = lone.join(first, ["recording", "_next"], "left")
@@ -257,13 +301,18 @@ def group_words(words: DataFrame, max_pause: float = 1.0) -> DataFrame:
 
     words: recording, word_id, start_s, end_s, text, speaker, flags. Untimed words are left out.
     """
-    order = ["start_s", "word_id"]
+    order, key = ["start_s", "word_id"], ["recording"]
     x = by_time(words.where(F.col("start_s").isNotNull() & F.col("end_s").isNotNull()))
-    x = before(x, ["recording"], order, F.struct("speaker", "end_s"), "_p")
-    fresh = F.col("_p").isNull() | ~F.col("_p.speaker").eqNullSafe(F.col("speaker")) | (F.col("start_s") - F.col("_p.end_s") > max_pause)
-    x = upto(x, ["recording"], order, F.when(fresh, F.struct(*order)), "_first")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "text"))), lambda r: r["text"]), " ")
-    flags = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("flags", F.array().cast("array<string>"))))))
-    return x.groupBy("recording", "speaker", "_first").agg(
-        F.min("start_s").alias("start_s"), F.max_by("end_s", F.struct(*order)).alias("end_s"), text.alias("text"), flags.alias("flags"), F.count("*").alias("n_words")
+    x = x.withColumn("_l", F.lag(F.struct("speaker", "end_s")).over(local(key, *order)))
+    x = carry(x, key, {"_c": (F.max_by(F.struct("speaker", "end_s"), F.struct(*order)), "last")})
+    p = F.coalesce("_l", "_c")
+    x = x.withColumn("_fresh", p.isNull() | ~p["speaker"].eqNullSafe(F.col("speaker")) | (F.col("start_s") - p["end_s"] > max_pause))
+    none = F.array().cast("array<string>")
+    parts = cut_at(x, key, order, F.col("_fresh"), {
+        "speaker": F.first("speaker"), "start_s": F.min("start_s"), "last": F.max(F.struct(*order, "end_s")), "said": F.collect_list(F.struct(*order, "text")),
+        "flags": F.array_distinct(F.flatten(F.collect_list(F.coalesce("flags", none)))), "n": F.count("*"),
+    })
+    text = F.array_join(F.transform(F.sort_array(F.flatten(F.collect_list("said"))), lambda r: r["text"]), " ")
+    return parts.groupBy("recording", "speaker", "_first").agg(
+        F.min("start_s").alias("start_s"), F.max("last")["end_s"].alias("end_s"), text.alias("text"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("flags")))).alias("flags"), F.sum("n").alias("n_words")
     ).select("recording", "speaker", "start_s", "end_s", "text", "flags", F.col("_first.word_id").alias("first_word"), "n_words")

@@ -31,7 +31,8 @@ def local(keys: Sequence[str], *order: Column | str):
 def carry(df: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[Column, str]], cut: bool = False) -> DataFrame:
     """Add, for each ``name: (aggregate of a bucket, how)``, its value over all earlier buckets of the entity.
 
-    how: 'max', 'sum' or 'last' (the last that is not null). ``df`` has a bucket column; null keys are a group.
+    how: 'max', 'sum' or 'last' (the last that is not null), or 'next' (the first that is not null, over all later
+    buckets). ``df`` has a bucket column; null keys are a group.
     ``df`` is read twice: where it is the work of further scans, ``cut`` writes it once, so that plans don't double.
     """
     if cut:
@@ -42,6 +43,7 @@ def carry(df: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[Column, str]
         "max": lambda c: F.max(c).over(w),
         "sum": lambda c: F.coalesce(F.sum(c).over(w), F.lit(0)),
         "last": lambda c: F.last(c, ignorenulls=True).over(w),
+        "next": lambda c: F.first(c, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(1, Window.unboundedFollowing)),
     }
     summary = summary.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, BUCKET])], *[over[how](F.col(n)).alias(n) for n, (_, how) in aggs.items()])
     on = None

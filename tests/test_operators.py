@@ -196,3 +196,14 @@ def test_padding_halves_and_budget(spark):
     assert intervals.chunk_limit(30.0, 30.0) == 29.7
     b = spark.createDataFrame([([1, 2] * 40, None), ([1, 9] * 40, None), ([1] * 80, "x")], "t array<int>, r string")
     assert [x[0] for x in b.select(retry.hit_budget(F.col("t"), F.lit(84), [9], F.col("r"))).collect()] == [True, False, False]
+
+
+def test_speakers_at_any_time(spark):
+    """Times beyond 25 days, and turns and words of days and years."""
+    day = 86_400.0
+    turns = [("r", 1, 30 * day, 30 * day + 5, 1), ("r", 2, 0.0, 400 * day, 2), ("r", 3, 31 * day, 31 * day + 5, 3), ("s", 4, 1e9, 1e9 + 9, 4), ("z", 5, 0.0, 1.0, 5)]
+    words = [("r", 1, 30 * day + 1, 30 * day + 2), ("r", 2, 500 * day, 500 * day + 1), ("r", 3, 30 * day, 40 * day), ("s", 4, 1e9 + 10, 1e9 + 11), ("s", 5, 0.0, 2e9), ("z", 6, 1e9, 1e9 + 1)]
+    t = spark.createDataFrame(turns, "recording string, ord bigint, start_s double, end_s double, speaker int")
+    w = spark.createDataFrame(words, "recording string, word_id bigint, start_s double, end_s double")
+    got = {r.word_id: (r.speaker, r.overlap_ms) for r in intervals.speaker_at(w, t).collect()}
+    assert got == {1: (1, 1000), 2: (2, 0), 3: (2, 864_000_000), 4: (4, 0), 5: (4, 9000), 6: (5, 0)}
