@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +23,7 @@ def arrow(ddl: str) -> Callable:
 
         call.__name__ = fn.__name__
         call.__doc__ = fn.__doc__
+        call.batch, call.ddl = fn, ddl
         return call
 
     return wrap
@@ -39,7 +41,24 @@ def by_row(ddl: str, columns: list[str] | None = None) -> Callable:
 
         out = arrow(ddl)(batch)
         out.__name__, out.__doc__ = fn.__name__, fn.__doc__
+        batch.__annotations__ = {}
         out.plain = fn
         return out
 
     return wrap
+
+
+def register(spark: SparkSession) -> list[str]:
+    """Make the functions of texts callable from SQL; their names."""
+    from . import loops, text
+
+    named = {
+        "normalize_words": loops.normalize_words_udf, "periodic_suffix": loops.periodic_suffix_udf, "repeated_run": loops.repeated_run_udf, "compression_ratio": loops.compression_ratio_udf,
+        "diagnose_text": loops.diagnose_udf, "collapse_loops": loops.collapse_udf, "clean_text": text.clean_udf, "latin_ratio": text.latin_ratio_udf, "clock_time": text.clock_udf,
+        "read_style": text.read_style_udf, "french_numbers": text.french_numbers_udf, "french_typography": text.french_typography_udf, "json_text": text.json_text_udf,
+    }
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        for name, fn in named.items():
+            spark.udf.register(name, F.pandas_udf(fn.batch, fn.ddl, F.PandasUDFType.SCALAR))
+    return sorted(named)

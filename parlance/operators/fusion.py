@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.arrow import by_row
 from ..functions.text import french_numbers
 from ..session import spread
+from ..sources.models import HypothesisLimits
 from .alignment import path_score, tokens_of
 
 MARGIN, BONUS = 10.0, 6.0
@@ -88,3 +90,34 @@ def fused(pairs: DataFrame, vocab: dict[str, int], separator: int | None, blank:
     easy = x.where(same).select(*keep, F.coalesce("text_a", F.lit("")).alias("text"), F.lit(1).alias("windows"), count.alias("words"), *[F.lit(0).alias(n) for n in names[2:]])
     hard = spread(x.where(~same), "recording", "span_id").withColumn("_f", udf("text_a", "text_b", "logp")).select(*keep, "_f.text", *[F.col(f"_f.{n}") for n in names])
     return easy.unionByName(hard).where(F.col("text") != "")
+
+
+def fused_limits(first: HypothesisLimits, second: HypothesisLimits, aligner_rate: int | None = None) -> HypothesisLimits:
+    """What two recognisers take together: the shorter input. An error where they, or the aligner, want different rates."""
+    rates = {first.sample_rate, second.sample_rate, aligner_rate or first.sample_rate}
+    if len(rates) > 1:
+        raise ValueError(f"fusion needs one sample rate, got {', '.join(map(str, sorted(rates)))}")
+    return replace(first, longest_s=min(first.longest_s, second.longest_s))
+
+
+def pairs_of(first: DataFrame, second: DataFrame, emissions: DataFrame | None = None) -> DataFrame:
+    """recording, span_id, text_a, text_b, flags_a, flags_b, logp: spans of two recognisers' pieces, side by side.
+
+    pieces: recording, span_id, piece_ix, text, flags. emissions: recording, span_id, frame, logp.
+    """
+
+    def whole(pieces: DataFrame, side: str) -> DataFrame:
+        said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_ix", "text"))), lambda r: r["text"]), " ")
+        flags = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("flags", F.array().cast("array<string>"))))))
+        return pieces.groupBy("recording", "span_id").agg(said.alias(f"text_{side}"), flags.alias(f"flags_{side}"))
+
+    x = whole(first, "a").join(whole(second, "b"), ["recording", "span_id"], "full")
+    if emissions is None:
+        return x.withColumn("logp", F.lit(None).cast("array<array<double>>"))
+    e = emissions.groupBy("recording", "span_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "logp"))), lambda r: r["logp"]).alias("logp"))
+    return x.join(e, ["recording", "span_id"], "left")
+
+
+def summary_line(counts: dict[str, int]) -> str:
+    """One line of what was decided."""
+    return f"fusion: {counts['regions']} regions differ in {counts['windows']} windows, {counts['secondary_chosen']} from the second transcript, {counts['number_variants']} only spelled numbers otherwise"

@@ -168,24 +168,47 @@ def best_cut(samples: np.ndarray, rate: int, start: float, end: float, target: f
     return lo + (int(loud.argmin()) + 0.5) * win
 
 
+def _with_sound(spans: DataFrame, waves: DataFrame) -> DataFrame:
+    """A row a span and block of sound that it reaches into; one without sound for spans that have none."""
+    held = F.col("from_s") + F.size("samples") / F.col("rate")
+    blocks = waves.select(F.col("recording").alias("_r"), "rate", "from_s", "samples", held.alias("_to"))
+    met = spans.join(blocks, (F.col("recording") == F.col("_r")) & (F.col("from_s") < F.col("end_s")) & (F.col("_to") > F.col("start_s")), "left")
+    return met.select("recording", "span_id", "start_s", "end_s", "rate", "from_s", "samples")
+
+
+def _sound(g: pd.DataFrame) -> tuple[float, float, np.ndarray, int, float]:
+    """Start and end of a span, its samples, their rate and where they begin."""
+    a, b = float(g["start_s"].iloc[0]), float(g["end_s"].iloc[0])
+    g = g.dropna(subset=["from_s"]).sort_values("from_s")
+    if not len(g):
+        return a, b, np.zeros(0, dtype=np.float32), 1, a
+    return a, b, np.concatenate([np.asarray(s, dtype=np.float32) for s in g["samples"]]), int(g["rate"].iloc[0]), float(g["from_s"].iloc[0])
+
+
+def with_cuts(spans: DataFrame, waves: DataFrame | None = None) -> DataFrame:
+    """spans (recording, span_id, start_s, end_s) with cut: the quietest place near the middle, or the middle itself
+    without sound."""
+    if waves is None:
+        return spans.withColumn("cut", (F.col("start_s") + F.col("end_s")) / 2)
+
+    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        a, b, x, rate, base = _sound(g)
+        return pd.DataFrame({"_r": [key[0]], "_s": [key[1]], "cut": [best_cut(x, rate, a - base, b - base) + base]})
+
+    cuts = _with_sound(spans, waves).groupBy("recording", "span_id").applyInPandas(one, "_r string, _s bigint, cut double")
+    return spans.join(cuts, (F.col("recording") == F.col("_r")) & (F.col("span_id") == F.col("_s"))).drop("_r", "_s")
+
+
 def split_long(spans: DataFrame, waves: DataFrame, max_len: float = 30.0, search: float = 3.0) -> DataFrame:
     """recording, span_id, part, start_s, end_s: spans longer than ``max_len`` cut at quiet places near it.
 
     waves: recording, rate, from_s, samples — a recording's sound in blocks. Each span meets the blocks that hold it,
     so no task holds a recording; blocks are put together per span.
     """
-    need = spans.where(F.col("end_s") - F.col("start_s") > max_len)
-    held = F.col("from_s") + F.size("samples") / F.col("rate")
-    blocks = waves.select(F.col("recording").alias("_r"), "rate", "from_s", "samples", held.alias("_to"))
-    met = need.join(blocks, (F.col("recording") == F.col("_r")) & (F.col("from_s") < F.col("end_s")) & (F.col("_to") > F.col("start_s")), "left")
-    met = met.select("recording", "span_id", "start_s", "end_s", "rate", "from_s", "samples")
+    met = _with_sound(spans.where(F.col("end_s") - F.col("start_s") > max_len), waves)
 
     def cut(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = float(g["start_s"].iloc[0]), float(g["end_s"].iloc[0])
-        g = g.dropna(subset=["from_s"]).sort_values("from_s")
-        rate = int(g["rate"].iloc[0]) if len(g) else 1
-        base = float(g["from_s"].iloc[0]) if len(g) else a
-        x = np.concatenate([np.asarray(s, dtype=np.float32) for s in g["samples"]]) if len(g) else np.zeros(0, dtype=np.float32)
+        a, b, x, rate, base = _sound(g)
         out = []
         while b - a > max_len:
             at = best_cut(x, rate, a - base, b - base, a - base + max_len - 3.0, search) + base

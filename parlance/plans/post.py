@@ -108,6 +108,11 @@ def summary(post: DataFrame) -> DataFrame:
     )
 
 
+def summary_line(counts: dict[str, int]) -> str:
+    """One line of what was done."""
+    return ", ".join(f"{n} {what}" for what, n in counts.items() if n) or "nothing to do"
+
+
 def glossary_counts(post: DataFrame) -> DataFrame:
     """said -> term with its count."""
     return post.select(F.explode("glossary").alias("hit")).groupBy("hit").count()

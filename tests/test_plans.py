@@ -201,3 +201,115 @@ def test_speech_sessions(spark, tmp_path):
     s = spark.readStream.schema(ddl).parquet(f"{tmp_path}/in")
     got = run(spark, stateful.speech_sessions(s), tmp_path)
     assert sorted((r.n_turns, (r.to_ts - r.from_ts).total_seconds()) for r in got) == [(1, 1.0), (2, 3.5)]
+
+
+class Loops(models.HypothesisModel):
+    """Says the words in a span, but goes in circles on spans longer than ``upto`` seconds, and on the first rung beyond half of that."""
+
+    def __init__(self, words, upto):
+        self.words, self.upto, self.limits, self.asked = words, upto, models.limits("cohere"), []
+
+    def attempts(self, spans, rung):
+        self.asked.append(rung)
+        mid = (F.col("w.start_s") + F.col("w.end_s")) / 2
+        met = spans.alias("s").join(self.words.alias("w"), (F.col("s.recording") == F.col("w.recording")) & (mid >= F.col("s.start_s")) & (mid < F.col("s.end_s")), "left")
+        text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("w.start_s"), F.col("w.text")))), lambda x: x["text"]), " ")
+        keys = [F.col(f"s.{c}") for c in ("recording", "span_id", "node", "start_s", "end_s")]
+        long = F.col("end_s") - F.col("start_s")
+        circles = (long > self.upto) | (F.lit(rung == 0) & (long > self.upto / 2))
+        x = met.groupBy(*keys).agg(text.alias("text")).withColumn("text", F.when(circles, F.concat("text", F.repeat(F.lit(" encore"), 9))).otherwise(F.col("text")))
+        return x.withColumns({"rung": F.lit(rung), "hit_limit": F.lit(False), "stop_reason": F.lit(None).cast("string")})
+
+
+WORDS = "recording string, start_s double, end_s double, text string"
+
+
+def test_spans_are_halved_and_tried_again(spark):
+    """Solved at once, by a retry, only after a split, after two, and not at all."""
+    words = spark.createDataFrame([("r", i + 0.1, i + 0.4, f"mot{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(200)], WORDS)
+    spans = spark.createDataFrame([("r", 1, 0.0, 3.0), ("r", 2, 10.0, 17.0), ("r", 3, 20.0, 32.0), ("r", 4, 40.0, 68.0), ("r", 5, 100.0, 160.0), ("r", 6, 170.0, 170.1)], "recording string, span_id bigint, start_s double, end_s double")
+    model = Loops(words, 8.0)
+    got = pipeline.transcribed(model, spans, pipeline.Options(lang=None)).orderBy("span_id", "piece_ix").collect()
+    rows = [(r.span_id, r.piece_ix, r.start_s, r.end_s, len(r.text.split()), r.flags[:1]) for r in got]
+    assert rows[:2] == [(1, 0, 0.0, 3.0, 3, []), (2, 0, 10.0, 17.0, 7, ["retry"])]
+    assert rows[2:4] == [(3, 0, 20.0, 26.0, 6, ["retry"]), (3, 1, 26.0, 32.0, 6, ["retry"])]
+    assert rows[4:8] == [(4, k, 40.0 + 7 * k, 47.0 + 7 * k, 7, ["retry"]) for k in range(4)]
+    assert [r[:4] + r[5:] for r in rows[8:]] == [(5, k, 100.0 + 15 * k, 115.0 + 15 * k, ["loop_trimmed"]) for k in range(4)]
+    assert all(r.text.endswith(" encore") and r.text.count("encore") <= 2 for r in got[8:]) and model.asked == [0, 1, 2] * 3
+
+
+@pytest.mark.parametrize("mode", ["window", "turns"])
+def test_run_from_turns_to_files(spark, tmp_path, mode):
+    words = spark.createDataFrame([("r", i * 0.5, i * 0.5 + 0.4, w) for i, w in enumerate(("Bonjour , euh , je vois dix ans . " * 8).split())], WORDS)
+    turns = spark.createDataFrame([("r", 1, 0.0, 15.9, 4), ("r", 2, 16.2, 32.0, 7), ("r", 3, 40.0, 40.1, 9)], "recording string, ord bigint, start_s double, end_s double, speaker int")
+    config = post.PostConfig(style="lu", numbers="digits", lang_filter=False)
+    t = np.arange(64 * 45) % 64
+    waves = spark.createDataFrame([("r", 64, 15.0 * k, np.where(t[: 64 * 15] < 60, 1.0, 0.0).astype(float).tolist()) for k in range(3)], "recording string, rate int, from_s double, samples array<float>")
+    got = pipeline.run(turns, Loops(words, 20.0), pipeline.Options(), mode, waves=waves, config=config, folder=str(tmp_path), formats=["txt", "json"]).orderBy("start_s").collect()
+    assert {(r.speaker, r.label) for r in got} == {(4, 0), (7, 1)} and all("10 ans" in r.text and "euh" not in r.text for r in got)
+    assert len((tmp_path / "r.txt").read_text().splitlines()) == len(got) == len(json.loads((tmp_path / "r.json").read_text()))
+    with pytest.raises(ValueError):
+        pipeline.run(turns, Loops(words, 20.0), mode="x")
+    with pytest.raises(ValueError):
+        pipeline.run(turns, Loops(words, 20.0), formats=["doc"])
+
+
+def test_decoders_and_rates(spark, tmp_path):
+    (tmp_path / "a.raw").write_bytes(bytes(range(100)))
+    with pytest.raises(RuntimeError):
+        audio.decoded("a.raw", b"")
+    with pytest.raises(RuntimeError):
+        audio.decoded("a.wav", b"no wave")
+    plug = {".raw": lambda raw, rate: audio.resampled(np.frombuffer(raw, np.uint8).astype(np.float32), 50, rate)}
+    assert audio.read_waves(spark, str(tmp_path / "a.raw"), 25, decoders=plug).first().samples == [float(x) for x in range(0, 100, 2)]
+    audio.DECODERS.update(plug)
+    try:
+        one, two = audio.read_both(spark, str(tmp_path / "a.raw"), 50, 100)
+        assert (one.first().rate, two.first().rate, len(two.first().samples)) == (50, 100, 200)
+        assert audio.read_both(spark, str(tmp_path / "a.raw"), 50, 50)[0].first().rate == 50
+    finally:
+        audio.DECODERS.clear()
+
+
+@pytest.mark.parametrize(("step", "ahead", "block"), [(1.0, 0.5, 7), (0.3, 1.2, 4), (5.0, 0.0, 100), (2.0, 3.0, 3)])
+def test_overlapping_chunks(spark, step, ahead, block):
+    x = [float(i) for i in range(37)]
+    waves = spark.createDataFrame([("r", 10, i / 10, x[i : i + block]) for i in range(0, 37, block)] + [("s", 10, 0.0, [])], "recording string, rate int, from_s double, samples array<float>")
+    got = [(r.ix, r.from_s, r.samples) for r in audio.overlapping(waves, step, ahead).orderBy("ix").collect()]
+    n, size = round(step * 10), round((step + ahead) * 10)
+    assert got == [(k, k * n / 10, x[k * n : k * n + size]) for k in range(-(-37 // n))]
+    short, long = audio.by_length(waves, 3.7)
+    assert short.count() == waves.count() and long.count() == 0 and audio.by_length(waves, 3.6)[1].select("recording").distinct().count() == 1
+
+
+def test_fusion_of_two_recognisers(spark):
+    from dataclasses import replace
+
+    from parlance.operators import fusion
+
+    a, b = models.limits("cohere"), models.limits("whisper-fr")
+    assert fusion.fused_limits(a, b).longest_s == 30.0
+    for args in ((a, models.limits("vibevoice")), (a, b, 8000)):
+        with pytest.raises(ValueError):
+            fusion.fused_limits(*args)
+    assert replace(a, batch=1).batch == 1
+    ddl = "recording string, span_id bigint, piece_ix int, text string, flags array<string>"
+    one = spark.createDataFrame([("r", 1, 1, "chat", ["x"]), ("r", 1, 0, "le", None), ("r", 2, 0, "seul", [])], ddl)
+    two = spark.createDataFrame([("r", 1, 0, "le chien", ["y"]), ("r", 3, 0, "autre", [])], ddl)
+    vocab = {c: i for i, c in enumerate("|abcdefghijklmnopqrstuvwxyz", 1)}
+    said = "|".join("le chien".split())
+    frames = [("r", 1, k, [0.0 if i == vocab[c] else -20.0 for i in range(28)]) for k, c in enumerate(said)]
+    e = spark.createDataFrame(frames, "recording string, span_id bigint, frame int, logp array<double>")
+    got = {r.span_id: r for r in fusion.fused(fusion.pairs_of(one, two, e), vocab, vocab["|"]).collect()}
+    assert (got[1].text, got[1].flags, got[1].secondary_chosen) == ("le chien", ["x", "y"], 1) and got[2].text == "seul" and 3 not in got
+    assert "1 from the second" in fusion.summary_line(got[1].asDict())
+    assert post.summary_line({"segments_in": 3, "empty": 0}) == "3 segments_in"
+
+
+def test_functions_from_sql(spark):
+    from parlance.functions.arrow import register
+
+    assert "collapse_loops" in register(spark)
+    spark.createDataFrame([("oui " * 9 + "dix ans",)], "t string").createOrReplaceTempView("said")
+    r = spark.sql("SELECT collapse_loops(t) AS a, french_numbers(t).text AS b, clock_time(61.5D) AS c, clean_text('[rires]', 'fr', 1.0D).reason AS d FROM said").first()
+    assert (r.a, r.b[-6:], r.c, r.d) == ("oui oui dix ans", "10 ans", "00:01:01.50", "non-speech tag")
