@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import replace
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrow import by_row
 from ..functions.text import french_numbers
 from ..session import spread
 from ..sources.models import HypothesisLimits
@@ -65,6 +65,111 @@ def acoustic_score(logp: np.ndarray, vocab: dict[str, int], separator: int | Non
     return score
 
 
+class Frames:
+    """Scores of texts of which only a region changes, from what the words before and after it are worth.
+
+    ``forward[t]`` is the best score of the first t frames when they say all words so far; ``enter`` of a word is the
+    best score of the frames from each on, when its first token comes in there and all words after it follow. A text's
+    score is then the best meeting point of the two; a region costs its own tokens, not the whole text's.
+    """
+
+    def __init__(self, logp: np.ndarray, words: Sequence[str], vocab: dict[str, int], separator: int | None, blank: int = 0, bonus: float = BONUS):
+        self.vocab, self.separator, self.blank, self.bonus = vocab, separator, blank, bonus
+        self.logp, self.stays = np.asarray(logp, dtype=np.float64), {}
+        self.tokens = [tokens_of([w], vocab, separator)[0] for w in words]
+        n = len(words)
+        # enter[k]: of the text from word k on, by whether a separator comes before it; its tokens.
+        self.enter: list[tuple[np.ndarray, np.ndarray] | None] = [None] * (n + 1)
+        self.left = [0] * (n + 1)
+        for k in range(n - 1, -1, -1):
+            self.left[k] = self.left[k + 1]
+            self.enter[k] = self.enter[k + 1]
+            if self.tokens[k]:
+                after = self.enter[k + 1]
+                rest = None if after is None else after[1]
+                bare = rest
+                for x in reversed(self.tokens[k]):
+                    bare = self._enter(x, bare)
+                apart = bare if separator is None else self._enter(separator, bare)
+                self.enter[k] = (bare, apart)
+                self.left[k] += len(self.tokens[k]) + (separator is not None and after is not None)
+        self.forward = np.concatenate([[0.0], np.cumsum(logp[:, blank])])
+        self.count = 0
+
+    def _stay(self, token: int) -> tuple[np.ndarray, np.ndarray]:
+        """What staying with a token has cost before each frame, and coming in with it at each, less that."""
+        if (got := self.stays.get(token)) is None:
+            s = np.concatenate([[0.0], np.cumsum(np.maximum(self.logp[:, token], self.logp[:, self.blank]))])
+            got = self.stays[token] = (s, self.logp[:, token] - s[1:])
+        return got
+
+    def _enter(self, token: int, after: np.ndarray | None) -> np.ndarray:
+        """Scores of the frames from t on if the token comes in at t, and after it what ``after`` says."""
+        s, came = self._stay(token)
+        if after is None:
+            return came + s[-1]
+        best = np.empty(len(came))  # the next comes in at a later frame
+        best[-1] = -np.inf
+        best[:-1] = np.maximum.accumulate((s[:-1] + after)[::-1])[::-1][1:]
+        best += came
+        return best
+
+    def _say(self, forward: np.ndarray, tokens: Sequence[int]) -> np.ndarray:
+        for x in tokens:
+            s, came = self._stay(x)
+            new = np.empty(len(s))
+            new[0] = -np.inf
+            np.maximum.accumulate(forward[:-1] + came, out=new[1:])
+            new[1:] += s[1:]
+            forward = new
+        return forward
+
+    def _region(self, words: Sequence[str]) -> tuple[np.ndarray, int]:
+        forward, count = self.forward, self.count
+        for w in words:
+            own = tokens_of([w], self.vocab, self.separator)[0]
+            if own:
+                own = [self.separator, *own] if count and self.separator is not None else own
+                forward, count = self._say(forward, own), count + len(own)
+        return forward, count
+
+    def score(self, words: Sequence[str], upto: int) -> float:
+        """Of all that has been said, these words, and the first text from word ``upto`` on."""
+        forward, count = self._region(words)
+        after = self.enter[upto]
+        if after is None:
+            return float(forward[-1]) + self.bonus * count
+        apart = count and self.separator is not None
+        total = count + self.left[upto] + bool(apart)
+        return float((forward[:-1] + after[1 if apart else 0]).max()) + self.bonus * total
+
+    def say(self, words: Sequence[str]) -> None:
+        self.forward, self.count = self._region(words)
+
+
+def fuse_frames(a: str | None, b: str | None, logp: np.ndarray, vocab: dict[str, int], separator: int | None, blank: int = 0, margin: float = MARGIN, bonus: float = BONUS) -> tuple[str, dict[str, int]]:
+    """``fuse`` with the score of frames, each region by itself."""
+    first, second = (a or "").split(), (b or "").split()
+    stats = {"windows": 1, "words": len(first), "regions": 0, "number_variants": 0, "secondary_chosen": 0}
+    regions = SequenceMatcher(None, list(map(word_key, first)), list(map(word_key, second)), autojunk=False).get_opcodes()
+    if all(r[0] == "equal" for r in regions):
+        return a or "", stats
+    frames = Frames(logp, first, vocab, separator, blank, bonus)
+    best, out = frames.score([], 0), []
+    for tag, i, j, m, n in regions:
+        own = first[i:j]
+        if tag != "equal":
+            stats["regions"] += 1
+            if same_number(own, second[m:n]):
+                stats["number_variants"] += 1
+            elif (s := frames.score(second[m:n], j)) > best + margin:
+                own, best = second[m:n], s
+                stats["secondary_chosen"] += 1
+        frames.say(own)
+        out += own
+    return " ".join(out), stats
+
+
 def fused(pairs: DataFrame, vocab: dict[str, int], separator: int | None, blank: int = 0, margin: float = MARGIN, bonus: float = BONUS) -> DataFrame:
     """pairs with text and counts of windows, words, regions, number_variants, secondary_chosen.
 
@@ -74,21 +179,25 @@ def fused(pairs: DataFrame, vocab: dict[str, int], separator: int | None, blank:
     names = ["windows", "words", "regions", "number_variants", "secondary_chosen"]
     key = lambda c: F.regexp_replace(F.regexp_replace(F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("’"), F.lit("'")), r"(?U)[^\w'\s]", ""), r"(?U)\s+", " ")
 
-    def one(a, b, logp):
-        if logp is None or not len(logp):
-            return (a or "", 1, len((a or "").split()), 0, 0, 0)
-        frames = np.vstack([np.asarray(r, dtype=np.float64) for r in logp])
-        text, stats = fuse(a, b, acoustic_score(frames, vocab, separator, blank, bonus), margin)
-        return (text, *(stats[n] for n in names))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            out = []
+            for a, b, logp in zip(d["text_a"], d["text_b"], d["logp"]):
+                if logp is None or not len(logp):
+                    out.append((a or "", 1, len((a or "").split()), 0, 0, 0))
+                    continue
+                text, stats = fuse_frames(a, b, np.vstack([np.asarray(r, dtype=np.float64) for r in logp]), vocab, separator, blank, margin, bonus)
+                out.append((text, *(stats[n] for n in names)))
+            yield pd.concat([d[keep].reset_index(drop=True), pd.DataFrame(out, columns=["text", *names])], axis=1)
 
-    udf = by_row("struct<text string, windows int, words int, regions int, number_variants int, secondary_chosen int>", ["text", *names])(one)
+    keep = ["recording", "span_id", "flags"]
     flags = F.array_sort(F.array_union(F.coalesce("flags_a", F.array().cast("array<string>")), F.coalesce("flags_b", F.array().cast("array<string>"))))
     x = pairs.withColumn("flags", flags)
     same = F.trim(key(F.col("text_a"))) == F.trim(key(F.col("text_b")))
     count = F.size(F.filter(F.split(F.coalesce("text_a", F.lit("")), r"(?U)\s+"), lambda t: t != ""))
-    keep = ["recording", "span_id", "flags"]
     easy = x.where(same).select(*keep, F.coalesce("text_a", F.lit("")).alias("text"), F.lit(1).alias("windows"), count.alias("words"), *[F.lit(0).alias(n) for n in names[2:]])
-    hard = spread(x.where(~same), "recording", "span_id").withColumn("_f", udf("text_a", "text_b", "logp")).select(*keep, "_f.text", *[F.col(f"_f.{n}") for n in names])
+    hard = spread(x.where(~same).select(*keep, "text_a", "text_b", "logp"), "recording", "span_id")
+    hard = hard.mapInPandas(run, "recording string, span_id bigint, flags array<string>, text string, " + ", ".join(f"{n} int" for n in names))
     return easy.unionByName(hard).where(F.col("text") != "")
 
 

@@ -192,3 +192,26 @@ def test_best_cut():
     x[600:610] = 0
     assert abs(best_cut(x, 100, 0.0, 10.0, 5.0, 3.0) - 6.025) < 0.06
     assert best_cut(x, 100, 0.0, 1.5) == 0.75
+
+
+def test_regions_score_as_whole_texts():
+    """Frames of random scores: the text and counts are those of scoring every whole text anew."""
+    import random
+
+    import numpy as np
+
+    from parlance.operators import fusion
+
+    r = random.Random(8)
+    vocab = {c: i for i, c in enumerate("|abcd", 1)}
+    chosen = 0
+    for k in range(250):
+        words = ["".join(r.choice("abcdé") for _ in range(r.randint(1, 3))) for _ in range(r.randint(0, 6))]
+        other = [w if r.random() < 0.5 else r.choice(["", w + " a", "cd", "12", "é"]) for w in words] + r.choice([[], ["b"]])
+        logp = np.log(np.random.default_rng(k).dirichlet(np.ones(6) * 0.3, size=r.randint(1, 40)) + 1e-6)
+        for sep in (1, None):
+            args = (" ".join(words), " ".join(other))
+            want = fusion.fuse(*args, fusion.acoustic_score(logp, vocab, sep, 0, 2.0), 0.5)
+            assert fusion.fuse_frames(*args, logp, vocab, sep, 0, 0.5, 2.0) == want
+            chosen += want[1]["secondary_chosen"]
+    assert chosen > 50
