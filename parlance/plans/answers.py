@@ -280,3 +280,40 @@ srt AS (SELECT *, i || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, a
 SELECT recording, 'txt' AS format, string_agg({LINE}, chr(10) ORDER BY i) || chr(10) AS content FROM o GROUP BY recording
 UNION ALL SELECT recording, 'srt', string_agg(block, chr(10) ORDER BY i) FROM srt GROUP BY recording
 """
+
+# --- from turns to segments ---------------------------------------------------------------------------------------
+
+
+def climbed() -> str:
+    """SQL: pcs, the pieces of the windows: three depths of spans, halved in the middle where more than sixty words are said."""
+    said = "string_agg(translate(substring(md5(CAST(word_id AS VARCHAR)), 1, 8), '0123456789', 'ghijklmnop'), ' ' ORDER BY start_s, word_id)"
+    counts = lambda k: f"""
+n{k} AS (SELECT l.recording, l.span_id, l.a, l.b, count(t.word_id) AS n FROM l{k} l LEFT JOIN tw t ON t.recording = l.recording AND t.mid >= l.a AND t.mid < l.b GROUP BY l.recording, l.span_id, l.a, l.b),
+x{k} AS (SELECT *, n > 60 AND b - a >= 4.0 AND {k} < 2 AS halved FROM n{k})"""
+    half = lambda k: f"""
+l{k} AS (SELECT recording, span_id, a, (a + b) / 2 AS b FROM x{k - 1} WHERE halved UNION ALL SELECT recording, span_id, (a + b) / 2, b FROM x{k - 1} WHERE halved)"""
+    return f"""
+tw AS (SELECT DISTINCT word_id, recording, start_s, (start_s + end_s) / 2 AS mid FROM words WHERE start_s IS NOT NULL AND end_s IS NOT NULL),
+l0 AS (SELECT recording, window_ix AS span_id, greatest(0, start_s - 0.15) AS a, end_s + 0.15 AS b FROM w WHERE end_s + 0.15 - greatest(0, start_s - 0.15) >= 0.2), {counts(0)}, {half(1)}, {counts(1)}, {half(2)}, {counts(2)},
+xx AS (SELECT * FROM (SELECT * FROM x0 UNION ALL SELECT * FROM x1 UNION ALL SELECT * FROM x2) WHERE NOT halved),
+st AS (SELECT xx.recording, xx.span_id, xx.a, xx.b, xx.n, {said} AS t FROM xx LEFT JOIN tw ON tw.recording = xx.recording AND tw.mid >= xx.a AND tw.mid < xx.b GROUP BY xx.recording, xx.span_id, xx.a, xx.b, xx.n),
+pcs AS (SELECT recording, span_id, CAST(row_number() OVER (PARTITION BY recording, span_id ORDER BY a) - 1 AS INT) AS piece_ix, a AS start_s, b AS end_s,
+  CASE WHEN n > 60 THEN array_to_string(string_split(t || ' encore encore', ' ')[1:CAST(floor(greatest(b - a, 1.0) * 6.0) AS INT) + 5], ' ') ELSE coalesce(t, '') END AS text, CASE WHEN n > 60 THEN ['loop_trimmed'] WHEN n > 40 THEN ['retry'] ELSE [] END AS flags FROM st)"""
+
+
+def _windows() -> str:
+    from .queries import WINDOWS
+
+    return f"{_speech_turns()}, {WINDOWS}, {climbed()}"
+
+
+SQL["pipeline_pieces"] = f"WITH RECURSIVE {_windows()} SELECT recording, span_id, piece_ix, start_s, end_s, text, array_to_string(flags, '|') AS flags FROM pcs"
+# The windows' names of steps give way to those of the words.
+_PIECES_OF_WINDOWS = f"pcs AS MATERIALIZED (WITH RECURSIVE {_windows()} SELECT * FROM pcs)"
+SQL["pipeline_full"] = f"""
+WITH {_PIECES_OF_WINDOWS}, {_speech_turns()}, pn AS (SELECT *, row_number() OVER (ORDER BY recording, span_id, piece_ix) AS piece_id FROM pcs), pc AS {cleaned('pn', None)},
+ws AS (SELECT recording, piece_id, start_s, end_s, flags, string_split(t, ' ') AS toks FROM pc),
+wu AS (SELECT *, unnest(range(len(toks))) AS pos FROM ws),
+pw AS (SELECT row_number() OVER (ORDER BY piece_id, pos) AS word_id, recording, piece_id, pos, start_s + pos * ((end_s - start_s) / len(toks)) AS start_s, start_s + (pos + 1) * ((end_s - start_s) / len(toks)) AS end_s, toks[pos + 1] AS text, flags FROM wu),
+{attributed('pw')} SELECT * FROM sg
+"""

@@ -12,7 +12,8 @@ from ..functions.text import INVENTED, INVENTED_SHORT
 from ..operators import alignment, fusion, intervals, retry, speakers
 from ..operators.periods import periods_and_gaps
 from ..session import scratch, spread, written
-from ..sources import audio, sinks
+from ..sources import audio, models, sinks
+from ..sources.models import HypothesisModel
 from ..sources.tables import deliveries_once, millis, read
 from ..streaming import stateful
 from . import metrics, pipeline, post
@@ -739,6 +740,45 @@ def pipeline_window(spark: SparkSession, folder: str) -> DataFrame:
     return s.withColumn("flags", F.array_join("flags", "|"))
 
 
+class SpokenWords(HypothesisModel):
+    """A stand-in for a recogniser: it says a name for each timed word whose middle lies in the span. It goes in circles
+    where there are more than forty, on the last rung where there are more than sixty."""
+
+    MOST = (40, 40, 60)
+    BUCKET_S = 30.0
+
+    def __init__(self, words: DataFrame):
+        mid = (F.col("start_s") + F.col("end_s")) / 2
+        name = F.translate(F.substring(F.md5(F.col("word_id").cast("string")), 1, 8), "0123456789", "ghijklmnop")
+        self.words = words.where(mid.isNotNull()).select(F.col("recording").alias("_r"), F.floor(mid / self.BUCKET_S).alias("_k"), mid.alias("_m"), F.struct(F.col("start_s"), F.col("word_id"), name.alias("name")).alias("w"))
+        self.limits = models.limits("cohere")
+
+    def attempts(self, spans: DataFrame, rung: int) -> DataFrame:
+        keys = ["recording", "span_id", "node", "start_s", "end_s"]
+        cells = F.explode(F.sequence(F.floor(F.col("start_s") / self.BUCKET_S), F.floor(F.col("end_s") / self.BUCKET_S)))
+        at = (F.col("_r") == F.col("recording")) & (F.col("_k") == F.col("k")) & (F.col("_m") >= F.col("start_s")) & (F.col("_m") < F.col("end_s"))
+        said = spans.select(*keys, cells.alias("k")).join(self.words, at, "left").groupBy(*keys).agg(F.sort_array(F.collect_list("w")).alias("w"))
+        text = F.array_join(F.transform("w", lambda x: x["name"]), " ")
+        text = F.when(F.size("w") > self.MOST[rung], F.concat(text, F.repeat(F.lit(" encore"), 9))).otherwise(text)
+        return said.select(*keys, F.lit(rung).alias("rung"), text.alias("text"), F.lit(False).alias("hit_limit"), F.lit(None).cast("string").alias("stop_reason"))
+
+
+@query("pipeline_full")
+def pipeline_full(spark: SparkSession, folder: str) -> DataFrame:
+    """From turns to segments: windows, ladder, halves that are tried again, trimming, words, speakers, labels."""
+    s = pipeline.run(turns_once(spark, folder), SpokenWords(words_once(spark, folder)), pipeline.Options(lang=None))
+    return s.withColumn("flags", F.array_join(F.filter("flags", lambda f: f.isin("retry", "loop_trimmed")), "|"))
+
+
+@query("pipeline_pieces")
+def pipeline_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """What the ladder and bisection make of the windows, each piece with its flags."""
+    o = pipeline.Options(lang=None)
+    spans = pipeline.window_spans(turns_once(spark, folder), o, 35.0).select("recording", F.col("window_ix").alias("span_id"), F.col("pad_start").alias("start_s"), F.col("pad_end").alias("end_s"))
+    got = pipeline.transcribed(SpokenWords(words_once(spark, folder)), spans, o)
+    return got.withColumn("flags", F.array_join(F.filter("flags", lambda f: f.isin("retry", "loop_trimmed")), "|"))
+
+
 @query("pipeline_turns")
 def pipeline_turns(spark: SparkSession, folder: str) -> DataFrame:
     """Turns mode, where the segments of a recording stand for what was recognised in them."""
