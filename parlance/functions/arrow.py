@@ -54,7 +54,7 @@ def register(spark: SparkSession) -> list[str]:
 
     named = {
         "normalize_words": loops.normalize_words_udf, "periodic_suffix": loops.periodic_suffix_udf, "repeated_run": loops.repeated_run_udf, "compression_ratio": loops.compression_ratio_udf,
-        "diagnose_text": loops.diagnose_udf, "collapse_loops": loops.collapse_udf, "clean_text": text.clean_udf, "latin_ratio": text.latin_ratio_udf, "clock_time": text.clock_udf,
+        "measure_text": loops.measures_udf, "collapse_loops": loops.collapse_udf, "clock_time": text.clock_udf,
         "read_style": text.read_style_udf, "french_numbers": text.french_numbers_udf, "french_typography": text.french_typography_udf, "json_text": text.json_text_udf,
     }
     with warnings.catch_warnings():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.loops import collapse_udf, diagnose_udf
+from ..functions.loops import collapse_udf, issues
 
 # How each attempt decodes.
 LADDER = (
@@ -17,7 +17,7 @@ LADDER = (
 
 def diagnosed(attempts: DataFrame) -> DataFrame:
     """attempts with issues. attempts: recording, span_id, start_s, end_s, rung, text, hit_limit, stop_reason."""
-    return attempts.withColumn("issues", diagnose_udf("text", F.col("end_s") - F.col("start_s"), "hit_limit", "stop_reason"))
+    return attempts.withColumn("issues", issues(F.col("text"), F.col("end_s") - F.col("start_s"), F.col("hit_limit"), F.col("stop_reason")))
 
 
 def word_cap(seconds: Column, max_wps: float = 6.0) -> Column:

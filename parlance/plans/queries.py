@@ -394,7 +394,7 @@ WITH {PIECES}, r AS (SELECT piece_id, length(regexp_replace(text, '[^\\p{{L}}]',
 SELECT piece_id, round(CASE WHEN l = 0 THEN 1.0 ELSE a / l END, 6) AS ratio FROM r
 """)
 def f7_latin_ratio(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces_once(spark, folder).where("text IS NOT NULL").select("piece_id", F.round(text.latin_ratio_udf("text"), 6).alias("ratio"))
+    return pieces_once(spark, folder).where("text IS NOT NULL").select("piece_id", F.round(text.latin_ratio(F.col("text")), 6).alias("ratio"))
 
 
 @query("f6_clean", f"""

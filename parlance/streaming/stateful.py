@@ -9,43 +9,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.loops import token_loop
+from ..functions.loops import normalize_words, periodic_suffix
 
 #: Tokens kept of each row's end; tokens before the first check.
 TAIL, FIRST_CHECK = 400, 16
+#: When the words of a text, rather than tokens, go in circles.
+WORD_LOOP = {"max_period": 40, "min_repeats": 3, "min_span": 30, "short_period": 3, "short_min_repeats": 6}
 
 
 def watch_loops(tokens: DataFrame, ignore: tuple[int, ...] = (), every: int = 8, decode: Callable[[list[int]], str] | None = None) -> DataFrame:
     """recording, span_id, generated, reason: emitted once a row's tokens loop; later tokens of the row are ignored.
 
-    tokens, a stream: recording, span_id, ix (from 0), token. ``ignore``: tokens that end a row; a tail of them is no
+    tokens, a stream: recording, span_id, ix (from 0, without gaps), token; those that come early wait. ``ignore``: tokens that end a row; a tail of them is no
     loop. ``decode`` turns the tail into text for the check of words; without it, the tokens' column ``word``, if they
     have one, is that text.
     """
     spelled = decode is None and "word" in tokens.columns
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, n, reason, said = state.get if state.exists else ([], 0, None, [])
+        tail, n, reason, said, held = state.get if state.exists else ([], 0, None, [], [])
         tail, said = list(tail), list(said)
         fresh = None
-        for b in batches:
-            b = b.sort_values("ix")
-            for t, word in zip(b["token"], b["word"] if spelled else [None] * len(b)):
-                if reason is not None:
-                    break
+        waiting = {int(h[0]): (int(h[1]), h[2]) for h in held}
+        for b in batches if reason is None else ():
+            waiting.update((int(i), (int(t), w)) for i, t, w in zip(b["ix"], b["token"], b["word"] if spelled else [None] * len(b)) if i >= n)
+        if reason is None:
+            while n in waiting:  # tokens in their order, whatever the order they come in
+                t, word = waiting.pop(n)
                 tail = [*tail, int(t)][-TAIL:]
                 if spelled:
                     said = [*said, word or ""][-TAIL:]
                 n += 1
                 if n >= FIRST_CHECK and tail[-1] not in ignore:
-                    text = decode(tail) if decode else " ".join(said) if spelled and n % every == 0 else None
-                    reason = fresh = token_loop(tail, n, text, every)
-        state.update((tail if reason is None else [], n, reason, said if reason is None else []))
+                    text = None if n % every else decode(tail) if decode else " ".join(said) if spelled else None
+                    if hit := periodic_suffix(tail):
+                        fresh = f"token loop (period={hit[0]}, x{hit[1]})"
+                    elif text and (hit := periodic_suffix(normalize_words(text), **WORD_LOOP)):
+                        fresh = f"text loop (period={hit[0]} words, x{hit[1]})"
+                    reason = fresh
+                    if reason is not None:
+                        break
+        live = reason is None
+        state.update((tail if live else [], n, reason, said if live else [], [(k, *v) for k, v in sorted(waiting.items())] if live else []))
         if fresh is not None:
             yield pd.DataFrame({"recording": [key[0]], "span_id": [key[1]], "generated": [n], "reason": [fresh]})
 
     return tokens.groupBy("recording", "span_id").applyInPandasWithState(
-        step, "recording string, span_id bigint, generated int, reason string", "tail array<int>, n int, reason string, said array<string>", "append", GroupStateTimeout.NoTimeout
+        step, "recording string, span_id bigint, generated int, reason string", "tail array<int>, n int, reason string, said array<string>, held array<struct<ix: int, token: int, word: string>>", "append", GroupStateTimeout.NoTimeout
     )
 
 

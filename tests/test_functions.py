@@ -36,13 +36,41 @@ def test_repeated_run_equals_the_scan():
         assert loops.repeated_run(w) == naive_run(w)
 
 
-def test_diagnose():
+def test_issues(spark):
+    from pyspark.sql import functions as F
+
     good = "Bonjour à tous, nous allons commencer la réunion de ce matin avec le budget."
-    assert loops.diagnose(good, 6.0) == []
-    bad = loops.diagnose("je ne sais pas quoi dire " * 12, 5.0)
-    assert any(x.startswith("compression ratio") for x in bad) and any("6-gram x12" in x for x in bad) and any("words/s" in x for x in bad)
-    assert loops.diagnose("oui oui d'accord", 0.4) == []
-    assert loops.diagnose(None, None, True, "token loop") == ["stopped: token loop", "max_new_tokens reached"]
+    rows = [(good, 6.0, False, None), ("je ne sais pas quoi dire " * 12, 5.0, None, ""), ("oui oui d'accord", 0.4, False, None), (None, None, True, "token loop"), (None, float("nan"), None, None)]
+    df = spark.createDataFrame(rows, "t string, d double, h boolean, s string")
+    got = [r[0] for r in df.select(loops.issues(F.col("t"), F.col("d"), F.col("h"), F.col("s"))).collect()]
+    assert got[0] == got[2] == got[4] == [] and got[3] == ["stopped: token loop", "max_new_tokens reached"]
+    assert got[1][0].startswith("compression ratio") and got[1][1:] == ["14.4 words/s", "repeated 6-gram x12"]
+
+
+def walked(text, max_n=30):
+    """Word by word: the shortest unit at a place that is said too often is kept once or twice, and skipped."""
+    said, out, i = text.split(), [], 0
+    keys = [" ".join(loops.normalize_words(w)) or w for w in said]
+    while i < len(said):
+        for n in range(1, min(max_n, len(said) // 2) + 1):
+            k = 1
+            while len(keys[i : i + n]) == n and keys[i + k * n : i + (k + 1) * n] == keys[i : i + n]:
+                k += 1
+            if k > (2 if n <= 2 else 1):
+                out += said[i : i + n * (2 if n <= 2 else 1)]
+                i += k * n
+                break
+        else:
+            out.append(said[i])
+            i += 1
+    return " ".join(out)
+
+
+def test_collapse_equals_the_walk():
+    r = random.Random(2)
+    for _ in range(500):
+        w = [r.choice("ab") for _ in range(r.randint(0, 12))] * r.randint(1, 4) + [r.choice(["a", "b,", "B", "…"]) for _ in range(r.randint(0, 15))]
+        assert loops.collapse(" ".join(w)) == walked(" ".join(w))
 
 
 def test_collapse():
@@ -75,7 +103,6 @@ def test_normalize_words():
 def test_clean(spark, t, lang, dur, want):
     from pyspark.sql import functions as F
 
-    assert text.clean(t, lang, duration=dur) == want
     df = spark.createDataFrame([(t, dur)], "t string, d double")
     got = df.select(text.clean_column(F.col("t"), lang, duration=F.col("d")).alias("c")).first()["c"]
     assert (got["text"], got["reason"]) == want
