@@ -71,6 +71,13 @@ def log_softmax(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") - norm)
 
 
+def blank_scores(frames: DataFrame, blank: int = 0) -> DataFrame:
+    """frames (span_id, frame, logp) with score: what saying nothing up to and with each frame is worth. The frames of a
+    span are some hundred."""
+    w = Window.partitionBy("span_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    return frames.withColumn("score", F.sum(F.col("logp")[blank]).over(w))
+
+
 def tokens_of(words: Sequence[str], vocab: dict[str, int], separator: int | None) -> tuple[list[int], list[int]]:
     """Token ids of the words and the word that owns each; a separator, owned by -1, stands between words with tokens.
     Characters that the vocabulary lacks have no token."""

@@ -151,6 +151,16 @@ def chunk_limit(max_chunk: float, model_limit: float, pad: float = 0.15) -> floa
     return min(max_chunk, model_limit - 2 * pad)
 
 
+def rms(samples: Column) -> Column:
+    """Root mean square of an array of samples, in the JVM."""
+    return F.sqrt(F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) / F.size(samples))
+
+
+def quietest(frames: DataFrame, keys: Sequence[str], frame: str, loudness: str) -> DataFrame:
+    """keys, quietest, rms: the first of the frames of least loudness."""
+    return frames.groupBy(*keys).agg(F.min_by(frame, F.struct(loudness, frame)).alias("quietest"), F.min(loudness).alias("rms"))
+
+
 # --- quiet places of a waveform -----------------------------------------------------------------------------------
 
 

@@ -317,3 +317,35 @@ wu AS (SELECT *, unnest(range(len(toks))) AS pos FROM ws),
 pw AS (SELECT row_number() OVER (ORDER BY piece_id, pos) AS word_id, recording, piece_id, pos, start_s + pos * ((end_s - start_s) / len(toks)) AS start_s, start_s + (pos + 1) * ((end_s - start_s) / len(toks)) AS end_s, toks[pos + 1] AS text, flags FROM wu),
 {attributed('pw')} SELECT * FROM sg
 """
+
+# --- names, timed words, chunks, sessions -------------------------------------------------------------------------
+
+SQL["t4_heard_terms"] = f"""
+WITH s AS (SELECT DISTINCT seg_id, text FROM segments WHERE text IS NOT NULL), w AS (SELECT DISTINCT unnest({turns_text()}) AS word FROM s), wk AS (SELECT word, {phonetic('word')} AS k FROM w),
+t AS (SELECT DISTINCT term, {phonetic('term')} AS k FROM glossary WHERE NOT regexp_matches(term, '\\s'))
+SELECT word, term FROM wk JOIN t ON wk.k <> '' AND length(t.k) >= 4 AND wk.k[1] = t.k[1] AND 1 - levenshtein(wk.k, t.k) / greatest(length(wk.k), length(t.k)) >= 0.75 AND word <> lower(term)
+"""
+SQL["c6_known_words"] = f"""
+WITH {PIECES}, w AS (SELECT piece_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z ]', ' ', 'g'), ' +'), lambda x: x <> '') AS w FROM p WHERE text IS NOT NULL),
+u AS (SELECT piece_id, w, unnest(range(len(w))) AS pos FROM w),
+o AS (SELECT piece_id, pos, w[pos + 1] AS text, pos + coalesce(sum(length(w[pos + 1])) OVER (PARTITION BY piece_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM u)
+SELECT piece_id, CAST(pos AS INT) AS pos, round(begins * 0.02, 6) AS start_s, round((begins + length(text)) * 0.02, 6) AS end_s, text FROM o
+"""
+SQL["s5_overlapping"] = f"""
+WITH {FRAMES}, w AS (SELECT span_id, count(*) AS f, flatten(list(embedding ORDER BY frame)) AS x FROM e GROUP BY span_id), c AS (SELECT *, unnest(range(CAST(ceil(f / 2) AS BIGINT))) AS ix FROM w)
+SELECT CAST(span_id AS VARCHAR) AS recording, CAST(ix AS INT) AS ix, ix * 2.0::DOUBLE AS from_s, CAST(len(x[ix * 128 + 1:ix * 128 + 192]) AS INT) AS n, round(list_sum(list_transform(x[ix * 128 + 1:ix * 128 + 192], lambda v: v::DOUBLE)), 4) AS total FROM c
+"""
+SQL["sql_functions"] = SQL["l7_collapse"]
+
+
+def _sessions() -> str:
+    from .queries import TURNS
+
+    return f"""
+WITH {TURNS}, v AS (SELECT * FROM t WHERE speaker IS NOT NULL AND b > a),
+w AS (SELECT *, max(b) OVER (PARTITION BY recording, speaker ORDER BY a, b, turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR a - reach > 600 THEN 1 ELSE 0 END) OVER (PARTITION BY recording, speaker ORDER BY a, b, turn_id ROWS UNBOUNDED PRECEDING) AS k FROM w)
+SELECT recording, speaker, min(a) AS from_ms, max(b) AS to_ms, count(*) AS n_turns FROM i GROUP BY recording, speaker, k"""
+
+
+SQL["speech_sessions"] = _sessions()

@@ -41,6 +41,11 @@ def parse_glossary(entries: str | None, context: str | None = None) -> tuple[str
     return tuple(x for e in (entries or context or "").split(",") if (x := e.strip()))
 
 
+def top_language(confidence: Column) -> Column:
+    """The surest language of a map and how sure it is; of equals the last by name."""
+    return F.array_max(F.transform(F.map_entries(confidence), lambda e: F.struct(e["value"].alias("v"), e["key"].alias("k"))))
+
+
 def foreign_language(text: Column, confidence: Column, lang: str, least_words: int = 3, least_other: float = 0.6, most_own: float = 0.05) -> Column:
     """The other language that a text is surely in, else null. Addresses and file names are no evidence; texts of fewer
     than three words are kept, and so is everything where the wanted language is none that can be told."""
@@ -48,7 +53,7 @@ def foreign_language(text: Column, confidence: Column, lang: str, least_words: i
         return F.lit(None).cast("string")
     said = F.regexp_replace(text, r"(?U)\S*\w[.@]\w\S*", " ")
     words = F.regexp_count(said, F.lit(r"(?U)\w+"))
-    top = F.array_max(F.transform(F.map_entries(confidence), lambda e: F.struct(e["value"].alias("v"), e["key"].alias("k"))))
+    top = top_language(confidence)
     own = F.coalesce(F.element_at(confidence, lang), F.lit(0.0))
     return F.when((words >= least_words) & (top["k"] != lang) & (top["v"] >= least_other) & (own <= most_own), top["k"])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import loops, text
+from ..functions import glossary, loops, text
 from ..functions.text import INVENTED, INVENTED_SHORT
 from ..operators import alignment, fusion, intervals, retry, speakers
 from ..operators.periods import periods_and_gaps
@@ -586,8 +586,7 @@ WITH {FRAMES}, m AS (SELECT *, list_max(embedding)::DOUBLE AS top FROM e), s AS
 SELECT CAST(span_id AS BIGINT) AS span_id, CAST(frame AS INT) AS frame, round(sum(b) OVER (PARTITION BY span_id ORDER BY frame ROWS UNBOUNDED PRECEDING), 4) AS score FROM s
 """)
 def w8_blank_score(spark: SparkSession, folder: str) -> DataFrame:
-    w = Window.partitionBy("span_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    return frames(spark, folder).select("span_id", "frame", F.round(F.sum(F.col("logp")[0]).over(w), 4).alias("score"))
+    return alignment.blank_scores(frames(spark, folder)).select("span_id", "frame", F.round("score", 4).alias("score"))
 
 
 @query("c4_align_tokens")
@@ -608,9 +607,8 @@ SELECT CAST(label AS BIGINT) AS span_id, arg_min(f, (rms, f)) AS quietest, min(r
 """)
 def m4_frame_rms(spark: SparkSession, folder: str) -> DataFrame:
     """The quietest frame of each waveform: the first of least root mean square."""
-    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    r = read(spark, folder, "embeddings").select("label", "vec_id", F.round(F.sqrt(square / F.size("embedding")), 6).alias("rms"))
-    return r.groupBy(F.col("label").cast("bigint").alias("span_id")).agg(F.min_by("vec_id", F.struct("rms", "vec_id")).alias("quietest"), F.min("rms").alias("rms"))
+    r = read(spark, folder, "embeddings").select(F.col("label").cast("bigint").alias("span_id"), "vec_id", F.round(intervals.rms(F.col("embedding")), 6).alias("loud"))
+    return intervals.quietest(r, ["span_id"], "vec_id", "loud")
 
 
 @query("m4_best_cut")
@@ -899,12 +897,84 @@ def c6_align_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("o6_top_language", """
-SELECT config_id, arg_max(lang, (n, lang)) AS lang FROM (SELECT config_id, coalesce(lang, '') AS lang, len(glossary) AS n FROM post_configs) GROUP BY config_id
+WITH s AS (SELECT DISTINCT seg_id, recording, config_id FROM segments), n AS (SELECT recording, coalesce(lang, '') AS lang, count(*) AS n FROM s JOIN post_configs USING (config_id) GROUP BY ALL)
+SELECT recording, arg_max(lang, (n, lang)) AS lang, max(n) AS n FROM n GROUP BY recording
 """)
 def o6_top_language(spark: SparkSession, folder: str) -> DataFrame:
-    """The top entry of a group, ties told."""
-    c = read(spark, folder, "post_configs").select("config_id", F.coalesce("lang", F.lit("")).alias("lang"), F.size("glossary").alias("n"))
-    return c.groupBy("config_id").agg(F.max_by("lang", F.struct("n", "lang")).alias("lang"))
+    """The language label that most segments of a recording have, of equals the last by name."""
+    labels = F.broadcast(read(spark, folder, "post_configs").select("config_id", F.coalesce("lang", F.lit("")).alias("lang")))  # a fixed table
+    n = segments_once(spark, folder).join(labels, "config_id").groupBy("recording", "lang").agg(F.count("*").alias("n"))
+    n = n.groupBy("recording").agg(post.top_language(F.map_from_entries(F.collect_list(F.struct("lang", "n")))).alias("t"))  # a few labels a recording
+    return n.select("recording", F.col("t.k").alias("lang"), F.col("t.v").alias("n"))
+
+
+@query("t4_heard_terms")
+def t4_heard_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of segments that may be a misheard name of one word."""
+    w = segments_once(spark, folder).where("text IS NOT NULL").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
+    return glossary.heard_terms(w, read(spark, folder, "glossary", ["term"]))
+
+
+@query("t10_spelled", """
+SELECT p_partkey, 'il y en a ' || CASE WHEN p_partkey = 1 THEN 'un' ELSE CAST(p_partkey AS VARCHAR) END || ', je crois' AS text, CAST(CASE WHEN p_partkey = 1 THEN 0 ELSE 1 END AS INT) AS numbers FROM part
+""")
+def t10_spelled(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers in words, read back as digits."""
+    said = F.concat(F.lit("il y en a "), text.in_french_udf("p_partkey"), F.lit(", je crois"))
+    return read(spark, folder, "part", ["p_partkey"]).select("p_partkey", text.french_numbers_udf(said).alias("r")).select("p_partkey", "r.text", "r.numbers")
+
+
+@query("c6_known_words")
+def c6_known_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Words timed by frames that say them, a letter a frame of twenty milliseconds: where each begins is known."""
+    from ..functions.arrow import by_row
+
+    vocab = {c: i for i, c in enumerate("|abcdefghijklmnopqrstuvwxyz", 1)}
+
+    def one(said):
+        import numpy as np
+
+        tokens = [vocab[c] for c in "|".join(said)]
+        logp = np.full((len(tokens), 28), -20.0)
+        logp[np.arange(len(tokens)), tokens] = 0.0
+        return [{"start_s": round(a, 6), "end_s": round(b, 6), "text": w} for a, b, w in alignment.align_words(logp, 0.02, 0.0, 0.02 * len(tokens), " ".join(said), vocab, 1)]
+
+    w = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", " "), " +"), lambda x: x != "")
+    p = pieces_once(spark, folder).where("text IS NOT NULL").select("piece_id", w.alias("w")).where(F.size("w") > 0)
+    udf = by_row("array<struct<start_s: double, end_s: double, text: string>>")(one)
+    return p.select("piece_id", F.posexplode(udf("w")).alias("pos", "w")).select("piece_id", "pos", "w.start_s", "w.end_s", "w.text")
+
+
+@query("s5_overlapping")
+def s5_overlapping(spark: SparkSession, folder: str) -> DataFrame:
+    """Recordings made of the vectors in chunks of two seconds that look one ahead."""
+    e = read(spark, folder, "embeddings").withColumn("frame", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+    waves = e.select(F.col("label").cast("string").alias("recording"), F.lit(64).alias("rate"), F.col("frame").cast("double").alias("from_s"), F.col("embedding").alias("samples"))
+    c = audio.overlapping(waves, 2.0, 1.0)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return c.select("recording", "ix", "from_s", F.size("samples").alias("n"), F.round(total, 4).alias("total"))
+
+
+@query("sql_functions")
+def sql_functions(spark: SparkSession, folder: str) -> DataFrame:
+    """A function of texts called from SQL."""
+    from ..functions.arrow import register
+
+    register(spark)
+    pieces_once(spark, folder).where("text IS NOT NULL").createOrReplaceTempView("pieces_said")
+    return spark.sql("SELECT piece_id, collapse_loops(text) AS text FROM pieces_said")
+
+
+@query("speech_sessions")
+def speech_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions of each speaker from a stream of turns; a turn of nobody, long after all others, ends the last ones."""
+    t = intervals.valid(turns_once(spark, folder)).where(millis("end_s") > millis("start_s"))
+    t = t.select("recording", "speaker", F.timestamp_millis(millis("start_s")).alias("ts"), ((millis("end_s") - millis("start_s")) / 1000.0).alias("seconds"))
+    end = spark.createDataFrame([("", -1)], "recording string, speaker int").select("recording", "speaker", F.timestamp_millis(F.lit(4 * 10**12)).alias("ts"), F.lit(1.0).alias("seconds"))
+    rows = written(t.unionByName(end), "turn-stream")
+    path = rows.inputFiles()[0].rsplit("/", 1)[0]
+    got = _run(spark, stateful.speech_sessions(spark.readStream.schema(rows.schema).parquet(path)), "sessions")
+    return got.where("speaker >= 0").select("recording", "speaker", F.unix_millis("from_ts").alias("from_ms"), F.unix_millis("to_ts").alias("to_ms"), "n_turns")
 
 
 @query("t15_glossary_entries", """

@@ -96,7 +96,8 @@ def speech_sessions(turns: DataFrame, gap_s: float = 0.6, lateness: str = "10 mi
     a pause of exactly the gap joins.
     """
     x = turns.withWatermark("ts", lateness)
-    gap = F.concat((F.col("seconds") + gap_s).cast("string"), F.lit(" seconds"))
+    # In whole microseconds: an interval of more decimals than it can hold is none, and its row would be lost.
+    gap = F.concat(F.round((F.col("seconds") + gap_s) * 1_000_000).cast("bigint").cast("string"), F.lit(" microseconds"))
     return x.groupBy("recording", "speaker", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_turns")).select(
         "recording", "speaker", F.col("w.start").alias("from_ts"), (F.col("w.end") - F.make_dt_interval(secs=F.lit(gap_s))).alias("to_ts"), "n_turns"
     )

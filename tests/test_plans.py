@@ -196,11 +196,11 @@ def test_chunked_turns(spark, tmp_path):
 def test_speech_sessions(spark, tmp_path):
     ddl = "recording string, speaker int, ts timestamp, seconds double"
     at = lambda s: datetime(2025, 1, 1) + timedelta(seconds=s)
-    rows = [("r", 0, at(0), 2.0), ("r", 0, at(2.5), 1.0), ("r", 0, at(9), 1.0), ("z", 0, at(86400), 1.0)]
+    rows = [("r", 0, at(0), 2.0), ("r", 0, at(2.5), 1.0), ("r", 0, at(9), 1.0), ("q", 0, at(5), 0.81), ("q", 0, at(5.1), 0.1), ("z", 0, at(86400), 1.0)]
     spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(f"{tmp_path}/in")
     s = spark.readStream.schema(ddl).parquet(f"{tmp_path}/in")
     got = run(spark, stateful.speech_sessions(s), tmp_path)
-    assert sorted((r.n_turns, (r.to_ts - r.from_ts).total_seconds()) for r in got) == [(1, 1.0), (2, 3.5)]
+    assert sorted((r.n_turns, (r.to_ts - r.from_ts).total_seconds()) for r in got) == [(1, 1.0), (2, 0.81), (2, 3.5)]
 
 
 class Loops(models.HypothesisModel):
