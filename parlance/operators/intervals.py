@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from ..sources.tables import millis
 from .scans import BUCKET, carry, local
 
@@ -288,10 +289,12 @@ def speaker_at(words: DataFrame, turns: DataFrame) -> DataFrame:
     order = ["a", "b", "ord"]
     t = valid(turns).select("recording", "ord", "speaker", millis("start_s").alias("a"), millis("end_s").alias("b")).distinct()
     w = words.where(F.col("start_s").isNotNull() & F.col("end_s").isNotNull()).select("recording", "word_id", millis("start_s").alias("s"), millis("end_s").alias("e")).distinct()
-    t, w = t.where("a IS NOT NULL AND b IS NOT NULL"), w.where("s IS NOT NULL AND e IS NOT NULL")  # NaN and infinity are no times
+    # NaN and infinity are no times. Both sides are read several times below: in slim form, without what they come from.
+    t, w = written(t.where("a IS NOT NULL AND b IS NOT NULL"), "turns"), written(w.where("s IS NOT NULL AND e IS NOT NULL"), "words")
     met = _overlaps(w, t)
     each = met.groupBy("recording", "word_id", "speaker").agg(F.sum(F.least("e", "b") - F.greatest("s", "a")).alias("o"), F.min(F.struct(*order)).alias("f"))
     best = each.groupBy("recording", "word_id").agg(F.min(F.struct((-F.col("o")).alias("o"), "f", "speaker")).alias("m"))
+    best = written(best, "overlaps")
     over = best.select("word_id", F.col("m.speaker").alias("speaker"), (-F.col("m.o")).alias("overlap_ms"), F.lit(0.0).alias("distance_ms"))
     lone = w.join(best.select("word_id"), "word_id", "left_anti").select("recording", "word_id", (F.col("s") + F.col("e")).alias("m2"))
     # Turns and lone words on one time line, in half milliseconds; at equal times turns come first.

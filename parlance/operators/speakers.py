@@ -38,13 +38,12 @@ def smooth_by_sentence(words: DataFrame, min_run: int = 4, max_sentence: int = 4
     a speaker of its own.
     """
     keys = [*PIECE, "sentence"]
-    x = with_runs(with_sentences(words), keys)
+    x = with_runs(with_sentences(words.repartition(*PIECE)), keys)  # one partitioning serves all windows
     long = F.coalesce(F.col("end_s") - F.col("start_s"), F.lit(0.0))
     weight = F.lit(1_000_000_000) + F.round(long * 1_000_000).cast("bigint")  # whole numbers: no order of summation matters
-    per = x.groupBy(*keys, F.col("speaker").alias("_s")).agg(F.sum(weight).alias("w"), F.min("pos").alias("p"))
-    major = per.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(F.struct((-F.col("w")).alias("w"), "p", "_s")).alias("_m"))
-    x = x.join(major, [x[k] == major[f"_{k}"] for k in keys]).drop(*[f"_{k}" for k in keys])
-    x = x.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    of = Window.partitionBy(*keys, "speaker")
+    x = x.withColumns({"_w": -F.sum(weight).over(of), "_p": F.min("pos").over(of)})
+    x = x.withColumns({"_m": F.min(F.struct("_w", "_p", F.col("speaker").alias("_s"))).over(Window.partitionBy(*keys)), "_n": F.count("*").over(Window.partitionBy(*keys))}).drop("_w", "_p")
     w = Window.partitionBy(*keys).orderBy("pos")
     anchor = F.when((F.col("run_len") >= 2) | (F.row_number().over(w) == 1), F.struct("speaker"))
     x = x.withColumn("_a", anchor)

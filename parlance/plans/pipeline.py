@@ -68,8 +68,10 @@ def window_segments(pieces: DataFrame, turns: DataFrame, words: DataFrame | None
     if words is None:
         words = uniform_words(p).withColumn("word_id", F.xxhash64("piece_id", "pos"))
     w = words.select("word_id", "piece_id", "pos", "start_s", "end_s", "text").join(p.select("piece_id", "recording", "flags"), "piece_id")
+    w = written(w, "words-of-pieces")  # texts and flags stand aside while speakers are looked for
     who = intervals.speaker_at(w, speech_turns(turns, o)).select("word_id", "speaker")
     w = smooth_by_sentence(w.join(who, "word_id")).withColumn("speaker", F.col("smoothed"))
+    w = written(w.select("recording", "word_id", "start_s", "end_s", "text", "speaker", "flags"), "words-of-speakers")
     s = cleaned(intervals.group_words(w, o.max_pause), o, True)
     return intervals.relabel_speakers(s, "first_word").select("recording", "speaker", "label", "start_s", "end_s", "text", "flags")
 

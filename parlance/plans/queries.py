@@ -634,17 +634,17 @@ def s3_slice(spark: SparkSession, folder: str) -> DataFrame:
 VOCAB = {c: i for i, c in enumerate("|'-abcdefghijklmnopqrstuvwxyzàâäçéèêëîïôöùûü", 1)}
 
 
-#: SQL: what is said in each span: its words, each with its place in letters, so that none comes twice.
+#: SQL: what is said in each segment: its words, each with its place in letters, so that none comes twice.
 HEARD = """
-h0 AS (SELECT recording, span_id, list_filter(regexp_split_to_array(regexp_replace(lower(string_agg(text, ' ' ORDER BY piece_ix)), '[^a-z ]', ' ', 'g'), ' +'), lambda x: x <> '') AS w FROM p WHERE text IS NOT NULL GROUP BY recording, span_id),
+h0 AS (SELECT recording, seg_id AS span_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z ]', ' ', 'g'), ' +'), lambda x: x <> '') AS w FROM (SELECT DISTINCT recording, seg_id, text FROM segments) WHERE text IS NOT NULL),
 h AS (SELECT recording, span_id, list_transform(w, lambda x, i: x || chr(CAST(96 + i % 26 + CASE WHEN i % 26 = 0 THEN 26 ELSE 0 END AS INT)) || chr(CAST(97 + (i - 1) // 26 % 26 AS INT)) || chr(CAST(97 + (i - 1) // 676 % 26 AS INT))) AS w FROM h0)
 """
 
 
 def heard_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Two transcripts of each span and frames of what is said in it, a letter a frame. The first recogniser hears 'z' for
+    """Two transcripts of each segment and frames of what is said in it, a letter a frame. The first recogniser hears 'z' for
     every fifth word from the third on, the second 'b' for every fifth from the fifth on."""
-    p = pieces_once(spark, folder).where("text IS NOT NULL").groupBy("recording", "span_id").agg(F.lower(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_ix", "text"))), lambda r: r["text"]), " ")).alias("t"))
+    p = segments_once(spark, folder).where("text IS NOT NULL").select("recording", F.col("seg_id").alias("span_id"), F.lower("text").alias("t"))
     letter = lambda n: F.char(97 + n % 26)
     w = F.filter(F.split(F.regexp_replace("t", "[^a-z ]", " "), " +"), lambda x: x != "")
     w = F.transform(w, lambda x, i: F.concat(x, letter(i), letter(F.floor(i / 26)), letter(F.floor(i / 676))))
@@ -657,18 +657,18 @@ def heard_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("c9_fuse", f"""
-WITH {PIECES}, {HEARD} SELECT recording, span_id, array_to_string(w, ' ') AS text, 1 AS windows, CAST(len(w) AS INT) AS words,
+WITH {HEARD} SELECT recording, span_id, array_to_string(w, ' ') AS text, 1 AS windows, CAST(len(w) AS INT) AS words,
   CAST(len(list_filter(w, lambda x, i: i % 5 IN (0, 3))) AS INT) AS regions, 0 AS number_variants, CAST(len(list_filter(w, lambda x, i: i % 5 = 3)) AS INT) AS secondary_chosen
 FROM h WHERE len(w) > 0
 """)
 def c9_fuse(spark: SparkSession, folder: str) -> DataFrame:
-    """Two transcripts of each span made into one, where the frames tell who is right: all that was said comes out."""
+    """Two transcripts of each segment made into one, where the frames tell who is right: all that was said comes out."""
     got = fusion.fused(heard_pairs(spark, folder), {c: i for i, c in enumerate("|abcdefghijklmnopqrstuvwxyz", 1)}, 1)
     return got.select("recording", "span_id", "text", "windows", "words", "regions", "number_variants", "secondary_chosen")
 
 
 @query("e4_secondary_share", f"""
-WITH {PIECES}, {HEARD}, n AS (SELECT CAST(count(*) AS BIGINT) AS windows, CAST(sum(len(w)) AS BIGINT) AS words, CAST(sum(len(list_filter(w, lambda x, i: i % 5 IN (0, 3)))) AS BIGINT) AS regions,
+WITH {HEARD}, n AS (SELECT CAST(count(*) AS BIGINT) AS windows, CAST(sum(len(w)) AS BIGINT) AS words, CAST(sum(len(list_filter(w, lambda x, i: i % 5 IN (0, 3)))) AS BIGINT) AS regions,
   CAST(0 AS BIGINT) AS number_variants, CAST(sum(len(list_filter(w, lambda x, i: i % 5 = 3))) AS BIGINT) AS secondary_chosen FROM h WHERE len(w) > 0)
 SELECT *, round(secondary_chosen / regions, 6) AS share FROM n
 """)
