@@ -38,9 +38,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Paths that this driver has given out.
+_GIVEN: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/parlance/{what}-{uuid.uuid4().hex}"
+    _GIVEN.append(f"{shared_dir(spark).rstrip('/')}/parlance/{what}-{uuid.uuid4().hex}")
+    return _GIVEN[-1]
+
+
+def tidy(spark: SparkSession) -> int:
+    """Delete all intermediate tables that this driver has written; how many there were. For the end of a job, when its
+    results are stored elsewhere: results that are not would lose what they are read from."""
+    n, jvm = 0, spark.sparkContext._jvm
+    while _GIVEN:
+        path = jvm.org.apache.hadoop.fs.Path(_GIVEN.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def spread(df, *keys: str):
