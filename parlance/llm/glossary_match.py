@@ -117,7 +117,7 @@ def similar(queries: DataFrame, ref: DataFrame) -> DataFrame:
     near = near.withColumns({"a": letter_pairs(F.col("qk")), "b": letter_pairs(F.col("rk"))}).withColumn("both", F.size(F.array_intersect("a", "b")))
     near = near.where((F.col("both") >= F.greatest(F.size("a"), F.size("b")) - LOST) & one_edit(F.col("qk"), F.col("rk")))
     near = near.select("kind", "qk", "rk", (F.col("both") / (F.size("a") + F.size("b") - F.col("both"))).alias("jaccard"))
-    near = near.join(qk.select(F.col("folded").alias("q"), "kind", F.col("key").alias("qk")), ["kind", "qk"]).join(rk.select(F.col("folded").alias("r"), "kind", F.col("key").alias("rk")), ["kind", "rk"])
+    near = near.join(qk.select(F.col("folded").alias("q"), "kind", F.col("key").alias("qk")).hint("merge"), ["kind", "qk"]).join(rk.select(F.col("folded").alias("r"), "kind", F.col("key").alias("rk")), ["kind", "rk"])
     return near.groupBy("q", "r").agg(F.max("jaccard").alias("jaccard"))
 
 
