@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import by_row
 from ..operators.scans import bucketed, carry, local
+from ..session import written
 
 # Letters of other scripts and the Latin letters that look the same (Unicode confusables).
 CYRILLIC_LATIN = {
@@ -202,20 +203,15 @@ def normalized(df: DataFrame, text: str = "text", form: str = "form", kinds: str
 POS_BUCKET = 4096
 
 
-def normalized_words(words: DataFrame) -> DataFrame:
-    """word_id, piece_id, pos, text, form, kinds for words that are stored one a row.
+def script_hits(words: DataFrame) -> DataFrame:
+    """word_id, _new: words that are spelled anew because the words next to them in their piece are of another script.
 
-    Like ``normalized``, but what surrounds a token are the words next to it in its piece. Only pieces that hold
-    letters of a further script are scanned for that. Re-delivered words give equal rows.
-
-    Defined cases: null text gives a null form; a null piece is a piece of its own; ties of pos are ordered by id.
+    Only pieces that hold letters of a further script are scanned, and their words are written once for that.
     """
-    words = words.select("word_id", "piece_id", "pos", "text")
-    base = normalized(words)
     foreign = F.col("text").rlike(r"[Ͱ-ԯἀ-῿]")
     few = words.where(foreign & F.col("piece_id").isNotNull()).select("piece_id").distinct()
-    near = words.join(few, "piece_id", "left_semi").dropDuplicates(["word_id"]).withColumn("_s", _scripts_udf("text"))
-    near = near.select("word_id", "piece_id", "pos", "text", F.col("_s.strong").alias("_strong"), F.col("_s.weak").alias("_weak"))
+    near = words.select("word_id", "piece_id", "pos", "text").join(few, "piece_id", "left_semi").dropDuplicates(["word_id"]).withColumn("_s", _scripts_udf("text"))
+    near = written(near.select("word_id", "piece_id", "pos", "text", F.col("_s.strong").alias("_strong"), F.col("_s.weak").alias("_weak")), "pieces-of-scripts")
 
     def neighbour(df: DataFrame, order: str, name: str) -> DataFrame:
         df = bucketed(df, order, POS_BUCKET)
@@ -231,8 +227,19 @@ def normalized_words(words: DataFrame) -> DataFrame:
         & F.coalesce("_p", "_n").isNotNull()
         & ~(F.col("_weak").eqNullSafe(F.col("_p")) | F.col("_weak").eqNullSafe(F.col("_n")))
     )
-    hits = hits.withColumn("_new", _respell_udf("text", F.coalesce("_p", "_n"))).where(F.col("_new").isNotNull()).select("word_id", "_new")
-    out = base.join(hits, "word_id", "left")
+    return hits.withColumn("_new", _respell_udf("text", F.coalesce("_p", "_n"))).where(F.col("_new").isNotNull()).select("word_id", "_new")
+
+
+def normalized_words(words: DataFrame) -> DataFrame:
+    """word_id, piece_id, pos, text, form, kinds for words that are stored one a row.
+
+    Like ``normalized``, but what surrounds a token are the words next to it in its piece. Re-delivered words give equal
+    rows.
+
+    Defined cases: null text gives a null form; a null piece is a piece of its own; ties of pos are ordered by id.
+    """
+    words = words.select("word_id", "piece_id", "pos", "text")
+    out = normalized(words).join(script_hits(words), "word_id", "left")
     return out.select(
         "word_id", "piece_id", "pos", "text",
         F.coalesce("_new", "form").alias("form"),
@@ -241,15 +248,10 @@ def normalized_words(words: DataFrame) -> DataFrame:
 
 
 def variants_found(words: DataFrame, segments: DataFrame) -> DataFrame:
-    """src ('word' or 'segment'), row_id of texts that are not in the one form."""
-    # The few hits of the neighbour scan are unioned: no join over all words is needed to list the cases.
+    """src ('word' or 'segment'), row_id of texts that are not in the one form: by themselves, or for the words around."""
     words = words.select("word_id", "piece_id", "pos", "text")
-    direct = normalized(words.where(needs_look(F.col("text"))))
-    direct = direct.where("kinds > 0").select("word_id")
-    around = normalized_words(words.where(F.col("piece_id").isNotNull()).join(
-        words.where(F.col("text").rlike(r"[Ͱ-ԯἀ-῿]")).select("piece_id").distinct(), "piece_id", "left_semi"))
-    around = around.where(F.col("kinds") > 0).select("word_id")
-    w = direct.unionByName(around).distinct().select(F.lit("word").alias("src"), F.col("word_id").alias("row_id"))
+    direct = normalized(words.where(needs_look(F.col("text")))).where("kinds > 0").select("word_id")
+    w = direct.unionByName(script_hits(words).select("word_id")).distinct().select(F.lit("word").alias("src"), F.col("word_id").alias("row_id"))
     s = normalized(segments.select("seg_id", "text").where(needs_look(F.col("text"))))
     s = s.where("kinds > 0").select(F.lit("segment").alias("src"), F.col("seg_id").alias("row_id")).distinct()
     return w.unionByName(s)
