@@ -19,6 +19,10 @@ from ..sources.models import HypothesisModel, with_ladder
 from . import post
 
 
+# Languages that transcripts may be in.
+LANGS = ("ar", "de", "el", "en", "es", "fr", "it", "ja", "ko", "nl", "pl", "pt", "vi", "zh")
+
+
 @dataclass(frozen=True)
 class Options:
     """lang None: no check of scripts. max_chunk must be in ]0, 35]."""
@@ -34,6 +38,8 @@ class Options:
     min_split_s: float = 4.0
 
     def __post_init__(self):
+        if self.lang is not None and self.lang not in LANGS:
+            raise ValueError(f"unknown language {self.lang!r}; known: {', '.join(LANGS)}")
         if not 0 < self.max_chunk <= 35:
             raise ValueError("max_chunk is above 0 and at most 35 seconds")
 
@@ -183,5 +189,5 @@ def run(
         segments = post.kept(post.postprocess(written(segments, "segments"), config)).select(*segments.columns)
     if folder is not None and formats:
         segments = written(segments, "transcript")
-        sinks.write_files(segments, folder, formats).write.format("noop").mode("overwrite").save()
+        sinks.write_files(segments.withColumn("speaker", F.col("label")), folder, formats).write.format("noop").mode("overwrite").save()
     return segments

@@ -10,7 +10,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.alignment import log_softmax
@@ -26,13 +26,14 @@ class HypothesisLimits:
     tokens_per_s: float
     batch: int
     context: bool = False
+    returns_prompt: bool = True  # what comes out begins with what went in
 
 
 # The known recognisers.
 HYPOTHESIS_SOURCES: dict[str, HypothesisLimits] = {
     "cohere": HypothesisLimits(16_000, 35.0, 24, 12.0, 16),
     "vibevoice": HypothesisLimits(24_000, 3600.0, 80, 15.0, 1, True),
-    "whisper-fr": HypothesisLimits(16_000, 30.0, 24, 12.0, 16, True),
+    "whisper-fr": HypothesisLimits(16_000, 30.0, 24, 12.0, 16, True, False),
 }
 # Languages with an aligner of their own; others need a model's name.
 ALIGNER_LANGS = ("fr", "en", "de", "es", "it", "pt", "nl", "pl")
@@ -48,6 +49,12 @@ def limits(name: str, context: str | None = None) -> HypothesisLimits:
     return got
 
 
+def generated(tokens: Column, prompt_tokens: Column, source: str) -> Column:
+    """The tokens that a recogniser has made: without its prompt, where that comes out too."""
+    n = prompt_tokens if limits(source).returns_prompt else F.lit(0)
+    return F.slice(tokens, n + 1, F.greatest(F.size(tokens) - n, F.lit(0)))
+
+
 def check_aligner(lang: str, model: str | None = None) -> None:
     if lang not in ALIGNER_LANGS and model is None:
         raise ValueError(f"no aligner for {lang!r}: name a model")

@@ -148,6 +148,30 @@ def test_models(spark):
     assert sorted(r.text for r in got.collect()) == ["x", "y", "z"]
 
 
+def test_generated_tokens(spark):
+    d = spark.createDataFrame([([1, 2, 3, 4], 2), ([1], 3)], "t array<int>, n int")
+    for source, want in (("cohere", [[3, 4], []]), ("whisper-fr", [[1, 2, 3, 4], [1]])):
+        assert [r[0] for r in d.select(models.generated(F.col("t"), F.col("n"), source)).collect()] == want
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from parlance.__main__ import options, transcripts
+
+    base = ["--turns", f"{tmp_path}/t", "--pieces", f"{tmp_path}/p", "-o", f"{tmp_path}/o"]
+    for bad in (["-f", "doc"], ["-l", "xx"], ["--max-chunk", "36"], ["-c", "names"], ["--mode", "x"]):
+        with pytest.raises(SystemExit):
+            options([*base, *bad])
+    o = options([*base, "-c", "Boussard", "--asr", "whisper-fr", "--style", "lu"])
+    assert o.post.glossary == ("Boussard",) and o.formats == ["txt", "srt", "json"]
+    spark.createDataFrame([("r", 0, 0.0, 4.0, 5), ("r", 1, 4.0, 8.0, 6)], "recording string, ord bigint, start_s double, end_s double, speaker int").write.parquet(f"{tmp_path}/t")
+    rows = [(1, "r", 0, 0, 0.0, 4.0, "Euh, monsieur Bousard est là.", []), (2, "r", 1, 0, 4.0, 8.0, "Oui, je le vois.", [])]
+    spark.createDataFrame(rows, "piece_id bigint, recording string, span_id bigint, piece_ix int, start_s double, end_s double, text string, flags array<string>").write.parquet(f"{tmp_path}/p")
+    for mode in ("window", "turns"):
+        o = options([*base, "-g", "Boussard", "--style", "lu", "--mode", mode, "-f", "txt"])
+        assert transcripts(spark, o).count() == 1
+        assert (tmp_path / "o" / "r.txt").read_text() == "[00:00:00.00 - 00:00:04.00] SPEAKER_0: Monsieur Boussard est là.\n[00:00:04.00 - 00:00:08.00] SPEAKER_1: Oui, je le vois.\n"
+
+
 def test_metrics(spark):
     p = spark.createDataFrame([("dix ans euh passés", "10 ans passé"), (None, "")], "text_a string, text_b string")
     assert [(r.edits, r.longest) for r in metrics.word_gap(p).collect()] == [(1, 3), (0, 0)]
