@@ -113,6 +113,7 @@ def similar(queries: DataFrame, ref: DataFrame) -> DataFrame:
     room = 1 + F.least(F.col("qn") - F.col("qat") - 1, F.col("rn") - F.col("rat") - 1)
     length = (F.abs(F.length("qk") - F.length("rk")) <= 1) & (F.abs(F.col("qn") - F.col("rn")) <= LOST)  # one edit changes no more
     near = qp.join(rp, ["kind", "pair"]).where(length & (F.least("qat", "rat") + room >= need)).select("kind", "qk", "rk").distinct()
+    near = written(near, "candidates")  # else the dear tests below would be made before these filters
     near = near.where(F.levenshtein("qk", "rk", 2) >= 0)  # a cheap look first: a swap of neighbours counts two
     near = near.withColumns({"a": letter_pairs(F.col("qk")), "b": letter_pairs(F.col("rk"))}).withColumn("both", F.size(F.array_intersect("a", "b")))
     near = near.where((F.col("both") >= F.greatest(F.size("a"), F.size("b")) - LOST) & one_edit(F.col("qk"), F.col("rk")))
