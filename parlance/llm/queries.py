@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read
-from . import glossary_match, language, mixing, mojibake, nearest_time, packing, repetition, script_form, speaker_turns
+from . import glossary_match, language, mixing, mojibake, nearest_time, packing, repetition, script_form, speaker_turns, speech
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,7 +35,32 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("src", "row_id", "lang")
 
 
-@query("p2_found")
+_CLOCK = speech._CLOCK
+_NAMED = speech._NAME
+#: SQL: a label in brackets, or at the head of a line with its mark; groups 1 to 3 and 5 have the number.
+_LABEL_SQL = f"\\[\\s*{_NAMED}(\\d+)\\s*\\]|\\(\\s*{_NAMED}(\\d+)\\s*\\)|<v\\s+{_NAMED}(\\d+)\\s*>|(^|[^\\p{{L}}\\p{{N}}]){_NAMED}(\\d+)\\s*(?:>>|:|-|–|—)(?:\\s|$)"
+_HES_SQL = "(^|[^\\p{L}\\p{N}''’])(?:" + "|".join(speech.HESITATIONS) + ")($|[^\\p{L}\\p{N}''’])"
+_ROUND_SQL = f"\\(\\s*(?:{'|'.join(speech.ROUND_NOTES)})\\s*\\)"
+_TIMES_SQL = speech.TIME
+
+
+def _without(text: str) -> str:
+    """SQL: text without times, labels, notes and hesitations."""
+    text = f"regexp_replace(regexp_replace({text}, '{_TIMES_SQL}', ' ', 'g'), '(?i){_LABEL_SQL}', '\\4 ', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '{speech.NOTE}', ' ', 'g'), '(?i){_ROUND_SQL}', ' ', 'g')"
+    return f"regexp_replace(regexp_replace({text}, '(?i){_HES_SQL}', '\\1 \\2', 'g'), '(?i){_HES_SQL}', '\\1 \\2', 'g')"
+
+
+@query("p2_found", f"""
+WITH s AS (SELECT DISTINCT seg_id, recording, start_s, speaker, coalesce(text, '') AS text FROM segments),
+m AS (SELECT *, regexp_extract(text, '{_CLOCK}') AS clock, regexp_extract(regexp_extract(text, '(?i){_LABEL_SQL}'), '\\d+') AS label FROM s),
+k AS (SELECT seg_id, recording, coalesce(speaker, TRY_CAST(nullif(label, '') AS INT)) AS who, regexp_matches({_without('text')}, '[\\p{{L}}\\p{{N}}]') AS said,
+  coalesce({ms('start_s')}, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(regexp_extract(clock, '^[\\d:]+'), ':'), lambda x: TRY_CAST(x AS BIGINT))), lambda a, x: a * 60 + x) * 1000 + TRY_CAST(rpad(regexp_extract(clock, '\\d+$'), 3, '0') AS BIGINT)) AS ms_at FROM m),
+f AS (SELECT *, last_value(who IGNORE NULLS) OVER (PARTITION BY recording ORDER BY ms_at NULLS FIRST, seg_id ROWS UNBOUNDED PRECEDING) AS speaker FROM k),
+r AS (SELECT *, sum(c) OVER (PARTITION BY recording ORDER BY ms_at NULLS FIRST, seg_id ROWS UNBOUNDED PRECEDING) AS run FROM (
+  SELECT *, CASE WHEN row_number() OVER z = 1 OR lag(speaker) OVER z IS DISTINCT FROM speaker THEN 1 ELSE 0 END AS c FROM f WHERE said WINDOW z AS (PARTITION BY recording ORDER BY ms_at NULLS FIRST, seg_id)))
+SELECT recording, speaker, arg_min(seg_id, (coalesce(ms_at, -1), seg_id)) AS first_seg_id, arg_max(seg_id, (coalesce(ms_at, -1), seg_id)) AS last_seg_id FROM r GROUP BY recording, speaker, run
+""")
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     turns = speaker_turns.clean_turns(read(spark, folder, "segments"))
     return turns.select("recording", "speaker", "first_seg_id", "last_seg_id")
@@ -116,7 +141,15 @@ def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
     return script_form.normalized_words(read(spark, folder, "words")).select("word_id", "form", "kinds").distinct()
 
 
-@query("p6_found")
+@query("p6_found", """
+-- NFKC is left out: no text of the tables is a case, or none, for it
+WITH t AS (SELECT DISTINCT 'piece' AS src, piece_id AS row_id, text FROM pieces WHERE text IS NOT NULL UNION ALL SELECT DISTINCT 'segment', seg_id, text FROM segments WHERE text IS NOT NULL),
+w AS (SELECT src, row_id, regexp_extract_all(lower(text), '[\\p{L}]+') AS w FROM t),
+i AS (SELECT src, row_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 8),
+r AS (SELECT *, row_number() OVER (PARTITION BY src, row_id, w[i], w[i + 1], w[i + 2] ORDER BY i) AS o FROM i),
+c AS (SELECT DISTINCT src, row_id, len(w) AS n, unnest([i, i + 1, i + 2]) AS at FROM r WHERE o > 1)
+SELECT src, row_id FROM c GROUP BY src, row_id, n HAVING count(*) * 2 >= n
+""")
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repeating(read(spark, folder, "pieces"), read(spark, folder, "segments"))
 
