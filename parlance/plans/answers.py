@@ -157,7 +157,7 @@ k AS (SELECT span_id, CAST(0 AS BIGINT) AS part, 0.0::DOUBLE AS a, CASE WHEN e >
       SELECT k.span_id, k.part, k.a, w.e, list_transform(range(0, len(y) // 3), lambda i: sqrt((y[i * 3 + 1]::DOUBLE ** 2 + y[i * 3 + 2]::DOUBLE ** 2 + y[i * 3 + 3]::DOUBLE ** 2) / 3)) AS r FROM (
         SELECT *, x[CAST(floor(greatest(a + 1.0, a + 14.0) * 64) AS BIGINT) + 1:CAST(floor(least(e - 1.0, a + 20.0) * 64) AS BIGINT)] AS y FROM (SELECT k.span_id, part, a, e, x FROM k JOIN w ON w.span_id = k.span_id WHERE b IS NULL) k) k JOIN w ON w.span_id = k.span_id) k)),
 c AS (SELECT span_id, part, a, coalesce(b, lead(a) OVER (PARTITION BY span_id ORDER BY part)) AS b FROM k)
-SELECT CAST(span_id AS VARCHAR) AS recording, CAST(0 AS BIGINT) AS span_id, CAST(part AS INT) AS part, a AS start_s, b AS end_s FROM c
+SELECT CAST(span_id AS VARCHAR) AS recording, CAST(0 AS BIGINT) AS span_id, CAST(part AS INT) AS part, round(a, 6) AS start_s, round(b, 6) AS end_s FROM c
 """
 
 # --- cleaning, whole pipelines ------------------------------------------------------------------------------------
@@ -329,7 +329,7 @@ SQL["c6_known_words"] = f"""
 WITH {PIECES}, w AS (SELECT piece_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z ]', ' ', 'g'), ' +'), lambda x: x <> '') AS w FROM p WHERE text IS NOT NULL),
 u AS (SELECT piece_id, w, unnest(range(len(w))) AS pos FROM w),
 o AS (SELECT piece_id, pos, w[pos + 1] AS text, pos + coalesce(sum(length(w[pos + 1])) OVER (PARTITION BY piece_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM u)
-SELECT piece_id, CAST(pos AS INT) AS pos, round(begins * 0.02, 6) AS start_s, round((begins + length(text)) * 0.02, 6) AS end_s, text FROM o
+SELECT piece_id, CAST(pos AS INT) AS pos, round(CAST(begins AS DOUBLE) * 0.02::DOUBLE, 6) AS start_s, round(CAST(begins + length(text) AS DOUBLE) * 0.02::DOUBLE, 6) AS end_s, text FROM o
 """
 SQL["s5_overlapping"] = f"""
 WITH {FRAMES}, w AS (SELECT span_id, count(*) AS f, flatten(list(embedding ORDER BY frame)) AS x FROM e GROUP BY span_id), c AS (SELECT *, unnest(range(CAST(ceil(f / 2) AS BIGINT))) AS ix FROM w)

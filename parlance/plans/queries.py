@@ -617,7 +617,7 @@ def m4_best_cut(spark: SparkSession, folder: str) -> DataFrame:
     e = read(spark, folder, "embeddings").withColumn("frame", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
     waves = e.select(F.col("label").cast("string").alias("recording"), F.lit(64).alias("rate"), F.col("frame").cast("double").alias("from_s"), F.col("embedding").alias("samples"))
     spans = waves.groupBy("recording").agg(F.max("from_s").alias("end_s")).select("recording", F.lit(0).cast("bigint").alias("span_id"), F.lit(0.0).alias("start_s"), (F.col("end_s") + 1).alias("end_s"))
-    return intervals.split_long(spans, waves, 20.0)
+    return intervals.split_long(spans, waves, 20.0).withColumns({c: F.round(c, 6) for c in ("start_s", "end_s")})
 
 
 @query("s3_slice", """
